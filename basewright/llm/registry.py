@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from basewright.llm import exact_dedup
+from basewright.llm import bpe, exact_dedup, source_mix
 
 QUERIES = {
+    "op3_source_mix": source_mix.op3_source_mix,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE_SQL = {
