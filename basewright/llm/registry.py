@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from basewright.llm import bpe, exact_dedup, language_id, quality_model, source_mix, toxicity
+from basewright.llm import bpe, exact_dedup, kd_shards, language_id, quality_model, repetition, source_mix, toxicity
 
 QUERIES = {
     "op2_language": language_id.op2_language,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_quality": quality_model.op4_quality,
+    "op5_repetition": repetition.op5_repetition,
+    "op6_kd_shards": kd_shards.op6_kd_shards,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
