@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basewright.llm import bpe, exact_dedup, kd_shards, language_id, quality_model, repetition, source_mix, toxicity
+from basewright.llm import bpe, exact_dedup, kd_shards, language_id, pii, quality_model, repetition, source_mix, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_language": language_id.op2_language,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_quality": quality_model.op4_quality,
