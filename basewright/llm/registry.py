@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basewright.llm import bpe, exact_dedup, kd_shards, language_id, pii, quality_model, repetition, source_mix, toxicity
+from basewright.llm import bpe, exact_dedup, kd_shards, language_id, pii, quality_model, repetition, similarity_join, source_mix, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_repetition": repetition.op5_repetition,
     "op6_kd_shards": kd_shards.op6_kd_shards,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_ngram_join": similarity_join.op8_ngram_join,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
