@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -42,27 +45,56 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/basewright/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
     _written.append((spark, path))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like ``materialise``, but the table stays until the process ends: a result, not a step."""
+    result = materialise(df, name)
+    _results.append(_written.pop(-1))
+    return result
+
+
+_results: list[tuple[SparkSession, str]] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def distilled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Materialise ``make()`` and delete every table that was written to get there.
+
+    Spark removes shuffle files when the driver collects garbage, so it is asked to.
+    """
+    before = len(_written)
+    result = materialise(make(), name)
+    _delete(_written[before:-1])
+    _written[before:] = _written[-1:]
+    gc.collect()
+    result.sparkSession.sparkContext._jvm.System.gc()
+    return result
+
+
 def drop_materialised() -> None:
-    """Delete every table that ``materialise`` wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone at exit; the folder's owner clears it
-            return
+    """Delete every table that this process has written to the shared folder."""
+    try:
+        _delete(_written)
+    except Exception:  # the session is gone at exit; the folder's owner clears it
+        return
+    finally:
+        _written.clear()
 
 
-atexit.register(drop_materialised)
+@atexit.register
+def _at_exit() -> None:
+    _written.extend(_results)
+    drop_materialised()
 
 
 def id_text(column: str) -> Column:
@@ -96,3 +128,21 @@ def text_slices(column, most_bytes: int = 4 << 20):
         yield start, stop
         base = int(ends[stop - 1])
         start = stop
+
+
+def row_key(*columns: str) -> Column:
+    """A hash of the columns' text, to find a row again next to its id."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in columns])
+
+
+def rows_of(df: DataFrame, chosen: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that ``chosen`` (id, key and any further columns, one row each) names, with those columns.
+
+    Of rows that repeat id and key, which no operator tells apart, the first by all columns stays.
+    """
+    own = df.withColumn("__key", key).withColumn("__all", F.xxhash64(*[F.col(c) for c in df.columns]))
+    picks = chosen.withColumnRenamed("id", "__id").withColumnRenamed("key", "__pick")
+    same = own[id_col].eqNullSafe(picks["__id"]) & (own["__key"] == picks["__pick"])
+    found = own.join(picks, same).drop("__id", "__pick")
+    first = Window.partitionBy(id_col, "__key").orderBy("__all")
+    return found.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth", "__key", "__all")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import SPACES, documents, materialise
+from basewright.llm.common import SPACES, distilled, documents, materialise, rows_of
 
 #: Code points of the text in the range key: long enough to order texts, short enough to sample.
 HEAD = 32
@@ -128,6 +128,14 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def exact_duplicates_dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without exact duplicates: of each group the row with the smallest id."""
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
+    kept = distilled(lambda: content_sort_dedup(df, id_col, text_col).filter("kept"), "kept")
+    chosen = kept.select(F.col("doc_id").alias("id"), F.xxhash64("text_sha256").alias("key"))
+    return rows_of(df, chosen, F.xxhash64(digest), id_col)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(documents(spark, sf_dir))
 

@@ -176,20 +176,33 @@ def train(
 
 
 def score(
-    df: DataFrame, model: Model, features: Features, *, id_col: str = "doc_id", text_col: str = "text", metadata: list[str] = (),
+    df: DataFrame, model: Model, features: Features, *,
+    id_col: str = "doc_id", text_col: str = "text", metadata: list[str] = (), carry: bool = False,
 ) -> DataFrame:
-    """doc_id, score for every row. The model's size is bounded by its training sample."""
+    """doc_id, score for every row, and with ``carry`` the whole input row as the struct ``row``.
+
+    The model's size is bounded by its training sample.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     id_type = df.schema[id_col].dataType.simpleString()
+    inputs = _inputs(df, id_col, text_col, list(metadata))
+    schema, more = f"doc_id {id_type}, score double", []
+    if carry:
+        inputs = df.select(
+            F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias("meta_" + c) for c in metadata],
+            F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+        )
+        schema, more = schema + f", row {inputs.schema['row'].dataType.simpleString()}", ["row"]
 
     def run(batches):
         import pyarrow as pa
 
         for part, found in _batches(batches, features, list(metadata)):
             margin = np.clip(shared.value.margins(found), -500, 500)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-margin)))], ["doc_id", "score"])
+            columns = [part.column("doc_id"), pa.array(1 / (1 + np.exp(-margin))), *(part.column(c) for c in more)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", *more])
 
-    return _inputs(df, id_col, text_col, list(metadata)).mapInArrow(run, f"doc_id {id_type}, score double")
+    return inputs.mapInArrow(run, schema)
 
 
 def verdicts(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import documents, materialise, text_slices
+from basewright.llm.common import distilled, documents, materialise, row_key, rows_of, text_slices
 from basewright.llm.components import components
 from basewright.llm.hashing import WordHashes
 
@@ -97,7 +97,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, class, tokens (packed; null where this task has given the class before)."""
+    """doc_id, key, size, class, tokens (packed; null where this task has given the class before)."""
     id_type = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -119,11 +119,11 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
                     tokens.append(None if digest in given else _pack(found >> np.uint64(64 - TOKEN_BITS)))
                     given.add(digest)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(tokens, pa.binary())],
-                    ["doc_id", "size", "class", "tokens"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(tokens, pa.binary())],
+                    ["doc_id", "key", "size", "class", "tokens"],
                 )
 
-    return df.mapInArrow(run, f"doc_id {id_type}, size bigint, class bigint, tokens binary")
+    return df.mapInArrow(run, f"doc_id {id_type}, key bigint, size bigint, class bigint, tokens binary")
 
 
 def _frequent(sets: DataFrame, percent: int) -> np.ndarray:
@@ -277,12 +277,17 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class, component_id: one row per input row.
+    """doc_id, key, n_shingles, class, component, component_id: one row per input row.
 
     Rows link when 100 * intersection >= percent * union of their n-gram sets;
-    component_id is the smallest id reachable by links.
+    component_id is the smallest id reachable by links, component names the
+    component (null without a word), and key is the hash of the text.
     """
-    inputs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return distilled(lambda: _jaccard_components(df, n, percent, id_col, text_col), "components")
+
+
+def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    inputs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(text_col).alias("key"))
     sets = materialise(_sets(inputs, n), "ngram-sets")
     classes = materialise(_classes(sets, _frequent(sets, percent), percent), "classes")
     postings = classes.select(F.explode("prefix").alias("token"), "class")
@@ -310,20 +315,29 @@ def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_i
     )
     merges.append(_joined(sets, members, rest, percent)[1])
 
-    rows = sets.select("doc_id", F.col("size").alias("n_shingles"), "class")
+    rows = sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class")
     by_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     by_class = by_class.withColumn("component", F.col("class"))
     for roots in merges:
         by_class = by_class.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
     by_class = materialise(by_class, "class-components")
     least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialise(by_class.join(least, "component").select("class", "component_id"), "component-ids")
+    named = materialise(by_class.join(least, "component").select("class", "component", "component_id"), "component-ids")
     linked = rows.filter("class is not null").join(named, "class")
-    alone = rows.filter("class is null").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "class", "component_id"]
+    alone = rows.filter("class is null").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "key", "n_shingles", "class", "component", "component_id"]
     return linked.select(columns).unionByName(alone.select(columns))
 
 
+def near_duplicates_dropped(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row with the smallest id, and every wordless row."""
+    found = jaccard_components(df, n, percent, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "key")
+    firsts = found.filter("component is not null").groupBy("component").agg(F.min(order).alias("first")).select("first.id", "first.key")
+    wordless = found.filter("component is null").select(F.col("doc_id").alias("id"), "key").distinct()
+    return rows_of(df, firsts.union(wordless), row_key(text_col), id_col)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id: 4-word shingles, similarity of 0.85 or more."""
-    return jaccard_components(documents(spark, sf_dir), 4, 85).drop("class")
+    return jaccard_components(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basewright.llm.common import WORD, documents, materialise
+from basewright.llm.common import WORD, distilled, documents, materialise, rows_of
 
 #: Weights in source order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -95,7 +95,7 @@ def token_line(sizes: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     running = Window.partitionBy("skey", "bucket").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = hashed.withColumn("upto", F.sum("size").over(running))
     return placed.join(offsets, ["skey", "bucket"]).select(
-        "doc_id", "place", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start")
+        "doc_id", "hash", "place", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start")
     )
 
 
@@ -130,7 +130,7 @@ def _cut(frame: DataFrame, start: str, end: str, block: int, by: str = "block")
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
-    documents: doc_id, size, source_size, target, place, start, for every row.
+    documents: doc_id, hash, size, source_size, target, place, start, for every row.
     pieces: slot, doc_id, place, start, from_word, to_word: the words
     [from_word, to_word) of that document go into that slot; ``slot`` orders the mix.
     """
@@ -141,7 +141,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             F.col(source_col).alias("source"),
             F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string"))).alias("skey"),
             word_count(text).alias("size"),
-            F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), text).alias("hash"),
+            _order_hash(id_col, text_col).alias("hash"),
         ),
         "mix-sizes",
     )
@@ -175,12 +175,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return line, pieces
 
 
-def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken; (place, start) names a row with words."""
-    line, pieces = mix(documents(spark, sf_dir))
+def taken_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, hash, size, source_size, target, taken: the words that the mix takes of every row, repeats counted."""
+    line, pieces = mix(df, id_col, text_col, source_col)
     taken = pieces.groupBy("place", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    worded = line.filter("size > 0").join(taken, ["place", "start"], "left")
+    worded = line.filter("size > 0").join(taken, ["place", "start"], "left")  # (place, start) names a row with words
     wordless = line.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return worded.unionByName(wordless.select(worded.columns)).select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+        "doc_id", "hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
     )
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, to the nearest whole number.
+
+    Only the few rows at an end of their source's stretch are taken in part.
+    """
+    times = F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")
+    counted = taken_words(df, id_col, text_col, source_col).filter("size > 0").groupBy("doc_id", "hash").agg(times)
+    chosen = distilled(lambda: counted.filter("__times > 0").withColumnsRenamed({"doc_id": "id", "hash": "key"}), "taken")
+    found = rows_of(df, chosen, _order_hash(id_col, text_col), id_col)
+    return found.withColumn("__time", F.explode(F.sequence(F.lit(1), "__times"))).drop("__time", "__times")
+
+
+def _order_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), F.col(text_col))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(documents(spark, sf_dir)).drop("hash")

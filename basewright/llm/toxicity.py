@@ -15,7 +15,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basewright.llm import factorisation as fm
 from basewright.llm.common import documents, in_fold, labels
@@ -34,15 +35,23 @@ def terms(texts: list[str], _metadata: dict) -> list[np.ndarray]:
     return out
 
 
-def score_toxicity(df: DataFrame, marks: DataFrame, allowed=None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score; ``allowed`` (a condition on doc_id) names the rows of ``marks`` to learn from."""
-    from pyspark.sql import functions as F
+def learn_toxicity(df: DataFrame, marks: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text") -> fm.Model:
+    """``allowed``, a condition on the column doc_id, names the rows of ``marks`` to learn from."""
+    return fm.train(df, marks, "toxic", allowed, terms, id_col=id_col, text_col=text_col)
 
-    model = fm.train(df, marks, "toxic", F.lit(True) if allowed is None else allowed, terms, id_col=id_col, text_col=text_col)
-    return fm.score(df, model, terms, id_col=id_col, text_col=text_col)
+
+def score_toxicity(df: DataFrame, model: fm.Model, **columns) -> DataFrame:
+    """doc_id, score."""
+    return fm.score(df, model, terms, **columns)
+
+
+def toxic_dropped(df: DataFrame, model: fm.Model, threshold: float = 0.5, **columns) -> DataFrame:
+    """The rows of ``df`` with a score under the threshold."""
+    return fm.score(df, model, terms, carry=True, **columns).filter(F.col("score") < threshold).select("row.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; learns only from rows whose fold is not 0 of 5."""
-    scored = score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir), ~in_fold("doc_id", 5, 0))
-    return fm.verdicts(scored, 5, 0)
+    docs = documents(spark, sf_dir)
+    model = learn_toxicity(docs, labels(spark, sf_dir), ~in_fold("doc_id", 5, 0))
+    return fm.verdicts(score_toxicity(docs, model), 5, 0)
