@@ -2,101 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basewright.plans.scratch import distilled, drop_materialised, materialise, shared_dir, written
+
+__all__ = ["distilled", "drop_materialised", "materialise", "shared_dir", "written"]
+
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 #: A word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master, where both are one machine, may go without that
-    setting; it then gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="basewright-")
-    return "file://" + _own_dirs[context.applicationId]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage, so a lost executor costs a re-read and not a
-    re-computation, and several later plans share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/basewright/{uuid.uuid4().hex}-{name}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Like ``materialise``, but the table stays until the process ends: a result, not a step."""
-    result = materialise(df, name)
-    _results.append(_written.pop(-1))
-    return result
-
-
-_results: list[tuple[SparkSession, str]] = []
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _delete(tables: list[tuple[SparkSession, str]]) -> None:
-    for spark, path in tables:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def distilled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Materialise ``make()`` and delete every table that was written to get there.
-
-    Spark removes shuffle files when the driver collects garbage, so it is asked to.
-    """
-    before = len(_written)
-    result = materialise(make(), name)
-    _delete(_written[before:-1])
-    _written[before:] = _written[-1:]
-    gc.collect()
-    result.sparkSession.sparkContext._jvm.System.gc()
-    return result
-
-
-def drop_materialised() -> None:
-    """Delete every table that this process has written to the shared folder."""
-    try:
-        _delete(_written)
-    except Exception:  # the session is gone at exit; the folder's owner clears it
-        return
-    finally:
-        _written.clear()
-
-
-@atexit.register
-def _at_exit() -> None:
-    _written.extend(_results)
-    drop_materialised()
-
-
 def id_text(column: str) -> Column:
     """The id as text for fold hashes; a null id counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
