@@ -121,7 +121,11 @@ def locate(reads: DataFrame, index: FmIndex) -> DataFrame:
 
 
 def locate_trace(reads: DataFrame, index: FmIndex) -> DataFrame:
-    """read_id, flag, start: all occurrences, row by row."""
+    """read_id, flag, start: all occurrences, row by row.
+
+    Right where the sort depth leaves no two suffixes tied: among tied rows the
+    walk back may change from one to the other, which interval extension cannot.
+    """
     _check(reads, index)
 
     def make(x, i, p):
