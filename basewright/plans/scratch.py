@@ -60,17 +60,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def distilled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """Materialise ``make()`` and delete every table that was written to get there.
 
-    Spark removes shuffle files when the driver collects garbage, so it is asked to.
     """
     before = len(_written)
     result = materialise(make(), name)
     _delete(_written[before:-1])
     _written[before:] = _written[-1:]
-    gc.collect()
-    result.sparkSession.sparkContext._jvm.System.gc()
+    free_shuffles(result.sparkSession)
     return result
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished plans when the driver collects garbage; ask it to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later plan reads."""
+    for table in tables:
+        files = set(table.inputFiles())
+        gone = [x for x in _written if any(x[1].split(":", 1)[-1].lstrip("/") in f for f in files)]
+        _delete(gone)
+        _written[:] = [x for x in _written if x not in gone]
+
+
 def _delete(tables: list[tuple[SparkSession, str]]) -> None:
     for spark, path in tables:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
