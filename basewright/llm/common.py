@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basewright.plans.scratch import distilled, drop_materialised, materialise, shared_dir, written
+from basewright.plans.scratch import distilled, drop_materialised, forget, free_shuffles, materialise, shared_dir, written
 
-__all__ = ["distilled", "drop_materialised", "materialise", "shared_dir", "written"]
+__all__ = ["distilled", "drop_materialised", "forget", "free_shuffles", "materialise", "shared_dir", "written"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -54,13 +54,13 @@ def row_key(*columns: str) -> Column:
 
 
 def rows_of(df: DataFrame, chosen: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that ``chosen`` (id, key and any further columns, one row each) names, with those columns.
+    """row (a struct of all columns) of each row that ``chosen`` (id, key and any further columns, one row each) names, and those columns.
 
     Of rows that repeat id and key, which no operator tells apart, the first by all columns stays.
     """
-    own = df.withColumn("__key", key).withColumn("__all", F.xxhash64(*[F.col(c) for c in df.columns]))
-    picks = chosen.withColumnRenamed("id", "__id").withColumnRenamed("key", "__pick")
-    same = own[id_col].eqNullSafe(picks["__id"]) & (own["__key"] == picks["__pick"])
-    found = own.join(picks, same).drop("__id", "__pick")
-    first = Window.partitionBy(id_col, "__key").orderBy("__all")
-    return found.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth", "__key", "__all")
+    whole = F.struct(*[F.col(c) for c in df.columns])  # no column of the row can clash with those of the join
+    own = df.select(whole.alias("row"), F.col(id_col).alias("own_id"), key.alias("own_key"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("own_all"))
+    more = [c for c in chosen.columns if c not in ("id", "key")]
+    found = own.join(chosen, own["own_id"].eqNullSafe(chosen["id"]) & (own["own_key"] == chosen["key"]))
+    first = Window.partitionBy("own_id", "own_key").orderBy("own_all")
+    return found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row", *more)

@@ -133,7 +133,7 @@ def exact_duplicates_dropped(df: DataFrame, id_col: str = "doc_id", text_col: st
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
     kept = distilled(lambda: content_sort_dedup(df, id_col, text_col).filter("kept"), "kept")
     chosen = kept.select(F.col("doc_id").alias("id"), F.xxhash64("text_sha256").alias("key"))
-    return rows_of(df, chosen, F.xxhash64(digest), id_col)
+    return rows_of(df, chosen, F.xxhash64(digest), id_col).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,11 +191,11 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Only the few rows at an end of their source's stretch are taken in part.
     """
-    times = F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")
+    times = F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times")
     counted = taken_words(df, id_col, text_col, source_col).filter("size > 0").groupBy("doc_id", "hash").agg(times)
-    chosen = distilled(lambda: counted.filter("__times > 0").withColumnsRenamed({"doc_id": "id", "hash": "key"}), "taken")
+    chosen = distilled(lambda: counted.filter("times > 0").withColumnsRenamed({"doc_id": "id", "hash": "key"}), "taken")
     found = rows_of(df, chosen, _order_hash(id_col, text_col), id_col)
-    return found.withColumn("__time", F.explode(F.sequence(F.lit(1), "__times"))).drop("__time", "__times")
+    return found.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def _order_hash(id_col: str, text_col: str) -> Column:
