@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_repetition": repetition.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

@@ -141,3 +141,47 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(repetition(documents(spark, sf_dir)))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return found.select(*first, *[c for c in _COLUMNS if c not in first])
+
+
+def _sql() -> str:
+    """The same measures and verdicts as SQL; a table's doc_id must be unique and not null."""
+    parts, joins, over = [], [], [f"dup_line_chars > word_chars * {MOST_LINES}"]
+    for n in sorted({*MOST_REPEATED, *MOST_TOP, BASE_WINDOW}):
+        parts.append(f"""g{n} AS (
+  SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS gram FROM w),
+k{n} AS (SELECT doc_id, gram, list(i) AS places, count(*) AS c FROM g{n} WHERE len(gram) = {n} GROUP BY doc_id, gram HAVING count(*) > 1)""")
+        if n in MOST_REPEATED or n == BASE_WINDOW:
+            parts.append(f"""d{n} AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS chars FROM w
+  JOIN (SELECT DISTINCT doc_id, p + x AS i FROM (SELECT doc_id, unnest(places) AS p FROM k{n}), unnest(range(0, {n})) AS u(x)) USING (doc_id, i) GROUP BY doc_id)""")
+            joins.append(f"LEFT JOIN d{n} ON d{n}.doc_id = base.doc_id")
+        if n in MOST_TOP:
+            parts.append(f"""t{n} AS (
+  SELECT doc_id, max(c * list_sum(list_transform(gram, lambda x: length(x)))) AS chars FROM k{n} WHERE c >= {MIN_TOP} GROUP BY doc_id)""")
+            joins.append(f"LEFT JOIN t{n} ON t{n}.doc_id = base.doc_id")
+    columns = [f"cast(coalesce(d{BASE_WINDOW}.n_words, 0) AS bigint) AS n_repeat_words"]
+    for name, most, table in [(f"repeat_chars_{n}", m, f"d{n}") for n, m in MOST_REPEATED.items()] + [(f"top_chars_{n}", m, f"t{n}") for n, m in MOST_TOP.items()]:
+        columns.append(f"cast(coalesce({table}.chars, 0) AS bigint) AS {name}")
+        over.append(f"{name} > word_chars * {most}")
+    failed = f"(n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MOST_REPEAT_WORDS})"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM docs)),
+line AS (
+  SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
+lines AS (
+  SELECT doc_id, sum(c - 1) AS n, sum((c - 1) * length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS chars FROM line GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY doc_id),
+base AS (
+  SELECT docs.doc_id, cast(coalesce(counts.n, 0) AS bigint) AS n_words, cast(coalesce(counts.chars, 0) AS bigint) AS word_chars,
+    cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+    cast(coalesce(lines.n, 0) AS bigint) AS n_dup_lines, cast(coalesce(lines.chars, 0) AS bigint) AS dup_line_chars
+  FROM docs LEFT JOIN counts ON counts.doc_id = docs.doc_id LEFT JOIN lines ON lines.doc_id = docs.doc_id),
+{", ".join(parts)},
+found AS (SELECT base.*, {", ".join(columns)} FROM base {" ".join(joins)})
+SELECT *, {failed} AS base_failed, NOT {failed} AND NOT ({" OR ".join(over)}) AS kept FROM found"""
+
+
+OP5_SQL = _sql()
