@@ -1,8 +1,8 @@
 """Exact Jaccard similarity join on word n-grams by vertical partitioning.
 
 Every text becomes the set of its distinct word n-grams (hashed). Equal sets
-form one class, known by a digest. One global order of n-grams (frequent ones
-last, the rest by hash) serves two purposes:
+form one class, known by a digest. One global order of n-grams (those that
+several sets share last, the rest by hash) serves two purposes:
 
 * Candidates. Two sets of Jaccard similarity t share an n-gram among the first
   ``n - ceil(t n) + 1`` of each in that order. Only n-grams that two sets hold
@@ -19,7 +19,8 @@ only pairs whose ends are in different components, until none is left untested.
 So no group of copies is expanded into all pairs, and no link that joins two
 components is lost.
 
-Which n-grams count as frequent only changes the order, never the result.
+Which n-grams count as shared is kept in a bit set of fixed size. It only changes
+the order, never the result.
 
 Defined results: texts without a word, and null texts, have an empty set, link
 with nothing and are their own component; a text with fewer than n words has its
@@ -37,20 +38,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import distilled, documents, materialise, row_key, rows_of, text_slices
+from basewright.llm.common import distilled, documents, forget, free_shuffles, materialise, row_key, rows_of, text_slices
 from basewright.llm.components import components
 from basewright.llm.hashing import WordHashes
 
 TOKEN_BITS = 40
-#: An n-gram that a batch holds at least so often is a candidate for the frequent ones ...
-LOCAL_COUNT = 6
-#: ... which are those with at least so many places in all, the most frequent first, at most MOST_FREQUENT (8 bytes each, broadcast).
-FREQUENT, MOST_FREQUENT = 48, 1_000_000
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
 #: Fragments of the global order.
 FRAGMENTS = 8
-#: log2 of the bits of the broadcast filter that spares unneeded sets the shuffle.
+#: log2 of the bits of the two broadcast bit sets, 8 MB each: shared n-grams, and classes whose sets are needed.
 FILTER_BITS = 26
 
 _hashes = WordHashes(64, b"ngram")
@@ -126,85 +123,89 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {id_type}, key bigint, size bigint, class bigint, tokens binary")
 
 
-def _frequent(sets: DataFrame, percent: int) -> np.ndarray:
-    """The frequent n-grams, ascending; an array bounded by MOST_FREQUENT."""
+def _bit_set(values: DataFrame, column: str) -> np.ndarray:
+    """2**FILTER_BITS bits (8 MB, whatever the input) with a bit for every value given."""
+    place = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    words = values.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _in_bit_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & ((1 << FILTER_BITS) - 1)
+    return ((bits[place >> 6] >> (place & 63)) & 1).astype(bool)
+
+
+def _reach(size: int, percent: int) -> int:
+    """N-grams by hash among which a prefix lies unless many of them are shared."""
+    k = prefix_length(size, percent)
+    return k + k // 4 + 2
+
+
+def _shared_ngrams(sets: DataFrame, percent: int) -> np.ndarray:
+    """Bit set of the n-grams that two or more sets hold among their first ones by hash."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            heads = []
-            for packed in batch.column(0).to_pylist():
-                k = prefix_length(len(packed) // 5, percent)
-                heads.append(_unpack(packed[: 5 * (2 * k)]))  # the order may reach beyond the first k, past frequent ones
+            heads = [_unpack(packed[: 5 * _reach(len(packed) // 5, percent)]) for packed in batch.column(0).to_pylist()]
             if heads:
                 token, count = np.unique(np.concatenate(heads), return_counts=True)
-                often = count >= LOCAL_COUNT
-                yield pa.RecordBatch.from_arrays([pa.array(token[often]), pa.array(count[often])], ["token", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int32))], ["token", "places"])
 
-    counted = sets.filter("tokens is not null").select("tokens").mapInArrow(run, "token bigint, places bigint")
-    top = counted.groupBy("token").agg(F.sum("places").alias("places")).filter(F.col("places") >= FREQUENT)
-    found = top.orderBy(F.desc("places"), "token").limit(MOST_FREQUENT).select("token").toArrow()
-    return np.sort(found.column(0).to_numpy())
+    counted = sets.filter("tokens is not null").select("tokens").mapInArrow(run, "token bigint, places int")
+    return _bit_set(counted.groupBy("token").agg(F.sum("places").alias("places")).filter("places > 1"), "token")
 
 
-def _classes(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """class, size, typical (share of frequent n-grams), sketch, prefix."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+def _classes(sets: DataFrame, shared_ngrams: np.ndarray, percent: int) -> DataFrame:
+    """class, size, typical (share of shared n-grams), sketch, prefix."""
+    shared = sets.sparkSession.sparkContext.broadcast(shared_ngrams)
 
     def run(batches):
         import pyarrow as pa
 
-        often = shared.value
         for batch in batches:
             typical, sketches, prefixes = [], [], []
             for packed in batch.column(2).to_pylist():
                 token = _unpack(packed)
-                is_often = np.zeros(len(token), bool)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, token), len(often) - 1)
-                    is_often = often[at] == token
-                typical.append(float(is_often.mean()))
+                late = _in_bit_set(shared.value, token)
+                typical.append(float(late[: _reach(len(token), percent)].mean()))
                 bits = np.bincount(token % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
                 sketches.append(np.packbits(bits.astype(np.uint8)).view("<i8").tolist())
                 k = prefix_length(len(token), percent)
-                prefixes.append(np.concatenate([token[~is_often][:k], token[is_often][: max(0, k - int((~is_often).sum()))]]))
+                early = token[~late][:k]
+                prefixes.append(np.concatenate([early, token[late][: k - len(early)]]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(typical, pa.float64()), pa.array(sketches, pa.list_(pa.int64())),
+                [batch.column(0), batch.column(1), pa.array(typical, pa.float32()), pa.array(sketches, pa.list_(pa.int64())),
                  pa.array(prefixes, pa.list_(pa.int64()))],
                 ["class", "size", "typical", "sketch", "prefix"],
             )
 
     rows = sets.filter("tokens is not null").select("class", "size", "tokens")
-    return rows.mapInArrow(run, "class bigint, size bigint, typical double, sketch array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(run, "class bigint, size bigint, typical float, sketch array<bigint>, prefix array<bigint>")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of sizes."""
+    """Sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of the sizes."""
     c = lambda side, name: F.col(f"{side}.{name}")
     most = (c(a, "size") + c(b, "size")) * (100 - percent)
     differing = F.lit(0)
     for i in range(SKETCH_WORDS):
         differing = differing + F.bit_count(c(a, f"sketch{i}").bitwiseXOR(c(b, f"sketch{i}")))
-    near = F.abs(c(a, "size") - c(b, "size")) * (100 + percent) <= most
-    return near & (differing * (100 + percent) <= most)
+    return _sizes_near(a, b, percent) & (differing * (100 + percent) <= most)
 
 
-def _filter_of(classes: DataFrame) -> np.ndarray:
-    """A bit set of 2**FILTER_BITS bits (8 MB, whatever the input) with a bit for every class given."""
-    place = F.col("class").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = (
-        classes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(class & 63 as int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    )
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out
+def _sizes_near(a: str, b: str, percent: int) -> Column:
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
 def _segments(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, size, fragment, segment (packed) of the wanted classes and of few others."""
-    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    shared = sets.sparkSession.sparkContext.broadcast(_bit_set(wanted, "class"))
 
     def run(batches):
         import pyarrow as pa
@@ -213,8 +214,7 @@ def _segments(sets: DataFrame, wanted: DataFrame) -> DataFrame:
         cuts = np.arange(1, FRAGMENTS) * (1 << TOKEN_BITS) // FRAGMENTS
         for batch in batches:
             classes = batch.column(0).to_numpy()
-            place = classes & ((1 << FILTER_BITS) - 1)
-            take = np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)
+            take = np.flatnonzero(_in_bit_set(bits, classes))
             out: list = [[], [], [], []]
             for i in take.tolist():
                 packed = batch.column(2)[i].as_py()
@@ -257,17 +257,21 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         count, "a bigint, b bigint, sizes bigint, common bigint"
     )
     summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("sizes").alias("sizes"))
-    return summed.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b")
+    links = materialise(summed.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b"), "links")
+    forget(pairs, segments)
+    return links
 
 
-def _joined(sets: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """members with the components that the pairs' links merge."""
-    edges = materialise(verified(sets, pairs, percent), "edges")
+def _joined(sets: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks still open, components taken in by others: component, root) after the pairs' links."""
+    edges = verified(sets, pairs, percent)
     at = members.select("class", "component").distinct()
     merged = edges.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    roots = components(merged).toDF("component", "root")
+    roots = materialise(components(merged).toDF("component", "root"), "roots")
     kept = members.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
-    return materialise(_open(kept), "blocks"), materialise(roots, "roots")
+    blocks = materialise(_open(kept), "blocks")
+    free_shuffles(sets.sparkSession)
+    return blocks, roots
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -289,27 +293,36 @@ def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_i
 def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     inputs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(text_col).alias("key"))
     sets = materialise(_sets(inputs, n), "ngram-sets")
-    classes = materialise(_classes(sets, _frequent(sets, percent), percent), "classes")
+    shared_ngrams = _shared_ngrams(sets, percent)
+    free_shuffles(df.sparkSession)
+    classes = materialise(_classes(sets, shared_ngrams, percent), "classes")
     postings = classes.select(F.explode("prefix").alias("token"), "class")
     shared = materialise(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "shared")
+    free_shuffles(df.sparkSession)
+    blocks = materialise(postings.join(shared, "token").dropDuplicates(["token", "class"]), "postings")
     sketches = [F.col("sketch")[i].alias(f"sketch{i}") for i in range(SKETCH_WORDS)]
     traits = classes.select("class", "size", "typical", *sketches).dropDuplicates(["class"])
-    blocks = postings.join(shared, "token").dropDuplicates(["token", "class"]).join(traits, "class")
-    members = materialise(_open(blocks.withColumn("component", F.col("class"))), "blocks")
+    traits = materialise(traits.join(blocks.select("class").distinct(), "class", "left_semi"), "traits")
+    members = blocks.join(traits.select("class", "size", "typical"), "class").withColumn("component", F.col("class"))
+    members = materialise(_open(members), "blocks")
+    forget(classes, shared, blocks)
+    free_shuffles(df.sparkSession)
 
     merges = []  # tables that map a component to the one that took it in
+    sides = traits.alias("m"), traits.alias("h")
     for choice in (F.struct("typical", "class"), F.struct(F.xxhash64("class"), "class")):
-        centres = members.groupBy("token").agg(F.max_by("class", choice).alias("class"))
-        hubs = centres.join(members, ["token", "class"])
+        hubs = members.groupBy("token").agg(F.max_by(F.struct("class", "component", "size"), choice).alias("hub")).select("token", "hub.*")
         pairs = (
             members.alias("m").join(hubs.alias("h"), "token")
-            .filter((F.col("m.component") != F.col("h.component")) & _may_link("m", "h", percent))
+            .filter((F.col("m.component") != F.col("h.component")) & _sizes_near("m", "h", percent))
             .select(F.col("h.class").alias("a"), F.col("m.class").alias("b")).distinct()
         )
-        members, roots = _joined(sets, members, pairs, percent)
+        near = pairs.join(sides[0], F.col("b") == F.col("m.class")).join(sides[1], F.col("a") == F.col("h.class"))
+        members, roots = _joined(sets, members, near.filter(_may_link("m", "h", percent)).select("a", "b"), percent)
         merges.append(roots)
+    full = members.select("token", "class", "component").join(traits, "class")
     rest = (
-        members.alias("m").join(members.alias("h"), "token")
+        full.alias("m").join(full.alias("h"), "token")
         .filter((F.col("m.component") < F.col("h.component")) & _may_link("m", "h", percent))
         .select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct()
     )
@@ -335,9 +348,10 @@ def near_duplicates_dropped(df: DataFrame, n: int, percent: int, id_col: str = "
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "key")
     firsts = found.filter("component is not null").groupBy("component").agg(F.min(order).alias("first")).select("first.id", "first.key")
     wordless = found.filter("component is null").select(F.col("doc_id").alias("id"), "key").distinct()
-    return rows_of(df, firsts.union(wordless), row_key(text_col), id_col)
+    return rows_of(df, firsts.union(wordless), row_key(text_col), id_col).select("row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id: 4-word shingles, similarity of 0.85 or more."""
     return jaccard_components(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")
+
