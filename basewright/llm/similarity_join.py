@@ -14,8 +14,9 @@ several sets share last, the rest by hash) serves two purposes:
   are summed for each pair. The sum decides.
 
 Links inside one component need not all be verified: first each block's most
-typical member is compared with the others, then a second one, and after that
-only pairs whose ends are in different components, until none is left untested.
+typical member is compared with the others, then some members drawn by hash,
+then for each two components their likeliest pair, and at last every pair whose
+ends are still in different components.
 So no group of copies is expanded into all pairs, and no link that joins two
 components is lost.
 
@@ -45,8 +46,10 @@ from basewright.llm.hashing import WordHashes
 TOKEN_BITS = 40
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
+#: Members of each block that the second round compares with the others, drawn by hash.
+CENTRES = 3
 #: Fragments of the global order.
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: log2 of the bits of the two broadcast bit sets, 8 MB each: shared n-grams, and classes whose sets are needed.
 FILTER_BITS = 26
 
@@ -188,14 +191,18 @@ def _classes(sets: DataFrame, shared_ngrams: np.ndarray, percent: int) -> DataFr
     return rows.mapInArrow(run, "class bigint, size bigint, typical float, sketch array<bigint>, prefix array<bigint>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of the sizes."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    most = (c(a, "size") + c(b, "size")) * (100 - percent)
+def _difference(a: str, b: str) -> Column:
+    """Least size of the symmetric difference that the sketches prove."""
     differing = F.lit(0)
     for i in range(SKETCH_WORDS):
-        differing = differing + F.bit_count(c(a, f"sketch{i}").bitwiseXOR(c(b, f"sketch{i}")))
-    return _sizes_near(a, b, percent) & (differing * (100 + percent) <= most)
+        differing = differing + F.bit_count(F.col(f"{a}.sketch{i}").bitwiseXOR(F.col(f"{b}.sketch{i}")))
+    return differing
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of the sizes."""
+    most = (F.col(f"{a}.size") + F.col(f"{b}.size")) * (100 - percent)
+    return _sizes_near(a, b, percent) & (_difference(a, b) * (100 + percent) <= most)
 
 
 def _sizes_near(a: str, b: str, percent: int) -> Column:
@@ -246,7 +253,6 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 [batch.column(c) for c in ("a", "b", "sizes")] + [pa.array(common, pa.int64())], ["a", "b", "sizes", "common"]
             )
 
-    pairs = materialise(pairs, "candidates")
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
     segments = materialise(_segments(sets, ends), "segments")
     left = segments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("segment").alias("left"))
@@ -258,12 +264,15 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     )
     summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("sizes").alias("sizes"))
     links = materialise(summed.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b"), "links")
-    forget(pairs, segments)
+    forget(segments)
     return links
 
 
-def _joined(sets: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _joined(sets: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(blocks still open, components taken in by others: component, root) after the pairs' links."""
+    pairs = materialise(pairs, "candidates")
+    if not pairs.head(1):
+        return members, None
     edges = verified(sets, pairs, percent)
     at = members.select("class", "component").distinct()
     merged = edges.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -309,29 +318,37 @@ def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_c
     free_shuffles(df.sparkSession)
 
     merges = []  # tables that map a component to the one that took it in
-    sides = traits.alias("m"), traits.alias("h")
-    for choice in (F.struct("typical", "class"), F.struct(F.xxhash64("class"), "class")):
-        hubs = members.groupBy("token").agg(F.max_by(F.struct("class", "component", "size"), choice).alias("hub")).select("token", "hub.*")
+    m, h = traits.alias("m"), traits.alias("h")
+    member = F.struct("class", "component", "size")
+    for orders in ([F.struct("typical", "class")], [F.xxhash64(F.lit(i), "class") for i in range(CENTRES)]):
+        hubs = members.groupBy("token").agg(*[F.max_by(member, order).alias(f"hub{i}") for i, order in enumerate(orders)])
+        hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[f"hub{i}" for i in range(len(orders))]))).alias("hub")).select("token", "hub.*")
         pairs = (
             members.alias("m").join(hubs.alias("h"), "token")
             .filter((F.col("m.component") != F.col("h.component")) & _sizes_near("m", "h", percent))
             .select(F.col("h.class").alias("a"), F.col("m.class").alias("b")).distinct()
         )
-        near = pairs.join(sides[0], F.col("b") == F.col("m.class")).join(sides[1], F.col("a") == F.col("h.class"))
+        near = pairs.join(m, F.col("b") == F.col("m.class")).join(h, F.col("a") == F.col("h.class"))
         members, roots = _joined(sets, members, near.filter(_may_link("m", "h", percent)).select("a", "b"), percent)
         merges.append(roots)
-    full = members.select("token", "class", "component").join(traits, "class")
-    rest = (
-        full.alias("m").join(full.alias("h"), "token")
-        .filter((F.col("m.component") < F.col("h.component")) & _may_link("m", "h", percent))
-        .select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct()
-    )
-    merges.append(_joined(sets, members, rest, percent)[1])
+    for likeliest in (True, False):
+        full = members.select("token", "class", "component").join(traits, "class")
+        rest = full.alias("m").join(full.alias("h"), "token").filter((F.col("m.component") < F.col("h.component")) & _may_link("m", "h", percent))
+        a, b = F.col("m.class").alias("a"), F.col("h.class").alias("b")
+        if likeliest:
+            best = F.min_by(F.struct(a, b), F.struct(_difference("m", "h"), "m.class", "h.class")).alias("best")
+            pairs = rest.groupBy("m.component", "h.component").agg(best).select("best.*")
+        else:
+            pairs = rest.select(a, b).distinct()
+        members, roots = _joined(sets, members, pairs, percent)
+        merges.append(roots)
+        if roots is None:  # no pair left
+            break
 
     rows = sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class")
     by_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     by_class = by_class.withColumn("component", F.col("class"))
-    for roots in merges:
+    for roots in filter(None, merges):
         by_class = by_class.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
     by_class = materialise(by_class, "class-components")
     least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
