@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_repetition": repetition.OP5_SQL,
+    "op8_ngram_join": similarity_join.OP8_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

@@ -372,3 +372,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id: 4-word shingles, similarity of 0.85 or more."""
     return jaccard_components(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")
 
+
+#: The same as SQL, which counts the overlap of every pair that shares an n-gram; doc_id must be unique and not null.
+OP8_SQL = r"""WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), ' ') AS gram, i, n FROM w),
+s AS (SELECT DISTINCT doc_id, gram FROM g WHERE i + 3 <= n OR (n < 4 AND i = 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT docs.doc_id, cast(coalesce(sizes.n, 0) AS bigint) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = docs.doc_id) AS component_id
+FROM docs LEFT JOIN sizes ON sizes.doc_id = docs.doc_id"""
