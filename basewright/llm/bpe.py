@@ -36,11 +36,11 @@ UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: The split pattern that the vocabulary file must carry (a fixed value of that file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of a worker's chunk table; it starts anew beyond that.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 300_000
 
 
 #: Bytes of text that are encoded together.
-SLICE = 12 << 20
+SLICE = 6 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -79,8 +79,8 @@ class PairIndexBpe:
         self.pair_ranks = np.argsort(keys, kind="stable")
         self.pair_keys = keys[self.pair_ranks]
         alphabet = byte_alphabet()
-        self.inner = np.array([self.ids[c] for c in alphabet], np.int64)
-        self.final = np.array([self.ids[c + self.suffix] for c in alphabet], np.int64)
+        self.inner = np.array([self.ids[c] for c in alphabet], np.int32)
+        self.final = np.array([self.ids[c + self.suffix] for c in alphabet], np.int32)
         self.tokens = regex.compile(SPLIT)
         self.stretch = re.compile(f"[^{UNICODE_SPACE}]+")
         self.separator = re.compile(r"[\x1c-\x1f]")
@@ -117,9 +117,9 @@ class PairIndexBpe:
         symbol = self.inner[data]
         symbol[ends - 1] = self.final[data[ends - 1]]
         n, none = len(symbol), len(self.pair_keys)
-        after = np.arange(1, n + 1)
+        after = np.arange(1, n + 1, dtype=np.int32)
         after[ends - 1] = -1
-        before = np.arange(-1, n - 1)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[ends - length] = -1
 
         places: dict[int, list] = defaultdict(list)  # rank of a pair: arrays of its left positions
@@ -136,7 +136,7 @@ class PairIndexBpe:
                     heapq.heappush(active, rank)
                 places[rank].append(group)
 
-        left = np.flatnonzero(after >= 0)
+        left = np.flatnonzero(after >= 0).astype(np.int32)
         ranks = self.rank_of(symbol[left], symbol[left + 1])
         note(ranks[ranks < none], left[ranks < none])
         while active:

@@ -8,7 +8,7 @@ import hashlib
 class WordHashes(dict):
     """word (bytes) -> unsigned integer of ``bits`` bits; starts anew when full."""
 
-    def __init__(self, bits: int, salt: bytes = b"", most: int = 400_000) -> None:
+    def __init__(self, bits: int, salt: bytes = b"", most: int = 150_000) -> None:
         self.shift, self.salt, self.most = 64 - bits, salt, most
 
     def __missing__(self, word: bytes) -> int:
