@@ -18,7 +18,8 @@ typical member is compared with the others, then some members drawn by hash,
 then for each two components their likeliest pair, and at last every pair whose
 ends are still in different components.
 So no group of copies is expanded into all pairs, and no link that joins two
-components is lost.
+components is lost. ``jaccard_links`` and ``jaccard_link_counts`` do without this
+short cut: they verify every candidate pair and give all links.
 
 Which n-grams count as shared is kept in a bit set of fixed size. It only changes
 the order, never the result.
@@ -299,15 +300,19 @@ def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_i
     return distilled(lambda: _jaccard_components(df, n, percent, id_col, text_col), "components")
 
 
-def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _ngram_rows(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     inputs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(text_col).alias("key"))
-    sets = materialise(_sets(inputs, n), "ngram-sets")
+    return materialise(_sets(inputs, n), "ngram-sets")
+
+
+def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of two or more classes: token, class, size, typical, component; traits of those classes)."""
     shared_ngrams = _shared_ngrams(sets, percent)
-    free_shuffles(df.sparkSession)
+    free_shuffles(sets.sparkSession)
     classes = materialise(_classes(sets, shared_ngrams, percent), "classes")
     postings = classes.select(F.explode("prefix").alias("token"), "class")
     shared = materialise(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "shared")
-    free_shuffles(df.sparkSession)
+    free_shuffles(sets.sparkSession)
     blocks = materialise(postings.join(shared, "token").dropDuplicates(["token", "class"]), "postings")
     sketches = [F.col("sketch")[i].alias(f"sketch{i}") for i in range(SKETCH_WORDS)]
     traits = classes.select("class", "size", "typical", *sketches).dropDuplicates(["class"])
@@ -315,7 +320,51 @@ def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_c
     members = blocks.join(traits.select("class", "size", "typical"), "class").withColumn("component", F.col("class"))
     members = materialise(_open(members), "blocks")
     forget(classes, shared, blocks)
-    free_shuffles(df.sparkSession)
+    free_shuffles(sets.sparkSession)
+    return members, traits
+
+
+def jaccard_links(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, rows_a, rows_b: every two different classes (a < b) that link, and how many rows each has.
+
+    The whole join: every candidate pair is verified, also inside one component,
+    so a group of m near copies gives up to m (m - 1) / 2 rows. Rows of one class
+    link with each other and are not listed; ``class`` of ``jaccard_components``
+    or ``jaccard_link_counts`` names the rows of a class.
+    """
+    return distilled(lambda: _jaccard_links(_ngram_rows(df, n, id_col, text_col), percent), "jaccard-links")
+
+
+def _jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
+    members, traits = _candidates(sets, percent)
+    full = members.select("token", "class").join(traits, "class")
+    both = full.alias("m").join(full.alias("h"), "token").filter((F.col("m.class") < F.col("h.class")) & _may_link("m", "h", percent))
+    pairs = materialise(both.select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct(), "candidates")
+    links = verified(sets, pairs, percent)
+    rows = sets.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
+    return links.join(rows.toDF("a", "rows_a"), "a").join(rows.toDF("b", "rows_b"), "b").select("a", "b", "rows_a", "rows_b")
+
+
+def jaccard_link_counts(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, n_shingles, class, n_links: for each input row, how many other rows link with it."""
+
+    def make() -> DataFrame:
+        sets = _ngram_rows(df, n, id_col, text_col)
+        links = materialise(_jaccard_links(sets, percent), "jaccard-links")
+        ends = links.select(F.col("a").alias("class"), F.col("rows_b").alias("others"))
+        ends = ends.union(links.select(F.col("b").alias("class"), F.col("rows_a").alias("others")))
+        others = ends.groupBy("class").agg(F.sum("others").alias("others"))
+        own = sets.filter("class is not null").groupBy("class").agg((F.count("*") - 1).alias("own"))
+        counts = own.join(others, "class", "left").select("class", (F.col("own") + F.coalesce("others", F.lit(0))).alias("n_links"))
+        rows = sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class").join(counts, "class", "left")
+        return rows.select("doc_id", "key", "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    return distilled(make, "link-counts")
+
+
+def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    sets = _ngram_rows(df, n, id_col, text_col)
+    members, traits = _candidates(sets, percent)
 
     merges = []  # tables that map a component to the one that took it in
     m, h = traits.alias("m"), traits.alias("h")

@@ -374,6 +374,35 @@ def test_similarity_join_by_brute_force(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 50)])
+def test_similarity_join_gives_every_link(spark, n, percent):
+    """Components of many different texts, copies and texts without a word: all links, also those inside a component."""
+    rng = random.Random(n)
+    rows, i = [], 0
+    for _ in range(6):
+        text = words(rng, rng.choice([3, 90, 200]))
+        for _ in range(12):
+            rows += [(i, " ".join(text)), (i + 1, " ".join(text).upper())][: rng.choice([1, 2])]
+            i += 2
+            text = [*text]
+            text[rng.randrange(len(text))] = f"edit{i}"
+    rows += [(i, None), (i + 1, " "), (None, rows[0][1])]
+    sets = []
+    for _, text in rows:
+        w = WORD.findall((text or "").lower())
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    links = {(j, k) for j, a in enumerate(sets) for k, b in enumerate(sets) if j != k and a & b and 100 * len(a & b) >= percent * len(a | b)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = rows_of(similarity_join.jaccard_link_counts(docs, n, percent))
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in counted) == Counter((d, len(sets[j]), sum(x == j for x, _ in links)) for j, (d, _) in enumerate(rows))
+    class_of = {r["doc_id"]: r["class"] for r in counted}
+    size = Counter(sets)
+    want = {(*sorted((class_of[rows[j][0]], class_of[rows[k][0]])), frozenset([(sets[j], size[sets[j]]), (sets[k], size[sets[k]])])) for j, k in links if sets[j] != sets[k]}
+    named = {class_of[rows[j][0]]: x for j, x in enumerate(sets)}
+    got = {(r["a"], r["b"], frozenset([(named[r["a"]], r["rows_a"]), (named[r["b"]], r["rows_b"])])) for r in rows_of(similarity_join.jaccard_links(docs, n, percent))}
+    assert got == want and len(got) > 20
+
+
 # ---- 10
 
 
