@@ -64,7 +64,7 @@ def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     flat = [w for part in words for w in part]
     number = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
     rolled = np.zeros(max(len(number) - n + 1, 0), np.uint64)
-    for i in range(n):
+    for i in range(n if len(rolled) else 0):  # with too few words the slices would count from the end
         rolled = (rolled ^ number[i : len(number) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xD6E8FEB86659FD93)

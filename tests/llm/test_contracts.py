@@ -328,6 +328,16 @@ def test_exact_dedup_spans_ranges(spark):
     assert set(kept.values()) == {1} and len(kept) == len(groups)
 
 
+def test_ngram_sets_of_tiny_slices():
+    """0 to n + 1 words in all, as one text and one a text."""
+    for n in (4, 5):
+        for total in range(n + 2):
+            each = [f"w{i}" for i in range(total)]
+            sizes = [len(x) for x in similarity_join.ngram_sets([" ".join(each), ""], n)]
+            assert sizes == [max(total - n + 1, min(total, 1)), 0]
+            assert [len(x) for x in similarity_join.ngram_sets(each, n)] == [1] * total
+
+
 def brute_components(rows, n, percent):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
