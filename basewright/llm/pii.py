@@ -8,17 +8,19 @@ every document and different values different ones.
 
 Kinds, in the order of their patterns:
   email       the local part, letters to letters and digits to digits
-  credential  the value after token, secret, password or key and = or :
-  iban        valid by modulo 97: account part permuted, check digits renewed
+  credential  the whole value after token, secret, password or key and = or :, quoted or up to white space,
+              a mark-up bracket or the next name =
+  iban        valid by modulo 97, plain or in printed groups of four: account part permuted, check digits renewed
   ip          four octets to 255: the 32-bit address
   ssn         valid area, group and serial: within the valid numbers
-  date        valid ISO, day-first or else month-first date, 1901 to 2096
-  phone       +country, (area) or ddd-ddd-dddd forms: the last ten digits
-  card        13 to 19 digits with a right Luhn digit: all between the first and the last
+  date        valid ISO, day-first or else month-first date of the years 1 to 9999: within 1901 to 2096, the years before, or those after
+  phone       +country, (area) or ddd-ddd-dddd forms, also with dots or spaces: the last ten digits
+  card        13 to 19 digits with a right Luhn digit, but for decimals: all between the first and the last
 
 Each network adds, in alternating rounds, a hash of one half to the other half,
 modulo that half's own size; a mixed pair of moduli fits domains such as the
-71,589 days of 1901 to 2096 = 147 * 487 exactly.
+71,589 days of 1901 to 2096 = 147 * 487 exactly; 693,960 days before are 120 * 5783,
+2,886,510 days after 330 * 8747.
 
 Defined results: a null text stays null and counts no value; empty texts and
 texts without valid values stay as they are, byte by byte; values that fail
@@ -40,21 +42,37 @@ DEMO_KEY = "replace-this-key"
 
 _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Printed IBANs by their country's length, so that a word after them is not taken in.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_PRINTED = "|".join(
+    f"(?:{names.replace(' ', '|')})" + r"\d{2}(?: [A-Z0-9]{4}){" + str(n // 4 - 1) + "}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, names in IBAN_LENGTHS.items()
+)
+_NAMED = r"(?i:token|secret|password|passwd|(?:api[_-]?)?key)[\"']?\s*+[=:]\s*+"
+#: A value without quotes ends with a letter, digit, _ or -, before white space, quotes, mark-up or the next name and =.
+_BARE = r"(?:(?![&;,][\p{L}\p{N}_]++[=:])[^\s\"'<>])*[\p{L}\p{N}_-]"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "credential": _START + r"(?i:token|secret|password|passwd|api[_-]?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9_\-]{12,}",
-    "iban": _START + r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}" + _END,
+    "credential": _START + _NAMED + r"(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|[\"']?" + _BARE + ")",
+    "iban": _START + r"(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|" + _PRINTED + ")" + _END,
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + (r"\." + _OCTET) * 3 + r"(?![\p{L}\p{N}]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)",
     "date": r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!(?!T\d)[\p{L}\p{N}]|[/.-]\d)",
     "phone": (
         r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{8,15}|\+\d{1,3}(?:[ -]\d{2,4}){2,4}"
-        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?<p>[.-])\d{3}\k<p>\d{4})(?![\p{L}\p{N}]|[.-]\d)"
+        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?<p>[ .-])\d{3}\k<p>\d{4})(?![\p{L}\p{N}]|[.-]\d)"
     ),
-    "card": r"(?<![\p{L}\p{N}+.,-])(?:\d{13,19}|\d{4}(?<c>[ -])\d{4}\k<c>\d{4}\k<c>\d{1,7}|\d{4}(?<d>[ -])\d{6}\k<d>\d{5})" + _END,
+    "card": r"(?<![\p{L}\p{N}])(?<!(?<!\d)\d{1,12}\.)(?:\d{13,19}|\d{4}(?<c>[ -])\d{4}\k<c>\d{4}\k<c>\d{1,7}|\d{4}(?<d>[ -])\d{6}\k<d>\d{5})" + _END,
 }
 ANY = "|".join(PATTERNS.values())
 FIRST_YEAR, DAYS, DAY_MODULI = 1901, 71589, (147, 487)
+#: The same for the years 1 to 1900 and 2097 to 9999.
+EARLY_MODULI, LATE_MODULI = (120, 5783), (330, 8747)
 
 
 def _hash(key: str, *parts) -> Column:
@@ -160,19 +178,22 @@ def _email(key: str, v: Column) -> Column:
 
 
 def _credential(key: str, v: Column) -> Column:
-    value = F.regexp_extract(v, r"([A-Za-z0-9_\-]+)$", 1)
+    split = "^(" + _NAMED + r"[\"']?)(.*?)([\"']?)$"
+    head, value, tail = (F.regexp_extract(v, split, i) for i in (1, 2, 3))
     radix = F.when(value.rlike("^[0-9a-fA-F]+$"), 6).otherwise(26)
-    return F.concat(F.substring(v, F.lit(1), F.length(v) - F.length(value)), _letters(key, F.lit("credential"), value, radix))
+    return F.concat(head, _letters(key, F.lit("credential"), value, radix), tail)
 
 
-def _iban(key: str, v: Column) -> Column:
+def _iban(key: str, shown: Column) -> Column:
+    v = F.regexp_replace(shown, " ", "")
     country = F.substring(v, 1, 2)
     valid = _mod97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1
     account = _letters(key, F.concat(F.lit("iban "), country), F.substring(v, F.lit(5), F.length(v)), 26)
     renewed = F.transform(
         F.array(account), lambda a: F.concat(country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)
     )
-    return F.when(valid, renewed[0])
+    printed = F.regexp_replace(renewed[0], "(.{4})(?=.)", "$1 ")
+    return F.when(valid, F.when(shown.contains(" "), printed).otherwise(renewed[0]))
 
 
 def _ip(key: str, v: Column) -> Column:
@@ -203,18 +224,22 @@ def _date(key: str, v: Column) -> Column:
 
     month, day = F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first)
     start = F.make_date(year, month, F.lit(1))
-    known = year.between(FIRST_YEAR, FIRST_YEAR + 195) & month.between(1, 12) & (~iso | ~month_first)
+    early, late = year < FIRST_YEAR, year > FIRST_YEAR + 195
+    by_age = lambda a, b, c: F.when(early, a).when(late, c).otherwise(b)
+    first_day = by_age("0001-01-01", f"{FIRST_YEAR}-01-01", f"{FIRST_YEAR + 196}-01-01").cast("date")
+    a, b = (by_age(*[F.lit(m[i]).cast("long") for m in (EARLY_MODULI, DAY_MODULI, LATE_MODULI)]) for i in (0, 1))
+    known = year.between(1, 9999) & month.between(1, 12) & (~iso | ~month_first)
     valid = known & F.when(known, day.between(F.lit(1), F.dayofmonth(F.last_day(start)))).otherwise(False)
-    number = F.datediff(start, F.lit(f"{FIRST_YEAR}-01-01").cast("date")) + day - 1
+    number = F.datediff(start, first_day) + day - 1
     mark = F.substring(v, 3, 1)
 
     def shown(x, y):
-        new = F.date_add(F.lit(f"{FIRST_YEAR}-01-01").cast("date"), (x * DAY_MODULI[1] + y).cast("int"))
-        y4, m2, d2 = (F.date_format(new, f) for f in ("yyyy", "MM", "dd"))
+        new = F.date_add(first_day, (x * b + y).cast("int")).cast("string")
+        y4, m2, d2 = F.substring(new, 1, 4), F.substring(new, 6, 2), F.substring(new, 9, 2)
         other = F.when(month_first, F.concat(m2, mark, d2)).otherwise(F.concat(d2, mark, m2))
         return F.when(iso, F.concat(y4, F.lit("-"), m2, F.lit("-"), d2)).otherwise(F.concat(other, mark, y4))
 
-    permuted = _feistel(key, "date", F.floor(number / DAY_MODULI[1]), number % DAY_MODULI[1], *DAY_MODULI, shown)
+    permuted = _feistel(key, by_age("date early", "date", "date late"), F.floor(number / b), number % b, a, b, shown)
     return F.when(valid, permuted)
 
 

@@ -90,6 +90,33 @@ def test_pii_leaves_the_rest(spark):
     assert pseudonyms(spark, texts) == texts
 
 
+def test_pii_written_forms(spark):
+    """Values beside punctuation, in printed groups, whole credentials and dates of all years."""
+    cards = ["4111111111111111,5500005555555559", "Ann,4111111111111111,x", "17,4111111111111111", "x.4111111111111111", "no-4111111111111111", "+4111111111111111"]
+    for text, new in zip(cards, pseudonyms(spark, cards), strict=True):
+        old, got = re.findall(r"\d{16}", text), re.findall(r"\d{16}", new)
+        assert len(got) == len(old) and all(x != y and luhn(y) for x, y in zip(old, got, strict=True))
+        assert re.sub(r"\d{16}", "", text) == re.sub(r"\d{16}", "", new)
+    assert pseudonyms(spark, ["0.4111111111111111"]) == ["0.4111111111111111"]
+    plain, printed, after = pseudonyms(spark, ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "IBAN GB82 WEST 1234 5698 7654 32 NOW"])
+    assert printed.replace(" ", "") == plain != "GB82WEST12345698765432" and after == f"IBAN {printed} NOW"
+    assert re.fullmatch(r"[A-Z]{2}\d\d [A-Z]{4}( \d{4}){3} \d\d", printed)
+    phone, = pseudonyms(spark, ["call 652 555 4544 now"])
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} now", phone) and "652 555 4544" not in phone
+    secrets = ["eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM", "ab+cd/ef", "hunter2", "a/b+c/d1e2f3g4h5==", "s, t; u"]
+    for secret in secrets:
+        forms = [f'password = "{secret}"', f"{{'key': '{secret}'}}"] + ([f"token={secret}&user=bob", f"secret: {secret}."] if " " not in secret else [])
+        for text, new in zip(forms, pseudonyms(spark, forms), strict=True):
+            head, tail = text.split(secret)
+            assert new.startswith(head) and new.endswith(tail) and len(new) == len(text)
+            parts = re.findall("[A-Za-z0-9]{4,}", secret)
+            assert secret not in new and not any(x in new[len(head) : len(new) - len(tail)] for x in parts)
+    dates = ["1850-06-01", "0001-01-01", "1900-12-31", "2097-01-01", "9999-12-31", "24.12.1799"]
+    got = pseudonyms(spark, dates)
+    years = [int(x[-4:] if "." in x else x[:4]) for x in got]
+    assert all(x != y for x, y in zip(dates, got, strict=True)) and [1 <= y <= 1900 for y in years] == [True, True, True, False, False, True] and years[3] > 2096 < years[4]
+
+
 def test_pii_is_one_to_one(spark):
     """All days of a few years, and all two-digit strings: different values get different pseudonyms, equal ones equal."""
     import datetime as dt
