@@ -34,9 +34,11 @@ LENGTHS = (1, 2, 3, 4)
 BITS = 18
 #: About so many training texts a language, of which so many are landmarks.
 ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 60
-#: Bounds over all languages: training texts, landmarks, and languages (the most frequent ones).
-MOST_ROWS, MOST_LANDMARKS, MOST_LANGUAGES = 4000, 800, 200
-#: Training texts have so many characters.
+#: Bounds over all languages: training texts and landmarks, but for the least that every language gets.
+MOST_ROWS, MOST_LANDMARKS = 4000, 800
+#: Expected training texts of a language at least; so many that a draw by hash does not miss one.
+LEAST_ROWS = 30
+#: Where a language has enough texts of so many characters, it trains on those only.
 SAMPLE_CHARS = (20, 8000)
 #: Ridge, relative to the number of training rows, and the floor of kept eigenvalues.
 RIDGE, FLOOR = 1e-3, 1e-6
@@ -88,7 +90,7 @@ class Model:
         if not spectra:
             return
         marks: list[int] = []
-        each = min(LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS // len(self.languages))
+        each = max(1, min(LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS // len(self.languages)))
         for name in self.languages:
             marks += [i for i, x in enumerate(languages) if x == name][:each]
         landmarks = [spectra[i] for i in marks]
@@ -126,30 +128,52 @@ class Model:
 
 
 def train(df: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str) -> Model:
-    """Learn from a sample bounded by twice MOST_ROWS texts.
+    """Learn from a sample bounded by twice MOST_ROWS texts, or twice LEAST_ROWS a language; every language gets a class.
 
     A threshold on the hash of id and text draws about the same number of rows of
-    each language; ``allowed`` is a condition on the column doc_id.
+    each language, of the middle lengths first; ``allowed`` is a condition on the
+    column doc_id. Only the spectra of the drawn texts reach the driver.
     """
     lower, upper = SAMPLE_CHARS
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
-        F.col("lang").isNotNull() & F.length("text").between(lower, upper) & allowed
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & allowed
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    middle = F.length("text").between(lower, upper)
+    counts = {r["lang"]: (r["middle"], r["all"]) for r in rows.groupBy("lang").agg(F.count_if(middle).alias("middle"), F.count("*").alias("all")).collect()}
     if not counts:
         return Model([], [])
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    each = min(ROWS_PER_LANGUAGE, MOST_ROWS // len(counts))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    sample = rows.filter(draw < share[F.col("lang")]).select("text", "lang").limit(2 * MOST_ROWS)
-    drawn = sorted((r["lang"], r["text"]) for r in sample.collect())
+    each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, MOST_ROWS // len(counts)))
+    shares = _shares(df.sparkSession, counts, each)
+    sample = rows.join(F.broadcast(shares), "lang").filter(draw < F.when(middle, F.col("of_middle")).otherwise(F.col("of_rest")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, stop in text_slices(batch.column(0)):
+                part = batch.slice(start, stop - start)
+                found = [spectrum(t).astype("<i4").tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.binary())], ["lang", "bins"])
+
+    taken = sample.select("text", "lang").mapInArrow(run, "lang string, bins binary").limit(2 * max(MOST_ROWS, LEAST_ROWS * len(counts)))
+    drawn = sorted((r["lang"], bytes(r["bins"])) for r in taken.collect())
     np.random.default_rng(SEED).shuffle(drawn)
-    known = [(lang, x) for lang, text in drawn if len(x := spectrum(text))]
+    known = [(lang, np.frombuffer(x, "<i4").astype(np.int64)) for lang, x in drawn if len(x)]
     return Model([x for _, x in known], [lang for lang, _ in known])
 
 
+def _shares(spark: SparkSession, counts: dict[str, tuple[int, int]], each: int) -> DataFrame:
+    """lang, of_middle, of_rest: the shares of a language's texts to draw, the rest only where the middle has fewer than ``each``."""
+    out = []
+    for lang, (middle, every) in sorted(counts.items()):
+        missing = max(each - middle, LEAST_ROWS) if middle < each else 0
+        out.append((lang, min(1.0, each / max(middle, 1)), min(1.0, missing / max(every - middle, 1))))
+    return spark.createDataFrame(out, "lang string, of_middle double, of_rest double")
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row; the model's size is fixed by BITS and MOST_LANGUAGES."""
+    """doc_id, lang_pred, score for every row; the model's size is fixed by BITS and the number of languages."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     id_type = df.schema[id_col].dataType.simpleString()
 

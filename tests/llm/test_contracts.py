@@ -156,6 +156,19 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_of_any_length_and_number(spark):
+    """Languages of short texts only, of long ones only, and more than 200 of them, each get a class."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "kurz ja", "short", None, None) for i in range(5)] + [(10 + i, "livre tome " * 1000, "long", None, None) for i in range(3)]
+    rows += [(100 + i, f"common words of language {chr(0x4E00 + i)}", f"l{i:03}", None, None) for i in range(205)]
+    docs = frame(spark, rows)
+    model = language_id.train(docs, F.lit(True), "doc_id", "text", "lang")
+    assert set(model.languages) == {r[2] for r in rows}
+    got = {r["doc_id"]: r["lang_pred"] for r in rows_of(language_id.identify(docs, model))}
+    assert got[0] == "short" and got[10] == "long"
+
+
 def test_language_undetermined(spark):
     model = language_id.Model([language_id.spectrum(t) for t in ("hello there", "guten tag")], ["en", "de"])
     assert model.predict([None, "", "123 !?", "hello there"])[0] == ["und", "und", "und", "en"]
