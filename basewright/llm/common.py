@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basewright.plans.scratch import distilled, drop_materialised, forget, free_shuffles, materialise, shared_dir, written
+from basewright.plans.scratch import distilled, forget, materialise, scope, shared_dir, tidy
 
-__all__ = ["distilled", "drop_materialised", "forget", "free_shuffles", "materialise", "shared_dir", "written"]
+__all__ = ["distilled", "forget", "materialise", "scope", "shared_dir", "tidy"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 #: A word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key is heavy if it has more than one in so many rows, so there are never more heavy keys than that.
+HEAVY = 1000
+#: Tasks that share the rows of a heavy key.
+SALTS = 64
+
+
 def id_text(column: str) -> Column:
     """The id as text for fold hashes; a null id counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -64,3 +70,42 @@ def rows_of(df: DataFrame, chosen: DataFrame, key: Column, id_col: str = "doc_id
     found = own.join(chosen, own["own_id"].eqNullSafe(chosen["id"]) & (own["own_key"] == chosen["key"]))
     first = Window.partitionBy("own_id", "own_key").orderBy("own_all")
     return found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row", *more)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A stage's result as a table; outside any scope it stays until it is forgotten or the process ends."""
+    return materialise(df, name)
+
+
+def gathered(df: DataFrame):
+    """A bounded result as an Arrow table on the driver; its shuffle files go at once."""
+    with tidy(df.sparkSession):
+        return df.toArrow()
+
+
+def heavy_keys(df: DataFrame, key: str) -> DataFrame:
+    """key, heavy: the keys that hold more than one in HEAVY rows of a table, at most HEAVY rows whatever the input."""
+    total = df.count()
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") * HEAVY > F.lit(total)).select(key, F.lit(True).alias("heavy"))
+
+
+def salted(df: DataFrame, heavy: DataFrame, key: str, by: Column | None = None) -> DataFrame:
+    """Add ``salt``: the rows of heavy keys are dealt over SALTS by a hash of ``by``, or without it copied to all of them; others have 0."""
+    marked = df.join(F.broadcast(heavy), key, "left")  # at most HEAVY rows
+    if by is not None:
+        salt = F.when(F.col("heavy"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        return marked.withColumn("salt", salt).drop("heavy")
+    every = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn("salt", F.explode(every)).drop("heavy")
+
+
+def by_unique_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows``, a table, joined with ``table``, which has each key once and in ``weight`` how many rows hold it.
+
+    Keys with more than one in HEAVY rows, at most HEAVY keys, are broadcast, so
+    no task gets all rows of a hot key; the others meet in a plain join.
+    """
+    hot = F.col(weight) * HEAVY > F.lit(rows.count())
+    heavy = table.filter(hot)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.filter(~hot), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)

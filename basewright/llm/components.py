@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewright.llm.common import materialise
+from basewright.llm.common import distilled, forget, heavy_keys, materialise, salted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,20 +13,29 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among a node's neighbours and then the label
     of that label, so chains shorten by powers of two. Minima are combined before
-    the shuffle, so a node with very many edges costs no single task.
+    the shuffle, and the joins deal a node with very many edges, or a label of very
+    many nodes, over several tasks.
     """
+    return distilled(lambda: _components(edges), "roots")
+
+
+def _components(edges: DataFrame) -> DataFrame:
     links = materialise(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links"
     )
+    hot = heavy_keys(links, "b")
+    dealt = salted(links, hot, "b", F.col("a"))
     labels = materialise(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = links.join(labels, links.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
+        known = salted(labels.withColumnRenamed("node", "b"), hot, "b")
+        near = dealt.join(known, ["b", "salt"]).groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("low"))
+        shared = heavy_keys(labels, "root").withColumnRenamed("root", "low")  # labels of very many nodes
         up = labels.select(F.col("node").alias("low"), F.col("root").alias("jump"))
-        moved = materialise(
-            lower.join(up, "low", "left").select("node", "root", F.least("low", F.coalesce("jump", "low")).alias("next")), "labels"
-        )
-        changed = moved.filter("next <> root").limit(1).count()
+        moved = salted(lower, shared, "low", F.col("node")).join(salted(up, shared, "low"), ["low", "salt"])
+        moved = materialise(moved.select("node", "root", F.least("low", "jump").alias("next")), "labels")
+        changed = moved.filter("next <> root").head(1)
+        forget(labels)
         labels = moved.select("node", F.col("next").alias("root"))
         if not changed:
             return labels

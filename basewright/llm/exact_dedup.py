@@ -1,12 +1,13 @@
 """Exact duplicates by content sort.
 
 White space runs become one space. Sampled splitters range-partition the rows
-by (head of the normalised text, 64-bit hash, id), Spark's external sort puts
-equal texts next to each other inside each range, and a streaming scan compares
-every text in full with its neighbour. Hash and head only steer the sort: they
-never decide equality. Because the id is the last splitter key, a group of
-copies larger than one range simply spans several; the scan marks the runs that
-touch a range's edge, and only those (at most a few per range) are stitched.
+by (first HEAD code points of the normalised text, 64-bit hash, id), Spark's
+external sort orders each range by those, the whole text and the id, so equal
+texts are neighbours, and a streaming scan compares every text in full with its
+neighbour. Hash and head only steer the sort: inside a range they never decide
+equality. Because the id is the last splitter key, a group of copies larger than
+one range simply spans several; the scan marks the runs that touch a range's
+edge, and only those (at most a few per range) are stitched, by their SHA-256.
 
 Defined results: a null text counts as empty; empty texts equal each other;
 null ids sort last, so ``keep_id`` is null only when every id of the group is;
@@ -19,20 +20,21 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import SPACES, distilled, documents, materialise, rows_of
+from basewright.llm.common import SPACES, documents, materialise
 
 #: Code points of the text in the range key: long enough to order texts, short enough to sample.
 HEAD = 32
 
 
 def _scan(batches):
-    """Compare neighbours of one sorted range; one output row per input row.
+    """Compare neighbours of one sorted range; one output row per input row, or with a fifth column ``row`` one per run.
 
-    Of rows whose hash may go on in the next batch it holds ids and digests,
-    and of texts never more than one batch and its predecessor's last.
+    Of rows whose hash may go on in the next batch it holds ids and digests (and
+    their ``row``, of which only a run's first comes out), and of texts never more
+    than one batch and its predecessor's last.
     """
     import numpy as np
 
@@ -41,7 +43,7 @@ def _scan(batches):
     first_hash = last_text = None
     runs = 0
 
-    def rows(upto_end: bool, ids, hashes, shas, new):
+    def rows(upto_end: bool, ids, hashes, shas, new, whole):
         nonlocal runs
         n = len(ids)
         run = np.cumsum(new) - 1
@@ -58,11 +60,21 @@ def _scan(batches):
             "edge": pa.array(np.full(n, True) if upto_end else hashes == first_hash),
         }
         runs += len(starts)
-        return pa.RecordBatch.from_pydict(columns)
+        if whole is None:
+            return pa.RecordBatch.from_pydict(columns)
+        first = pa.array(starts)
+        return pa.RecordBatch.from_pydict({name: x.take(first) for name, x in columns.items()} | {"row": whole})
 
     def joined(parts):
-        ids, hashes, shas, new = zip(*parts, strict=True)
-        return pa.concat_arrays(ids), np.concatenate(hashes), pa.concat_arrays(shas), np.concatenate(new)
+        ids, hashes, shas, new, whole = zip(*parts, strict=True)
+        return pa.concat_arrays(ids), np.concatenate(hashes), pa.concat_arrays(shas), np.concatenate(new), _concat(whole)
+
+    def leading(batch, new):
+        """The rows that start a run."""
+        return batch.column(4).filter(pa.array(new)) if batch.num_columns > 4 else None
+
+    def _concat(parts):
+        return pa.concat_arrays(parts) if parts[0] is not None else None
 
     for batch in batches:
         n = batch.num_rows
@@ -77,31 +89,36 @@ def _scan(batches):
         else:
             first_hash = hashes[0]
         last_text = texts[n - 1].as_py()
-        held.append((ids, hashes, shas, new))
+        held.append((ids, hashes, shas, new, leading(batch, new)))
         other = np.flatnonzero(hashes != hashes[-1])
         if len(other) or held[0][1][0] != hashes[-1]:
-            ids, hashes, shas, new = joined(held)
+            ids, hashes, shas, new, whole = joined(held)
             cut = int(np.flatnonzero(hashes != hashes[-1])[-1]) + 1
-            yield rows(False, ids.slice(0, cut), hashes[:cut], shas.slice(0, cut), new[:cut])
-            held = [(ids.slice(cut), hashes[cut:], shas.slice(cut), new[cut:])]
+            lead, rest = (None, None) if whole is None else (whole.slice(0, int(new[:cut].sum())), whole.slice(int(new[:cut].sum())))
+            yield rows(False, ids.slice(0, cut), hashes[:cut], shas.slice(0, cut), new[:cut], lead)
+            held = [(ids.slice(cut), hashes[cut:], shas.slice(cut), new[cut:], rest)]
     if held:
         yield rows(True, *joined(held))
 
 
-def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def _runs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """The scan's rows with span_first, span_size and span_part where a run goes on over ranges."""
     id_type = df.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
     normal = df.select(
-        F.col(id_col).alias("doc_id"),
-        F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ").alias("normal"),
+        F.col(id_col).alias("doc_id"), F.regexp_replace(text, SPACES, " ").alias("normal"),
+        *([F.struct(*[F.col(c) for c in df.columns]).alias("row")] if carry else []),
     )
-    keyed = normal.select("doc_id", F.xxhash64("normal").alias("hash"), F.substring("normal", 1, HEAD).alias("head"), "normal")
+    more, schema = [], f"doc_id {id_type}, text_sha256 string, part int, run bigint, run_first {id_type}, run_size bigint, leads boolean, edge boolean"
+    if carry:
+        more, schema = ["row"], f"{schema}, row {normal.schema['row'].dataType.simpleString()}"
+    keyed = normal.select("doc_id", F.xxhash64("normal").alias("hash"), F.substring("normal", 1, HEAD).alias("head"), *([] if carry else ["normal"]), *more)
     by_id = F.col("doc_id").asc_nulls_last()
-    ordered = keyed.repartitionByRange("head", "hash", by_id).sortWithinPartitions("head", "hash", "normal", by_id)
-    scanned = ordered.select("doc_id", "hash", F.sha2("normal", 256).alias("text_sha256"), "normal").mapInArrow(
-        _scan,
-        f"doc_id {id_type}, text_sha256 string, part int, run bigint, run_first {id_type}, run_size bigint, leads boolean, edge boolean",
-    )
+    dealt = keyed.repartitionByRange("head", "hash", by_id)
+    if carry:  # the text travels once, inside its row
+        dealt = dealt.withColumn("normal", F.regexp_replace(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), SPACES, " "))
+    ordered = dealt.sortWithinPartitions("head", "hash", "normal", by_id)
+    scanned = ordered.select("doc_id", "hash", F.sha2("normal", 256).alias("text_sha256"), "normal", *more).mapInArrow(_scan, schema)
     runs = materialise(scanned, "content-runs")
     # At most a few runs per range touch its edges, so this table is bounded by the number of ranges.
     spans = (
@@ -117,23 +134,28 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .drop("parts")
         .withColumn("edge", F.lit(True))
     )
-    joined = runs.join(F.broadcast(spans), ["text_sha256", "edge"], "left")
+    return runs.join(F.broadcast(spans), ["text_sha256", "edge"], "left")
+
+
+def _kept() -> Column:
+    return F.col("leads") & (F.col("span_part").isNull() | (F.col("part") == F.col("span_part")))
+
+
+def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     whole = F.col("span_part").isNull()
-    return joined.select(
+    return _runs(df, id_col, text_col, carry=False).select(
         "doc_id",
         F.when(whole, F.col("run_first")).otherwise(F.col("span_first")).alias("keep_id"),
         F.when(whole, F.col("run_size")).otherwise(F.col("span_size")).alias("group_size"),
-        (F.col("leads") & (whole | (F.col("part") == F.col("span_part")))).alias("kept"),
+        _kept().alias("kept"),
         "text_sha256",
     )
 
 
 def exact_duplicates_dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without exact duplicates: of each group the row with the smallest id."""
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
-    kept = distilled(lambda: content_sort_dedup(df, id_col, text_col).filter("kept"), "kept")
-    chosen = kept.select(F.col("doc_id").alias("id"), F.xxhash64("text_sha256").alias("key"))
-    return rows_of(df, chosen, F.xxhash64(digest), id_col).select("row.*")
+    """The rows of ``df`` without exact duplicates: of each group the row with the smallest id, carried through the sort."""
+    return _runs(df, id_col, text_col, carry=True).filter(_kept()).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

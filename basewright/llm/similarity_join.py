@@ -1,35 +1,40 @@
 """Exact Jaccard similarity join on word n-grams by vertical partitioning.
 
 Every text becomes the set of its distinct word n-grams (hashed). Equal sets
-form one class, known by a digest. One global order of n-grams (those that
-several sets share last, the rest by hash) serves two purposes:
-
-* Candidates. Two sets of Jaccard similarity t share an n-gram among the first
-  ``n - ceil(t n) + 1`` of each in that order. Only n-grams that two sets hold
-  there make blocks. A 512-bit parity sketch of each set bounds the size of the
-  symmetric difference from below, so a pair leaves a block only if sizes and
-  sketches still allow the similarity; neither test can lose a link.
-* Overlaps. The order is cut into fragments, the overlap of a pair is counted in
-  each fragment separately from the two sets' segments, and the partial counts
-  are summed for each pair. The sum decides.
-
-Links inside one component need not all be verified: first each block's most
-typical member is compared with the others, then some members drawn by hash,
-then for each two components their likeliest pair, and at last every pair whose
-ends are still in different components.
-So no group of copies is expanded into all pairs, and no link that joins two
+form one class, known by a digest. The one global order of n-grams is that of
+their hashes, and it is cut into fragments for two purposes:
+
+* Candidates. Two sets of similarity t and of sizes up to U differ in at most
+  ``d = (1 - t) / (1 + t) * 2 U`` n-grams. With the order cut into more than d
+  fragments, at least one fragment of the two sets is therefore identical. Sets are
+  dealt into size classes, each with its own number of fragments, and the digest
+  of every fragment that is not empty is a signature; a set whose size lets its
+  partner lie in the next class gives that class's signatures too. Only if d
+  fragments or fewer of a set are not empty, the equal ones may all be empty:
+  such sets also give their first ``n - ceil(t n) + 1`` n-grams in the order, of which
+  two similar sets share one. A 512-bit parity sketch bounds the size of the
+  symmetric difference from below and drops pairs that cannot reach t.
+* Overlaps. The order is cut into ``FRAGMENTS`` equal parts, the overlap of a pair
+  is counted in each part separately, and the partial counts are summed for each
+  pair. The sum decides.
+
+Sets that share a signature form a block. Links inside one component need not
+all be verified: in every round some members of each block, drawn by hash, are
+compared with its members of other components and then leave the block; a block
+is done when it holds one component or nobody. So a group of near copies is not
+expanded into all pairs, no pair is verified twice, and no link that joins two
 components is lost. ``jaccard_links`` and ``jaccard_link_counts`` do without this
 short cut: they verify every candidate pair and give all links.
 
-Which n-grams count as shared is kept in a bit set of fixed size. It only changes
-the order, never the result.
+Which signatures several sets hold is kept in a bit set of fixed size. It only
+saves work: signatures beyond it that nobody shares drop out at the exact count.
 
 Defined results: texts without a word, and null texts, have an empty set, link
 with nothing and are their own component; a text with fewer than n words has its
 whole word sequence as one n-gram; equal sets link; repeated rows share one
 class; rows with a null id take part, and the component's id is the smallest
 non-null one; extra columns are ignored; an empty table gives an empty result.
-Classes are known by 64-bit digests and n-grams by 40 bits of their hash.
+Classes are known by 128 bits, n-grams by 64 in digests and by 48 in overlaps.
 """
 
 from __future__ import annotations
@@ -40,23 +45,36 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import distilled, documents, forget, free_shuffles, materialise, row_key, rows_of, text_slices
+from basewright.llm.common import (
+    by_unique_key, distilled, documents, forget, gathered, heavy_keys, materialise, row_key, rows_of, salted, text_slices,
+)
 from basewright.llm.components import components
 from basewright.llm.hashing import WordHashes
 
-TOKEN_BITS = 40
+TOKEN_BITS = 48
+TOKEN_BYTES = TOKEN_BITS // 8
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
-#: Members of each block that the second round compares with the others, drawn by hash.
-CENTRES = 3
-#: Fragments of the global order.
+#: Members of a block that the second round draws, and the factor from round to round.
+CENTRES, MORE_CENTRES = 4, 8
+#: Members of a block that one task compares with a member.
+BLOCK_ROWS = 10_000
+#: Parts of the global order in which overlaps are counted.
 FRAGMENTS = 4
-#: log2 of the bits of the two broadcast bit sets, 8 MB each: shared n-grams, and classes whose sets are needed.
+#: log2 of the bits of the broadcast bit set of shared signatures (8 MB).
 FILTER_BITS = 26
+#: Bytes of packed n-grams that numpy works on at once.
+SLICE = 4 << 20
 
 _hashes = WordHashes(64, b"ngram")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit n-gram hashes of each text; A to Z count as a to z."""
     words = [t.encode("utf-8").lower().split() for t in texts]  # of bytes: ASCII letters and ASCII white space only
@@ -84,54 +102,119 @@ def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
 
 
 def _pack(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(packed) // TOKEN_BYTES, 8), np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, TOKEN_BYTES)
     return wide.view("<u8").ravel().astype(np.int64)
 
 
-def prefix_length(size: int, percent: int) -> int:
+def prefix_length(size, percent: int):
     return size - -(-percent * size // 100) + 1
 
 
+class Cuts:
+    """Size classes [lower, next lower), and for each the most n-grams in which two similar sets differ and the fragments."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        lower = [1]
+        while lower[-1] < 1 << 40:  # a partner of a set lies in its class or a neighbouring one
+            lower.append(max(lower[-1] * 3 // 2, lower[-1] * 100 // percent + 1))
+        self.lower = np.array(lower, np.int64)
+        top = np.append(self.lower[1:], self.lower[-1] * 2) - 1
+        self.differ = (100 - percent) * 2 * top // (100 + percent)
+        spare = np.where(self.differ >= 4, -(-6 * (self.differ + 1) // 100), 0)  # so that few sets have too many empty ones
+        self.parts = self.differ + 1 + spare
+
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, index of the set that each belongs to)."""
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate([*sets, np.zeros(0, np.int64)])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        mixed = _mixed(flat.astype(np.uint64) + np.uint64(1))
+        own = np.searchsorted(self.lower, sizes, "right") - 1
+        found, owners = [], []
+        for step in (0, 1):
+            scheme = own + step
+            giving = self.differ[scheme] > 0  # otherwise only equal sets are similar
+            if step:
+                giving &= sizes * 100 // self.percent >= self.lower[scheme]
+            rows = np.flatnonzero(giving[owner])
+            if not len(rows):
+                continue
+            who = owner[rows]
+            part = ((flat[rows] >> 8) * self.parts[scheme][who]) >> (TOKEN_BITS - 8)
+            starts = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+            name = _mixed((scheme[who[starts]].astype(np.uint64) << np.uint64(40)) + part[starts].astype(np.uint64))
+            found.append(_mixed(np.add.reduceat(mixed[rows], starts) ^ name))
+            owners.append(who[starts])
+            filled = np.bincount(who[starts], minlength=len(sets))
+            sparse = giving & (filled <= self.differ[scheme])
+            first = rows[sparse[who] & (place[rows] < prefix_length(sizes, self.percent)[who])]
+            salt = _mixed(scheme[owner[first]].astype(np.uint64) + np.uint64(1 << 60))
+            found.append(_mixed(mixed[first] ^ salt))
+            owners.append(owner[first])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(found).view(np.int64), np.concatenate(owners)
+
+
 def _sets(df: DataFrame, n: int) -> DataFrame:
-    """doc_id, key, size, class, tokens (packed; null where this task has given the class before)."""
+    """doc_id, key, size, class, check, tokens (packed; null where this task has lately given the class before)."""
     id_type = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        given: set[int] = set()
+        given: set[bytes] = set()
         for batch in batches:
             for start, stop in text_slices(batch.column(1), 2 << 20):
                 part = batch.slice(start, stop - start)
-                sizes, classes, tokens = [], [], []
+                sizes, classes, checks, tokens = [], [], [], []
                 for found in ngram_sets([t or "" for t in part.column(1).to_pylist()], n):
                     sizes.append(len(found))
                     if not len(found):
                         classes.append(None)
+                        checks.append(None)
                         tokens.append(None)
                         continue
-                    digest = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    classes.append(digest)
+                    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                    classes.append(int.from_bytes(digest[:8], "little", signed=True))
+                    checks.append(int.from_bytes(digest[8:], "little", signed=True))
                     tokens.append(None if digest in given else _pack(found >> np.uint64(64 - TOKEN_BITS)))
+                    if len(given) >= 100_000:
+                        given.clear()
                     given.add(digest)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(tokens, pa.binary())],
-                    ["doc_id", "key", "size", "class", "tokens"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(checks, pa.int64()),
+                     pa.array(tokens, pa.binary())],
+                    ["doc_id", "key", "size", "class", "check", "tokens"],
                 )
 
-    return df.mapInArrow(run, f"doc_id {id_type}, key bigint, size bigint, class bigint, tokens binary")
+    return df.mapInArrow(run, f"doc_id {id_type}, key bigint, size bigint, class bigint, check bigint, tokens binary")
+
+
+def _ngram_rows(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """The sets, with classes that 128 bits tell apart: where the first 64 are equal and the others not, both make the class."""
+    inputs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(text_col).alias("key"))
+    sets = materialise(_sets(inputs, n), "ngram-sets")
+    clashing = sets.filter("class is not null").groupBy("class").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi")
+    clashing = materialise(clashing.select("class", F.lit(True).alias("clash")), "clashing-classes")
+    if not clashing.head(1):
+        return sets
+    both = sets.join(clashing, "class", "left")
+    return materialise(both.withColumn("class", F.when(F.col("clash"), F.xxhash64("class", "check")).otherwise(F.col("class"))).select(sets.columns), "ngram-sets")
 
 
 def _bit_set(values: DataFrame, column: str) -> np.ndarray:
     """2**FILTER_BITS bits (8 MB, whatever the input) with a bit for every value given."""
     place = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
-    words = values.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = gathered(values.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
@@ -142,104 +225,97 @@ def _in_bit_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((bits[place >> 6] >> (place & 63)) & 1).astype(bool)
 
 
-def _reach(size: int, percent: int) -> int:
-    """N-grams by hash among which a prefix lies unless many of them are shared."""
-    k = prefix_length(size, percent)
-    return k + k // 4 + 2
-
-
-def _shared_ngrams(sets: DataFrame, percent: int) -> np.ndarray:
-    """Bit set of the n-grams that two or more sets hold among their first ones by hash."""
+def _shared_signatures(sets: DataFrame, percent: int) -> np.ndarray:
+    """Bit set of the signatures that two or more sets give."""
 
     def run(batches):
         import pyarrow as pa
 
+        cuts = Cuts(percent)
         for batch in batches:
-            heads = [_unpack(packed[: 5 * _reach(len(packed) // 5, percent)]) for packed in batch.column(0).to_pylist()]
-            if heads:
-                token, count = np.unique(np.concatenate(heads), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int32))], ["token", "places"])
+            for start, stop in text_slices(batch.column(0), SLICE):
+                found, _ = cuts.signatures([_unpack(x) for x in batch.column(0).slice(start, stop - start).to_pylist()])
+                sig, count = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(count.astype(np.int32))], ["sig", "places"])
 
-    counted = sets.filter("tokens is not null").select("tokens").mapInArrow(run, "token bigint, places int")
-    return _bit_set(counted.groupBy("token").agg(F.sum("places").alias("places")).filter("places > 1"), "token")
+    counted = sets.filter("tokens is not null").select("tokens").mapInArrow(run, "sig bigint, places int")
+    return _bit_set(counted.groupBy("sig").agg(F.sum("places").alias("places")).filter("places > 1"), "sig")
 
 
-def _classes(sets: DataFrame, shared_ngrams: np.ndarray, percent: int) -> DataFrame:
-    """class, size, typical (share of shared n-grams), sketch, prefix."""
-    shared = sets.sparkSession.sparkContext.broadcast(shared_ngrams)
+def _classes(sets: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
+    """class, size, sketch, sigs (the shared ones), tokens of every class that may share a signature; a class may come from several tasks."""
+    bits = sets.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
         import pyarrow as pa
 
+        cuts = Cuts(percent)
         for batch in batches:
-            typical, sketches, prefixes = [], [], []
-            for packed in batch.column(2).to_pylist():
-                token = _unpack(packed)
-                late = _in_bit_set(shared.value, token)
-                typical.append(float(late[: _reach(len(token), percent)].mean()))
-                bits = np.bincount(token % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8)).view("<i8").tolist())
-                k = prefix_length(len(token), percent)
-                early = token[~late][:k]
-                prefixes.append(np.concatenate([early, token[late][: k - len(early)]]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(typical, pa.float32()), pa.array(sketches, pa.list_(pa.int64())),
-                 pa.array(prefixes, pa.list_(pa.int64()))],
-                ["class", "size", "typical", "sketch", "prefix"],
-            )
+            for start, stop in text_slices(batch.column(2), SLICE):
+                part = batch.slice(start, stop - start)
+                tokens = [_unpack(x) for x in part.column(2).to_pylist()]
+                sig, owner = cuts.signatures(tokens)
+                known = _in_bit_set(bits.value, sig)
+                sig, owner = sig[known], owner[known]
+                order = np.argsort(owner, kind="stable")
+                keep, starts = np.unique(owner[order], return_index=True)
+                sigs = np.split(sig[order], starts[1:]) if len(keep) else []
+                odd = [np.bincount(tokens[i] % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1 for i in keep.tolist()]
+                sketches = [np.packbits(x.astype(np.uint8)).view("<i8").tolist() for x in odd]
+                taken = part.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(
+                    [taken.column(0), taken.column(1), pa.array(sketches, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), taken.column(2)],
+                    ["class", "size", "sketch", "sigs", "tokens"],
+                )
 
     rows = sets.filter("tokens is not null").select("class", "size", "tokens")
-    return rows.mapInArrow(run, "class bigint, size bigint, typical float, sketch array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(run, "class bigint, size bigint, sketch array<bigint>, sigs array<bigint>, tokens binary")
 
 
-def _difference(a: str, b: str) -> Column:
-    """Least size of the symmetric difference that the sketches prove."""
-    differing = F.lit(0)
-    for i in range(SKETCH_WORDS):
-        differing = differing + F.bit_count(F.col(f"{a}.sketch{i}").bitwiseXOR(F.col(f"{b}.sketch{i}")))
-    return differing
-
-
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of the sizes."""
-    most = (F.col(f"{a}.size") + F.col(f"{b}.size")) * (100 - percent)
-    return _sizes_near(a, b, percent) & (_difference(a, b) * (100 + percent) <= most)
+def _sizes_near(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _sizes_near(a: str, b: str, percent: int) -> Column:
-    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of the sizes."""
+    differing = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        differing = differing + F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i]))
+    most = (F.col("x.size") + F.col("y.size")) * (100 - percent)
+    x = F.struct("size", "sketch")
+    with_b = pairs.join(traits.select(F.col("class").alias("b"), x.alias("y")), "b")
+    hot = heavy_keys(pairs, "a")
+    both = salted(with_b, hot, "a", F.col("b")).join(salted(traits.select(F.col("class").alias("a"), x.alias("x")), hot, "a"), ["a", "salt"])
+    return both.filter(_sizes_near(F.col("x.size"), F.col("y.size"), percent) & (differing * (100 + percent) <= most)).select("a", "b")
 
 
-def _segments(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, size, fragment, segment (packed) of the wanted classes and of few others."""
-    shared = sets.sparkSession.sparkContext.broadcast(_bit_set(wanted, "class"))
+def _segments(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class, size, fragment, segment (packed) of the classes in the pairs."""
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = classes.select("class", "size", "tokens").join(ends, "class", "left_semi").dropDuplicates(["class"])
 
     def run(batches):
         import pyarrow as pa
 
-        bits = shared.value
-        cuts = np.arange(1, FRAGMENTS) * (1 << TOKEN_BITS) // FRAGMENTS
+        edges = np.arange(1, FRAGMENTS) * (1 << TOKEN_BITS) // FRAGMENTS
         for batch in batches:
-            classes = batch.column(0).to_numpy()
-            take = np.flatnonzero(_in_bit_set(bits, classes))
-            out: list = [[], [], [], []]
-            for i in take.tolist():
-                packed = batch.column(2)[i].as_py()
-                ends = [0, *np.searchsorted(_unpack(packed), cuts).tolist(), len(packed) // 5]
-                for f in range(FRAGMENTS):
-                    for column, value in zip(out, (int(classes[i]), batch.column(1)[i].as_py(), f, packed[5 * ends[f] : 5 * ends[f + 1]]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
-                ["class", "size", "fragment", "segment"],
-            )
+            for start, stop in text_slices(batch.column(2), SLICE):
+                part = batch.slice(start, stop - start)
+                segments = []
+                for packed in part.column(2).to_pylist():
+                    ends = [0, *np.searchsorted(_unpack(packed), edges).tolist(), len(packed) // TOKEN_BYTES]
+                    segments += [packed[TOKEN_BYTES * i : TOKEN_BYTES * j] for i, j in zip(ends, ends[1:], strict=False)]
+                rows = np.repeat(np.arange(len(part)), FRAGMENTS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)),
+                     pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(part))), pa.array(segments, pa.binary())],
+                    ["class", "size", "fragment", "segment"],
+                )
 
-    rows = sets.filter("tokens is not null").select("class", "size", "tokens")
-    return rows.mapInArrow(run, "class bigint, size bigint, fragment int, segment binary").dropDuplicates(["class", "fragment"])
+    return wanted.mapInArrow(run, "class bigint, size bigint, fragment int, segment binary")
 
 
-def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose n-gram sets reach the similarity: partial overlaps by fragment, summed."""
 
     def count(batches):
@@ -254,12 +330,12 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 [batch.column(c) for c in ("a", "b", "sizes")] + [pa.array(common, pa.int64())], ["a", "b", "sizes", "common"]
             )
 
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-    segments = materialise(_segments(sets, ends), "segments")
+    segments = materialise(_segments(classes, pairs), "segments")
+    hot = heavy_keys(pairs, "a")  # a member that many others are compared with
     left = segments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("segment").alias("left"))
     right = segments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("segment").alias("right"))
-    wide = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])))
-    both = wide.join(right, ["b", "fragment"]).join(left, ["a", "fragment"])
+    wide = salted(pairs, hot, "a", F.col("b")).withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])))
+    both = wide.join(right, ["b", "fragment"]).join(salted(left, hot, "a"), ["a", "salt", "fragment"])
     counted = both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "left", "right").mapInArrow(
         count, "a bigint, b bigint, sizes bigint, common bigint"
     )
@@ -269,59 +345,24 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _joined(sets: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(blocks still open, components taken in by others: component, root) after the pairs' links."""
-    pairs = materialise(pairs, "candidates")
-    if not pairs.head(1):
-        return members, None
-    edges = verified(sets, pairs, percent)
-    at = members.select("class", "component").distinct()
-    merged = edges.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    roots = materialise(components(merged).toDF("component", "root"), "roots")
-    kept = members.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
-    blocks = materialise(_open(kept), "blocks")
-    free_shuffles(sets.sparkSession)
-    return blocks, roots
+def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks of two or more classes: sig, class, size, n, hub; classes with their n-grams; traits, one row a class)."""
+    classes = materialise(_classes(sets, _shared_signatures(sets, percent), percent), "classes")
+    traits = materialise(classes.select("class", "size", "sketch").dropDuplicates(["class"]), "traits")
+    postings = materialise(classes.select(F.explode("sigs").alias("sig"), "class", "size").dropDuplicates(["sig", "class"]), "postings")
+    one = F.struct(F.xxhash64("class").alias("draw"), "class", "size")
+    blocks = postings.groupBy("sig").agg(F.count("*").alias("n"), F.min(one).alias("hub")).filter("n > 1")
+    members = materialise(by_unique_key(postings, blocks, "sig", "n"), "members")
+    forget(postings)
+    return members, classes, traits
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The blocks that still hold more than one component."""
-    tokens = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return members.join(tokens.select("token"), "token")
-
-
-def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, n_shingles, class, component, component_id: one row per input row.
-
-    Rows link when 100 * intersection >= percent * union of their n-gram sets;
-    component_id is the smallest id reachable by links, component names the
-    component (null without a word), and key is the hash of the text.
-    """
-    return distilled(lambda: _jaccard_components(df, n, percent, id_col, text_col), "components")
-
-
-def _ngram_rows(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    inputs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(text_col).alias("key"))
-    return materialise(_sets(inputs, n), "ngram-sets")
-
-
-def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(blocks of two or more classes: token, class, size, typical, component; traits of those classes)."""
-    shared_ngrams = _shared_ngrams(sets, percent)
-    free_shuffles(sets.sparkSession)
-    classes = materialise(_classes(sets, shared_ngrams, percent), "classes")
-    postings = classes.select(F.explode("prefix").alias("token"), "class")
-    shared = materialise(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "shared")
-    free_shuffles(sets.sparkSession)
-    blocks = materialise(postings.join(shared, "token").dropDuplicates(["token", "class"]), "postings")
-    sketches = [F.col("sketch")[i].alias(f"sketch{i}") for i in range(SKETCH_WORDS)]
-    traits = classes.select("class", "size", "typical", *sketches).dropDuplicates(["class"])
-    traits = materialise(traits.join(blocks.select("class").distinct(), "class", "left_semi"), "traits")
-    members = blocks.join(traits.select("class", "size", "typical"), "class").withColumn("component", F.col("class"))
-    members = materialise(_open(members), "blocks")
-    forget(classes, shared, blocks)
-    free_shuffles(sets.sparkSession)
-    return members, traits
+def _on_blocks(members: DataFrame, others: DataFrame) -> DataFrame:
+    """Join members (m) with ``others`` (h) of their block; a large block's members are dealt to several tasks, its others to all of them."""
+    parts = F.ceil(F.col("n") / BLOCK_ROWS)
+    left = members.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "class"), parts))
+    right = others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    return left.alias("m").join(right.alias("h"), ["sig", "salt"])
 
 
 def jaccard_links(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,11 +377,12 @@ def jaccard_links(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
 
 
 def _jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
-    members, traits = _candidates(sets, percent)
-    full = members.select("token", "class").join(traits, "class")
-    both = full.alias("m").join(full.alias("h"), "token").filter((F.col("m.class") < F.col("h.class")) & _may_link("m", "h", percent))
-    pairs = materialise(both.select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct(), "candidates")
-    links = verified(sets, pairs, percent)
+    members, classes, traits = _blocks(sets, percent)
+    members = members.select("sig", "class", "size", "n")
+    near = (F.col("m.class") < F.col("h.class")) & _sizes_near(F.col("m.size"), F.col("h.size"), percent)
+    both = _on_blocks(members, members).filter(near).select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct()
+    pairs = materialise(_may_link(materialise(both, "block-pairs"), traits, percent), "candidates")
+    links = verified(classes, pairs, percent)
     rows = sets.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
     return links.join(rows.toDF("a", "rows_a"), "a").join(rows.toDF("b", "rows_b"), "b").select("a", "b", "rows_a", "rows_b")
 
@@ -354,55 +396,75 @@ def jaccard_link_counts(df: DataFrame, n: int, percent: int, id_col: str = "doc_
         ends = links.select(F.col("a").alias("class"), F.col("rows_b").alias("others"))
         ends = ends.union(links.select(F.col("b").alias("class"), F.col("rows_a").alias("others")))
         others = ends.groupBy("class").agg(F.sum("others").alias("others"))
-        own = sets.filter("class is not null").groupBy("class").agg((F.count("*") - 1).alias("own"))
-        counts = own.join(others, "class", "left").select("class", (F.col("own") + F.coalesce("others", F.lit(0))).alias("n_links"))
-        rows = sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class").join(counts, "class", "left")
-        return rows.select("doc_id", "key", "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        own = sets.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
+        counts = own.join(others, "class", "left").select("class", "rows", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        rows = sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class")
+        linked = by_unique_key(rows.filter("class is not null"), materialise(counts, "counts"), "class", "rows")
+        columns = ["doc_id", "key", "n_shingles", "class", "n_links"]
+        return linked.select(columns).unionByName(rows.filter("class is null").withColumn("n_links", F.lit(0).cast("long")).select(columns))
 
     return distilled(make, "link-counts")
 
 
+def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, n_shingles, class, component, component_id: one row per input row.
+
+    Rows link when 100 * intersection >= percent * union of their n-gram sets;
+    component_id is the smallest id reachable by links, component names the
+    component (null without a word), and key is the hash of the text.
+    """
+    return distilled(lambda: _jaccard_components(df, n, percent, id_col, text_col), "components")
+
+
+def merge_rounds(members: DataFrame, classes: DataFrame, traits: DataFrame, percent: int):
+    """Yield (pairs verified, components so far: node and root of linked classes, None before any) round by round until no block is open."""
+    live, tried, links, roots, centres = members.withColumn("component", F.col("class")), None, None, None, 0
+    while live.head(1):
+        if not centres:  # the block's first member by hash is known already
+            found = live.filter(F.col("hub.class") != F.col("class")).filter(_sizes_near(F.col("hub.size"), F.col("size"), percent))
+            pairs = found.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
+            drawn = F.col("hub.class") == F.col("class")
+        else:
+            drawn = F.pmod(F.xxhash64(F.lit(2), "class"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < centres
+            others = live.filter(drawn).select("sig", "class", "size", "component", "n")
+            near = (F.col("m.component") != F.col("h.component")) & _sizes_near(F.col("m.size"), F.col("h.size"), percent)
+            both = _on_blocks(live.withColumn("drawn", drawn), others).filter(near & (~F.col("m.drawn") | (F.col("h.class") < F.col("m.class"))))
+            pairs = both.select(F.col("h.class").alias("a"), F.col("m.class").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, (F.least("a", "b") == tried["lo"]) & (F.greatest("a", "b") == tried["hi"]), "left_anti")
+        pairs = materialise(_may_link(materialise(pairs, "block-pairs"), traits, percent), "candidates")
+        done = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        tried = done if tried is None else tried.union(done)
+        rest = live.filter(~drawn).select("sig", "class", "size", "n", "component")
+        if pairs.head(1):
+            edges = verified(classes, pairs, percent)
+            links = edges if links is None else links.union(edges)
+            roots = components(links)
+            rest = rest.drop("component").join(roots.toDF("class", "root"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
+        yield pairs, roots
+        rest = materialise(rest, "blocks")
+        still = rest.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")).filter("lo <> hi")
+        live = materialise(by_unique_key(rest, still.select("sig", "left"), "sig", "left").drop("left"), "blocks")
+        centres = centres * MORE_CENTRES or CENTRES
+
+
 def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     sets = _ngram_rows(df, n, id_col, text_col)
-    members, traits = _candidates(sets, percent)
-
-    merges = []  # tables that map a component to the one that took it in
-    m, h = traits.alias("m"), traits.alias("h")
-    member = F.struct("class", "component", "size")
-    for orders in ([F.struct("typical", "class")], [F.xxhash64(F.lit(i), "class") for i in range(CENTRES)]):
-        hubs = members.groupBy("token").agg(*[F.max_by(member, order).alias(f"hub{i}") for i, order in enumerate(orders)])
-        hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[f"hub{i}" for i in range(len(orders))]))).alias("hub")).select("token", "hub.*")
-        pairs = (
-            members.alias("m").join(hubs.alias("h"), "token")
-            .filter((F.col("m.component") != F.col("h.component")) & _sizes_near("m", "h", percent))
-            .select(F.col("h.class").alias("a"), F.col("m.class").alias("b")).distinct()
-        )
-        near = pairs.join(m, F.col("b") == F.col("m.class")).join(h, F.col("a") == F.col("h.class"))
-        members, roots = _joined(sets, members, near.filter(_may_link("m", "h", percent)).select("a", "b"), percent)
-        merges.append(roots)
-    for likeliest in (True, False):
-        full = members.select("token", "class", "component").join(traits, "class")
-        rest = full.alias("m").join(full.alias("h"), "token").filter((F.col("m.component") < F.col("h.component")) & _may_link("m", "h", percent))
-        a, b = F.col("m.class").alias("a"), F.col("h.class").alias("b")
-        if likeliest:
-            best = F.min_by(F.struct(a, b), F.struct(_difference("m", "h"), "m.class", "h.class")).alias("best")
-            pairs = rest.groupBy("m.component", "h.component").agg(best).select("best.*")
-        else:
-            pairs = rest.select(a, b).distinct()
-        members, roots = _joined(sets, members, pairs, percent)
-        merges.append(roots)
-        if roots is None:  # no pair left
-            break
-
-    rows = sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class")
-    by_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    by_class = by_class.withColumn("component", F.col("class"))
-    for roots in filter(None, merges):
-        by_class = by_class.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+    members, classes, traits = _blocks(sets, percent)
+    rows = materialise(sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class"), "ngram-rows")
+    forget(sets)
+    roots = None
+    for _, roots in merge_rounds(members, classes, traits, percent):
+        pass
+    by_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    if roots is None:
+        by_class = by_class.withColumn("component", F.col("class"))
+    else:
+        by_class = by_class.join(roots.toDF("class", "root"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
     by_class = materialise(by_class, "class-components")
-    least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialise(by_class.join(least, "component").select("class", "component", "component_id"), "component-ids")
-    linked = rows.filter("class is not null").join(named, "class")
+    least = by_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    named = by_unique_key(by_class, least, "component", "of").select("class", "rows", "component", "component_id")
+    linked = by_unique_key(rows.filter("class is not null"), materialise(named, "component-ids"), "class", "rows")
     alone = rows.filter("class is null").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "key", "n_shingles", "class", "component", "component_id"]
     return linked.select(columns).unionByName(alone.select(columns))

@@ -20,32 +20,27 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels of the query's training folds and drop documents scored 0.5 or more."""
-    common.drop_materialised()
     model = toxicity.learn_toxicity(docs, common.labels(spark, sf_dir), ~common.in_fold("doc_id", 5, 0))
     return toxicity.toxic_dropped(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    common.drop_materialised()  # the stages before have been written; their scratch tables are done with
     return exact_dedup.exact_duplicates_dropped(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of linked texts the smallest id stays."""
-    common.drop_materialised()
     return similarity_join.near_duplicates_dropped(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the schedule takes them: none to three times."""
-    common.drop_materialised()
     return source_mix.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (little-endian unsigned 32-bit) of every row."""
-    common.drop_materialised()
     coded = bpe.bpe_round_trip(docs, bpe.vocabulary_path())
     return bpe.digests(coded, "ids")
 
@@ -63,8 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; the result of the last, each other one written and reread."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over the documents; the result of the last, each other one written and reread.
+
+    A stage's table goes when its successor is written; the tables of other runs stay.
+    """
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.distilled(lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023  (called at once)
+        if before is not None:
+            common.forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
