@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewright.llm.common import distilled, forget, heavy_keys, materialise, salted
+from basewright.llm.common import forget, heavy_keys, materialise, salted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,10 +16,6 @@ def components(edges: DataFrame) -> DataFrame:
     the shuffle, and the joins deal a node with very many edges, or a label of very
     many nodes, over several tasks.
     """
-    return distilled(lambda: _components(edges), "roots")
-
-
-def _components(edges: DataFrame) -> DataFrame:
     links = materialise(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links"
     )
@@ -38,4 +34,5 @@ def _components(edges: DataFrame) -> DataFrame:
         forget(labels)
         labels = moved.select("node", F.col("next").alias("root"))
         if not changed:
+            forget(links)
             return labels

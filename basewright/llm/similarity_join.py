@@ -1,33 +1,29 @@
 """Exact Jaccard similarity join on word n-grams by vertical partitioning.
 
 Every text becomes the set of its distinct word n-grams (hashed). Equal sets
-form one class, known by a digest. The one global order of n-grams is that of
-their hashes, and it is cut into fragments for two purposes:
-
-* Candidates. Two sets of similarity t and of sizes up to U differ in at most
-  ``d = (1 - t) / (1 + t) * 2 U`` n-grams. With the order cut into more than d
-  fragments, at least one fragment of the two sets is therefore identical. Sets are
-  dealt into size classes, each with its own number of fragments, and the digest
-  of every fragment that is not empty is a signature; a set whose size lets its
-  partner lie in the next class gives that class's signatures too. Only if d
-  fragments or fewer of a set are not empty, the equal ones may all be empty:
-  such sets also give their first ``n - ceil(t n) + 1`` n-grams in the order, of which
-  two similar sets share one. A 512-bit parity sketch bounds the size of the
-  symmetric difference from below and drops pairs that cannot reach t.
-* Overlaps. The order is cut into ``FRAGMENTS`` equal parts, the overlap of a pair
-  is counted in each part separately, and the partial counts are summed for each
-  pair. The sum decides.
-
-Sets that share a signature form a block. Links inside one component need not
-all be verified: in every round some members of each block, drawn by hash, are
-compared with its members of other components and then leave the block; a block
-is done when it holds one component or nobody. So a group of near copies is not
-expanded into all pairs, no pair is verified twice, and no link that joins two
+form one class, known by a digest. One global order of n-grams (the most common
+ones last, the rest by hash) serves two purposes:
+
+* Candidates. Two sets of Jaccard similarity t share an n-gram among the first
+  ``n - ceil(t n) + 1`` of each in that order. Only n-grams that two sets hold
+  there make blocks. A 512-bit parity sketch of each set bounds the size of the
+  symmetric difference from below, so a pair leaves a block only if sizes and
+  sketches still allow the similarity; neither test can lose a link.
+* Overlaps. That same order is cut into FRAGMENTS, the overlap of a pair is
+  counted in each fragment separately from the two sets' segments, and the
+  partial counts are summed for each pair. The sum decides.
+
+Links inside one component need not all be verified: first each block's most
+typical member is compared with the others, then some members drawn by hash,
+then for each two components their likeliest pair, and at last every pair whose
+ends are still in different components. No pair is verified twice.
+So no group of copies is expanded into all pairs, and no link that joins two
 components is lost. ``jaccard_links`` and ``jaccard_link_counts`` do without this
 short cut: they verify every candidate pair and give all links.
 
-Which signatures several sets hold is kept in a bit set of fixed size. It only
-saves work: signatures beyond it that nobody shares drop out at the exact count.
+The most common n-grams, at most MOST_COMMON whatever the input, are kept in a
+bit set of fixed size. It only changes the order, never the result. A second one
+names n-grams that two prefixes hold; it only saves work.
 
 Defined results: texts without a word, and null texts, have an empty set, link
 with nothing and are their own component; a text with fewer than n words has its
@@ -46,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import (
-    by_unique_key, distilled, documents, forget, gathered, heavy_keys, materialise, row_key, rows_of, salted, text_slices,
+    by_unique_key, distilled, documents, forget, gathered, heavy_keys, materialise, row_key, rows_of, salted, spread, text_slices,
 )
 from basewright.llm.components import components
 from basewright.llm.hashing import WordHashes
@@ -55,26 +51,21 @@ TOKEN_BITS = 48
 TOKEN_BYTES = TOKEN_BITS // 8
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
-#: Members of a block that the second round draws, and the factor from round to round.
-CENTRES, MORE_CENTRES = 4, 8
-#: Members of a block that one task compares with a member.
+#: Members of each block that the second round compares with the others, drawn by hash.
+CENTRES = 3
+#: Members of a block that one task compares with another member.
 BLOCK_ROWS = 10_000
-#: Parts of the global order in which overlaps are counted.
-FRAGMENTS = 4
-#: log2 of the bits of the broadcast bit set of shared signatures (8 MB).
-FILTER_BITS = 26
+#: Fragments of the global order: so many equal ranges of the hash for common n-grams, and for the others.
+HALVES = 2
+FRAGMENTS = 2 * HALVES
+#: log2 of the bits of the broadcast bit sets (8 MB each), and n-grams that count as common at most.
+FILTER_BITS, MOST_COMMON = 26, 1 << 22
 #: Bytes of packed n-grams that numpy works on at once.
 SLICE = 4 << 20
 
 _hashes = WordHashes(64, b"ngram")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit n-gram hashes of each text; A to Z count as a to z."""
     words = [t.encode("utf-8").lower().split() for t in texts]  # of bytes: ASCII letters and ASCII white space only
@@ -111,58 +102,10 @@ def _unpack(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.int64)
 
 
-def prefix_length(size, percent: int):
+def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-class Cuts:
-    """Size classes [lower, next lower), and for each the most n-grams in which two similar sets differ and the fragments."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-        lower = [1]
-        while lower[-1] < 1 << 40:  # a partner of a set lies in its class or a neighbouring one
-            lower.append(max(lower[-1] * 3 // 2, lower[-1] * 100 // percent + 1))
-        self.lower = np.array(lower, np.int64)
-        top = np.append(self.lower[1:], self.lower[-1] * 2) - 1
-        self.differ = (100 - percent) * 2 * top // (100 + percent)
-        spare = np.where(self.differ >= 4, -(-6 * (self.differ + 1) // 100), 0)  # so that few sets have too many empty ones
-        self.parts = self.differ + 1 + spare
-
-    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(signatures, index of the set that each belongs to)."""
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        mixed = _mixed(flat.astype(np.uint64) + np.uint64(1))
-        own = np.searchsorted(self.lower, sizes, "right") - 1
-        found, owners = [], []
-        for step in (0, 1):
-            scheme = own + step
-            giving = self.differ[scheme] > 0  # otherwise only equal sets are similar
-            if step:
-                giving &= sizes * 100 // self.percent >= self.lower[scheme]
-            rows = np.flatnonzero(giving[owner])
-            if not len(rows):
-                continue
-            who = owner[rows]
-            part = ((flat[rows] >> 8) * self.parts[scheme][who]) >> (TOKEN_BITS - 8)
-            starts = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-            name = _mixed((scheme[who[starts]].astype(np.uint64) << np.uint64(40)) + part[starts].astype(np.uint64))
-            found.append(_mixed(np.add.reduceat(mixed[rows], starts) ^ name))
-            owners.append(who[starts])
-            filled = np.bincount(who[starts], minlength=len(sets))
-            sparse = giving & (filled <= self.differ[scheme])
-            first = rows[sparse[who] & (place[rows] < prefix_length(sizes, self.percent)[who])]
-            salt = _mixed(scheme[owner[first]].astype(np.uint64) + np.uint64(1 << 60))
-            found.append(_mixed(mixed[first] ^ salt))
-            owners.append(owner[first])
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found).view(np.int64), np.concatenate(owners)
-
-
 def _sets(df: DataFrame, n: int) -> DataFrame:
     """doc_id, key, size, class, check, tokens (packed; null where this task has lately given the class before)."""
     id_type = df.schema["doc_id"].dataType.simpleString()
@@ -201,7 +144,7 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
 def _ngram_rows(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """The sets, with classes that 128 bits tell apart: where the first 64 are equal and the others not, both make the class."""
     inputs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(text_col).alias("key"))
-    sets = materialise(_sets(inputs, n), "ngram-sets")
+    sets = materialise(_sets(spread(inputs), n), "ngram-sets")
     clashing = sets.filter("class is not null").groupBy("class").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi")
     clashing = materialise(clashing.select("class", F.lit(True).alias("clash")), "clashing-classes")
     if not clashing.head(1):
@@ -225,97 +168,151 @@ def _in_bit_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((bits[place >> 6] >> (place & 63)) & 1).astype(bool)
 
 
-def _shared_signatures(sets: DataFrame, percent: int) -> np.ndarray:
-    """Bit set of the signatures that two or more sets give."""
+def _reach(size: int, percent: int) -> int:
+    """N-grams by hash among which a prefix lies unless many of them are common."""
+    k = prefix_length(size, percent)
+    return k + k // 4 + 2
+
+
+def _common_ngrams(sets: DataFrame, percent: int) -> np.ndarray:
+    """Bit set of the n-grams that the most sets hold among their first ones by hash: held twice or more, MOST_COMMON at most."""
 
     def run(batches):
         import pyarrow as pa
 
-        cuts = Cuts(percent)
         for batch in batches:
             for start, stop in text_slices(batch.column(0), SLICE):
-                found, _ = cuts.signatures([_unpack(x) for x in batch.column(0).slice(start, stop - start).to_pylist()])
-                sig, count = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(count.astype(np.int32))], ["sig", "places"])
+                packed = batch.column(0).slice(start, stop - start).to_pylist()
+                heads = [_unpack(x[: TOKEN_BYTES * _reach(len(x) // TOKEN_BYTES, percent)]) for x in packed]
+                token, count = np.unique(np.concatenate(heads), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int32))], ["token", "places"])
+
+    counted = sets.filter("tokens is not null").select("tokens").mapInArrow(run, "token bigint, places int")
+    counted = counted.groupBy("token").agg(F.sum("places").alias("places")).filter("places > 1")
+    counted = materialise(counted.select("token", F.floor(F.log2("places")).cast("int").alias("doublings")), "repeated-ngrams")
+    sizes, least = dict(counted.groupBy("doublings").count().collect()), 1
+    while sum(n for k, n in sizes.items() if k >= least) > MOST_COMMON:
+        least += 1
+    common = _bit_set(counted.filter(F.col("doublings") >= least), "token")
+    forget(counted)
+    return common
+
+
+def _classes(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """class, size, typical (share of common n-grams), sketch, prefix."""
+    bits = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        import pyarrow as pa
 
-    counted = sets.filter("tokens is not null").select("tokens").mapInArrow(run, "sig bigint, places int")
-    return _bit_set(counted.groupBy("sig").agg(F.sum("places").alias("places")).filter("places > 1"), "sig")
+        for batch in batches:
+            typical, sketches, prefixes = [], [], []
+            for packed in batch.column(2).to_pylist():
+                token = _unpack(packed)
+                late = _in_bit_set(bits.value, token)
+                typical.append(float(late[: _reach(len(token), percent)].mean()))
+                odd = np.bincount(token % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8").tolist())
+                k = prefix_length(len(token), percent)
+                early = token[~late][:k]
+                prefixes.append(np.concatenate([early, token[late][: k - len(early)]]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(typical, pa.float32()), pa.array(sketches, pa.list_(pa.int64())),
+                 pa.array(prefixes, pa.list_(pa.int64()))],
+                ["class", "size", "typical", "sketch", "prefix"],
+            )
+
+    rows = sets.filter("tokens is not null").select("class", "size", "tokens")
+    return rows.mapInArrow(run, "class bigint, size bigint, typical float, sketch array<bigint>, prefix array<bigint>")
 
 
-def _classes(sets: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
-    """class, size, sketch, sigs (the shared ones), tokens of every class that may share a signature; a class may come from several tasks."""
-    bits = sets.sparkSession.sparkContext.broadcast(shared)
+def _postings(classes: DataFrame) -> DataFrame:
+    """token, class: the prefixes without n-grams that no second prefix holds, as far as a bit set tells."""
+    counted = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = classes.sparkSession.sparkContext.broadcast(_bit_set(counted, "token"))
 
     def run(batches):
         import pyarrow as pa
 
-        cuts = Cuts(percent)
         for batch in batches:
-            for start, stop in text_slices(batch.column(2), SLICE):
-                part = batch.slice(start, stop - start)
-                tokens = [_unpack(x) for x in part.column(2).to_pylist()]
-                sig, owner = cuts.signatures(tokens)
-                known = _in_bit_set(bits.value, sig)
-                sig, owner = sig[known], owner[known]
-                order = np.argsort(owner, kind="stable")
-                keep, starts = np.unique(owner[order], return_index=True)
-                sigs = np.split(sig[order], starts[1:]) if len(keep) else []
-                odd = [np.bincount(tokens[i] % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1 for i in keep.tolist()]
-                sketches = [np.packbits(x.astype(np.uint8)).view("<i8").tolist() for x in odd]
-                taken = part.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(sketches, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), taken.column(2)],
-                    ["class", "size", "sketch", "sigs", "tokens"],
-                )
+            lengths = batch.column(1).value_lengths().to_numpy()
+            token = batch.column(1).flatten().to_numpy()
+            known = _in_bit_set(bits.value, token)
+            owner = np.repeat(np.arange(batch.num_rows), lengths)[known]
+            yield pa.RecordBatch.from_arrays([pa.array(token[known]), batch.column(0).take(pa.array(owner))], ["token", "class"])
+
+    return classes.select("class", "prefix").mapInArrow(run, "token bigint, class bigint")
 
-    rows = sets.filter("tokens is not null").select("class", "size", "tokens")
-    return rows.mapInArrow(run, "class bigint, size bigint, sketch array<bigint>, sigs array<bigint>, tokens binary")
+
+def _held(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """class, size, tokens of the classes in blocks and of few others."""
+    bits = sets.sparkSession.sparkContext.broadcast(_bit_set(members.select("class").distinct(), "class"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bit_set(bits.value, batch.column(0).to_numpy())))
+
+    return sets.filter("tokens is not null").select("class", "size", "tokens").mapInArrow(run, "class bigint, size bigint, tokens binary")
 
 
 def _sizes_near(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of the sizes."""
+def _difference(x: Column, y: Column) -> Column:
+    """Least size of the symmetric difference that the sketches prove."""
     differing = F.lit(0)
     for i in range(SKETCH_WORDS):
-        differing = differing + F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i]))
-    most = (F.col("x.size") + F.col("y.size")) * (100 - percent)
-    x = F.struct("size", "sketch")
-    with_b = pairs.join(traits.select(F.col("class").alias("b"), x.alias("y")), "b")
+        differing = differing + F.bit_count(x[i].bitwiseXOR(y[i]))
+    return differing
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Sizes and sketches allow the similarity: (100 + t) * difference <= (100 - t) * sum of the sizes."""
+    size_x, size_y = F.col(f"{x}.size"), F.col(f"{y}.size")
+    differ = _difference(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"))
+    return _sizes_near(size_x, size_y, percent) & (differ * (100 + percent) <= (size_x + size_y) * (100 - percent))
+
+
+def _may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """Those of a table of pairs (a, b) whose sizes and sketches allow the similarity; many pairs may have the same a."""
+    own = F.struct("size", "sketch")
     hot = heavy_keys(pairs, "a")
-    both = salted(with_b, hot, "a", F.col("b")).join(salted(traits.select(F.col("class").alias("a"), x.alias("x")), hot, "a"), ["a", "salt"])
-    return both.filter(_sizes_near(F.col("x.size"), F.col("y.size"), percent) & (differing * (100 + percent) <= most)).select("a", "b")
+    with_b = salted(pairs.join(traits.select(F.col("class").alias("b"), own.alias("y")), "b"), hot, "a", F.col("b"))
+    both = with_b.join(salted(traits.select(F.col("class").alias("a"), own.alias("x")), hot, "a"), ["a", "salt"])
+    return both.filter(_near("x", "y", percent)).select("a", "b")
 
 
-def _segments(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _segments(held: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
     """class, size, fragment, segment (packed) of the classes in the pairs."""
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = classes.select("class", "size", "tokens").join(ends, "class", "left_semi").dropDuplicates(["class"])
+    wanted = held.join(ends, "class", "left_semi").dropDuplicates(["class"])
+    bits = held.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         import pyarrow as pa
 
-        edges = np.arange(1, FRAGMENTS) * (1 << TOKEN_BITS) // FRAGMENTS
         for batch in batches:
             for start, stop in text_slices(batch.column(2), SLICE):
                 part = batch.slice(start, stop - start)
                 segments = []
                 for packed in part.column(2).to_pylist():
-                    ends = [0, *np.searchsorted(_unpack(packed), edges).tolist(), len(packed) // TOKEN_BYTES]
-                    segments += [packed[TOKEN_BYTES * i : TOKEN_BYTES * j] for i, j in zip(ends, ends[1:], strict=False)]
-                rows = np.repeat(np.arange(len(part)), FRAGMENTS)
+                    token = _unpack(packed)
+                    fragment = _in_bit_set(bits.value, token) * HALVES + ((token >> (TOKEN_BITS - 16)) * HALVES >> 16)
+                    segments += [_pack(token[fragment == i]) for i in range(FRAGMENTS)]
+                rows = pa.array(np.repeat(np.arange(len(part)), FRAGMENTS))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)),
-                     pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(part))), pa.array(segments, pa.binary())],
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(part))),
+                     pa.array(segments, pa.binary())],
                     ["class", "size", "fragment", "segment"],
                 )
 
-    return wanted.mapInArrow(run, "class bigint, size bigint, fragment int, segment binary")
+    return wanted.select("class", "size", "tokens").mapInArrow(run, "class bigint, size bigint, fragment int, segment binary")
 
 
-def verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(held: DataFrame, pairs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose n-gram sets reach the similarity: partial overlaps by fragment, summed."""
 
     def count(batches):
@@ -330,7 +327,7 @@ def verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 [batch.column(c) for c in ("a", "b", "sizes")] + [pa.array(common, pa.int64())], ["a", "b", "sizes", "common"]
             )
 
-    segments = materialise(_segments(classes, pairs), "segments")
+    segments = materialise(_segments(held, pairs, common), "segments")
     hot = heavy_keys(pairs, "a")  # a member that many others are compared with
     left = segments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("segment").alias("left"))
     right = segments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("segment").alias("right"))
@@ -345,16 +342,18 @@ def verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(blocks of two or more classes: sig, class, size, n, hub; classes with their n-grams; traits, one row a class)."""
-    classes = materialise(_classes(sets, _shared_signatures(sets, percent), percent), "classes")
-    traits = materialise(classes.select("class", "size", "sketch").dropDuplicates(["class"]), "traits")
-    postings = materialise(classes.select(F.explode("sigs").alias("sig"), "class", "size").dropDuplicates(["sig", "class"]), "postings")
-    one = F.struct(F.xxhash64("class").alias("draw"), "class", "size")
-    blocks = postings.groupBy("sig").agg(F.count("*").alias("n"), F.min(one).alias("hub")).filter("n > 1")
-    members = materialise(by_unique_key(postings, blocks, "sig", "n"), "members")
-    forget(postings)
-    return members, classes, traits
+def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """(blocks of two or more classes: token, class, size, typical, n; their n-grams; their traits, one row a class; common n-grams)."""
+    common = _common_ngrams(sets, percent)
+    classes = materialise(_classes(sets, common, percent), "classes")
+    postings = materialise(_postings(classes).dropDuplicates(["token", "class"]), "postings")
+    blocks = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = materialise(by_unique_key(postings, blocks, "token", "n"), "blocks")
+    traits = classes.join(blocks.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    traits = materialise(traits.select("class", "size", "typical", "sketch"), "traits")
+    members = materialise(blocks.join(traits.select("class", "size", "typical"), "class"), "members")
+    forget(classes, postings, blocks)
+    return members, materialise(_held(sets, members), "held"), traits, common
 
 
 def _on_blocks(members: DataFrame, others: DataFrame) -> DataFrame:
@@ -362,7 +361,7 @@ def _on_blocks(members: DataFrame, others: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("n") / BLOCK_ROWS)
     left = members.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "class"), parts))
     right = others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
-    return left.alias("m").join(right.alias("h"), ["sig", "salt"])
+    return left.alias("m").join(right.alias("h"), ["token", "salt"])
 
 
 def jaccard_links(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,12 +376,11 @@ def jaccard_links(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
 
 
 def _jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
-    members, classes, traits = _blocks(sets, percent)
-    members = members.select("sig", "class", "size", "n")
-    near = (F.col("m.class") < F.col("h.class")) & _sizes_near(F.col("m.size"), F.col("h.size"), percent)
-    both = _on_blocks(members, members).filter(near).select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct()
-    pairs = materialise(_may_link(materialise(both, "block-pairs"), traits, percent), "candidates")
-    links = verified(classes, pairs, percent)
+    members, held, traits, common = _blocks(sets, percent)
+    full = members.select("token", "class", "n").join(traits, "class")
+    both = _on_blocks(full, full).filter((F.col("m.class") < F.col("h.class")) & _near("m", "h", percent))
+    pairs = materialise(both.select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct(), "candidates")
+    links = verified(held, pairs, common, percent)
     rows = sets.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
     return links.join(rows.toDF("a", "rows_a"), "a").join(rows.toDF("b", "rows_b"), "b").select("a", "b", "rows_a", "rows_b")
 
@@ -416,45 +414,72 @@ def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_i
     return distilled(lambda: _jaccard_components(df, n, percent, id_col, text_col), "components")
 
 
-def merge_rounds(members: DataFrame, classes: DataFrame, traits: DataFrame, percent: int):
-    """Yield (pairs verified, components so far: node and root of linked classes, None before any) round by round until no block is open."""
-    live, tried, links, roots, centres = members.withColumn("component", F.col("class")), None, None, None, 0
-    while live.head(1):
-        if not centres:  # the block's first member by hash is known already
-            found = live.filter(F.col("hub.class") != F.col("class")).filter(_sizes_near(F.col("hub.size"), F.col("size"), percent))
-            pairs = found.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
-            drawn = F.col("hub.class") == F.col("class")
-        else:
-            drawn = F.pmod(F.xxhash64(F.lit(2), "class"), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < centres
-            others = live.filter(drawn).select("sig", "class", "size", "component", "n")
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    if tried is None:
+        return pairs
+    return pairs.join(tried, (F.least("a", "b") == tried["lo"]) & (F.greatest("a", "b") == tried["hi"]), "left_anti")
+
+
+def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common: np.ndarray, percent: int):
+    """Yield (pairs verified, components so far: node and root of linked classes, None before any) round by round.
+
+    A round drops the blocks that hold one component only; the last one has verified every pair that was left.
+    """
+    live, tried, links, roots = members.withColumn("component", F.col("class")), None, None, None
+    one = F.struct("class", "component", "size")
+    typical, drawn = [F.struct("typical", "class")], [F.xxhash64(F.lit(i), "class") for i in range(CENTRES)]
+    range_of = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")]
+    for orders, likeliest in ((typical, False), (drawn, False), (None, True), (None, False)):
+        if orders:
+            hubs = live.groupBy("token").agg(F.first("n").alias("n"), *range_of, *[F.max_by(one, order).alias(f"hub{i}") for i, order in enumerate(orders)])
+            every = F.array_distinct(F.array(*[f"hub{i}" for i in range(len(orders))]))
+            hubs = hubs.filter("lo <> hi").select("token", "n", F.explode(every).alias("hub")).select("token", "n", "hub.*")
             near = (F.col("m.component") != F.col("h.component")) & _sizes_near(F.col("m.size"), F.col("h.size"), percent)
-            both = _on_blocks(live.withColumn("drawn", drawn), others).filter(near & (~F.col("m.drawn") | (F.col("h.class") < F.col("m.class"))))
-            pairs = both.select(F.col("h.class").alias("a"), F.col("m.class").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, (F.least("a", "b") == tried["lo"]) & (F.greatest("a", "b") == tried["hi"]), "left_anti")
-        pairs = materialise(_may_link(materialise(pairs, "block-pairs"), traits, percent), "candidates")
+            pairs = _on_blocks(live, hubs).filter(near).select(F.col("h.class").alias("a"), F.col("m.class").alias("b"))
+            once = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"))
+            once = once.select("a", (F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("a"))).alias("b"))
+            pairs = _may_link(materialise(_untried(once, tried), "block-pairs"), traits, percent)
+        else:
+            still = live.groupBy("token").agg(*range_of).filter("lo <> hi").select("token", "left")
+            live = materialise(by_unique_key(live, still, "token", "left").drop("left"), "members")
+            if not live.head(1):
+                return
+            full = live.select("token", "class", "component", "n").join(traits, "class")
+            rest = _on_blocks(full, full).filter((F.col("m.component") < F.col("h.component")) & _near("m", "h", percent))
+            differ = _difference(F.col("m.sketch"), F.col("h.sketch")).alias("differ")
+            rest = rest.select(F.col("m.class").alias("a"), F.col("h.class").alias("b"), F.col("m.component").alias("ca"), F.col("h.component").alias("cb"), differ)
+            rest = _untried(rest, tried)
+            if likeliest:
+                pairs = rest.groupBy("ca", "cb").agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b")
+            else:
+                pairs = rest.select("a", "b").distinct()
+        pairs = materialise(pairs, "candidates")
+        if not pairs.head(1):
+            if orders:
+                continue
+            return  # no pair is left
         done = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         tried = done if tried is None else tried.union(done)
-        rest = live.filter(~drawn).select("sig", "class", "size", "n", "component")
-        if pairs.head(1):
-            edges = verified(classes, pairs, percent)
+        edges = verified(held, pairs, common, percent)
+        found = bool(edges.head(1))
+        if found:
             links = edges if links is None else links.union(edges)
             roots = components(links)
-            rest = rest.drop("component").join(roots.toDF("class", "root"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
         yield pairs, roots
-        rest = materialise(rest, "blocks")
-        still = rest.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")).filter("lo <> hi")
-        live = materialise(by_unique_key(rest, still.select("sig", "left"), "sig", "left").drop("left"), "blocks")
-        centres = centres * MORE_CENTRES or CENTRES
+        if not found:
+            continue
+        named = roots.toDF("class", "root")
+        live = live.drop("component").join(named, "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
+        live = materialise(live, "members")
 
 
 def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     sets = _ngram_rows(df, n, id_col, text_col)
-    members, classes, traits = _blocks(sets, percent)
+    members, held, traits, common = _blocks(sets, percent)
     rows = materialise(sets.select("doc_id", "key", F.col("size").alias("n_shingles"), "class"), "ngram-rows")
     forget(sets)
     roots = None
-    for _, roots in merge_rounds(members, classes, traits, percent):
+    for _, roots in merge_rounds(members, held, traits, common, percent):
         pass
     by_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     if roots is None:
