@@ -59,7 +59,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         tables = index.load_index(spark, o.prefix)
         reads = files.read_fastq(spark, o.input)
-        found = align.hits(reads, tables["contigs"], o.max_hits, o.strand).persist()
+        found = align.hits(reads, tables["blocks"], o.max_hits, o.strand).persist()
         lines = files.sam_lines(align.sam_rows(found, reads), o.standard)
         if o.standard:
             lines = files.sam_header(tables["chr_len"]).union(lines)

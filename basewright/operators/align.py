@@ -1,54 +1,99 @@
 """Exact, ungapped mapping of reads to a genome as a seed join.
 
-A read and its reverse complement are two patterns. The first ``SEED`` bases of
-a pattern meet the k-mers of F in a hash join, the rest of the pattern is compared with
-the text behind the k-mer, and everything else is a filter or a window:
+A read and its reverse complement are two patterns. A pattern is looked at in
+pieces of up to SPAN bases. The first bases of a piece, its seed (LONG_SEED of them, or
+SEED where the piece is shorter), meet the k-mers of F's blocks in a hash join, and
+the rest of the piece is compared with the text behind the k-mer; a pattern of
+several pieces stands where all of them do. K-mers that are no piece's seed are
+dropped before anything is shuffled, by a bit set of fixed size. Everything else
+is a filter or a window:
 
 * ``raw_n`` counts all occurrences in F and its reverse complement, also those
   that cross a gap, a contig's end or the junction of the two strands; a read
-  with more than ``max_hits`` of them is not reported (negative: no cap).
+  with more than ``max_hits`` of them is not reported (negative: no cap), and its
+  hits are not expanded.
 * a hit counts only inside one run of bases (``run_left >= length``), which
   rules out gaps and contig ends at once.
 * a palindrome gives a row for each strand.
 
-Reads shorter than the seed or with other characters than A, C, G, T do not map.
+A genome is given as contigs, or as the blocks that an index stores.
+Reads shorter than the seed or with other characters than A, C, G, T do not map;
+reads have any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basewright.functions import dna
 from basewright.operators import genome
-from basewright.plans.scratch import materialise
-
-SEED = 12
+from basewright.operators.genome import BLOCK, SPAN
+from basewright.plans.scratch import distilled, materialise
+
+SEED, LONG_SEED = 12, 24
+#: log2 of the bits of the seeds' bit set (8 MB).
+FILTER_BITS = 26
+#: A seed is hot if more than one in so many sampled places has it; there are never more hot seeds. Its places are dealt over SALTS.
+HOT_SHARE, SALTS = 1000, 32
 #: Defaults of the interface.
 MAX_HITS, BOTH_STRANDS = 1000, 2
 FORWARD, REVERSE = 0, 16
 
 
 def patterns(reads: DataFrame, seed: int = SEED) -> DataFrame:
-    """pattern, reads with it (ids by flag): each distinct pattern is searched once."""
+    """read_id, flag, pattern: both orientations of every usable read."""
     usable = reads.filter(dna.is_plain(F.col("seq")) & (F.length("seq") >= seed)).select("read_id", "seq")
     forward = usable.select("read_id", F.lit(FORWARD).alias("flag"), F.col("seq").alias("pattern"))
     reverse = usable.select("read_id", F.lit(REVERSE).alias("flag"), dna.reverse_complement(F.col("seq")).alias("pattern"))
     return forward.union(reverse)
 
 
-def kmers(chunked: DataFrame, reach: int, seed: int = SEED) -> DataFrame:
-    """seed, name, start, pos0, run_left, rest: one row for each base of F that starts a k-mer.
+def pieces(distinct: DataFrame) -> DataFrame:
+    """pattern, of (pieces of it), off, piece, seed: each pattern in pieces of SPAN, the last one ending with it."""
+    last = F.greatest(F.length("pattern") - SPAN, F.lit(0))
+    offs = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(SPAN)), F.array(last)))
+    cut = distinct.select("pattern", F.size(offs).alias("of"), F.explode(offs).alias("off"))
+    cut = cut.withColumn("piece", F.substring("pattern", F.col("off") + 1, F.lit(SPAN)))
+    n = F.length("piece")
+    size = F.when(n >= LONG_SEED, LONG_SEED).when(n >= SEED, SEED).otherwise(n)
+    return cut.withColumn("seed", F.substring("piece", F.lit(1), size))
+
+
+def _word(value: Column) -> Column:
+    """The word of a hash in the bit set."""
+    return F.shiftright(value.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+
 
-    ``rest`` is what follows the k-mer, up to ``reach`` bases after the first one.
+def seed_words(cut: DataFrame) -> DataFrame:
+    """word, bits: the bit set of the pieces' seeds, at most 2**(FILTER_BITS - 6) rows whatever the input."""
+    hashed = cut.select(F.xxhash64("seed").alias("hash"))
+    return hashed.select(_word(F.col("hash")).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def kmers(blocks: DataFrame, k: int, words: DataFrame | None = None) -> DataFrame:
+    """seed, start, rest, pos0, run_left, name: each place of F that starts a k-mer, or those in the bit set ``words``.
+
+    ``rest`` is what follows the k-mer, up to SPAN bases after its first one.
     """
-    at = chunked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bases").cast("int") - 1)))
-    rows = at.select(
-        "name", (F.col("start") + F.col("i")).alias("start"), (F.col("pos0") + F.col("i")).alias("pos0"),
-        (F.col("run_left") - F.col("i")).alias("run_left"), F.substring("text", F.col("i") + 1, F.lit(seed)).alias("seed"),
-        F.substring("text", F.col("i") + 1 + seed, F.lit(reach + 1 - seed)).alias("rest"),
+    rows = _places(blocks.withColumn("start", F.col("block") * BLOCK), k, words, "runs")
+    run = F.element_at(F.filter("runs", lambda x: x["start"] <= F.col("start")), -1)
+    rows = rows.select("seed", "start", "rest", F.when(F.size("runs") > 0, run).alias("run"))
+    return rows.select(
+        "seed", "start", "rest", (F.col("run.pos0") + F.col("start") - F.col("run.start")).alias("pos0"),
+        (F.col("run.end") - F.col("start")).alias("run_left"), F.col("run.name").alias("name"),
     )
-    return rows.filter(F.length("seed") == seed)
+
+
+def _places(blocks: DataFrame, k: int, words: DataFrame | None, *carried: str) -> DataFrame:
+    """seed, start, rest and the carried columns of blocks (start, text)."""
+    at = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), genome.bases(F.col("text")) - 1)))
+    at = at.withColumn("seed", F.substring("text", F.col("i") + 1, F.lit(k))).filter(F.length("seed") == k)
+    if words is not None:
+        at = at.withColumn("hash", F.xxhash64("seed")).withColumn("word", _word(F.col("hash")))
+        at = at.join(F.broadcast(words), "word").filter(F.expr("shiftright(bits, cast(hash & 63 as int)) & 1") == 1)
+    rest = F.substring("text", F.col("i") + 1 + k, F.lit(SPAN - k))
+    return at.select("seed", (F.col("start") + F.col("i")).alias("start"), rest.alias("rest"), *carried)
 
 
 def seed_join(pats: DataFrame, index: DataFrame, seed: int = SEED) -> DataFrame:
@@ -57,40 +102,75 @@ def seed_join(pats: DataFrame, index: DataFrame, seed: int = SEED) -> DataFrame:
     return distinct.join(index, "seed")
 
 
-def occurrences(pats: DataFrame, index: DataFrame, seed: int = SEED) -> DataFrame:
-    """pattern, name, start, pos0, run_left: the seed join's places where the whole pattern stands in F."""
-    same = F.expr(f"startswith(rest, substring(pattern, {seed + 1}))")
-    return seed_join(pats, index, seed).filter(same).select("pattern", "name", "start", "pos0", "run_left")
+def _hot_seeds(blocks: DataFrame, k: int) -> DataFrame:
+    """seed, hot: the seeds of more than one in HOT_SHARE blocks' first places. They only steer how rows are dealt."""
+    total = blocks.count()
+    first = blocks.select(F.left("text", F.lit(k)).alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
+    return first.filter((F.col("n") * HOT_SHARE > total) & (F.col("n") > 1)).select("seed", F.lit(True).alias("hot"))
 
 
-def junction_counts(pats: DataFrame, placed: DataFrame, reach: int) -> DataFrame:
-    """pattern, n: occurrences across the junction of F and its reverse complement.
+def occurrences(distinct: DataFrame, blocks: DataFrame, places, *keys: str) -> DataFrame:
+    """pattern, start, the keys, and what ``places(k, words)`` gives: where the whole of each distinct pattern stands.
 
-    Only the last bases of F and their mirror matter, a text of fixed length.
+    ``distinct`` is a table of patterns; ``keys`` tell texts with places of their own apart.
+    """
+    cut = pieces(distinct)
+    words = materialise(seed_words(cut), "seed-words")
+    sizes = [r["k"] for r in cut.select(F.length("seed").alias("k")).distinct().collect()]  # at most SEED + 1 different ones
+    found = None
+    for k in sizes:
+        hot = F.broadcast(_hot_seeds(blocks, k))  # at most HOT_SHARE rows
+        dealt = places(k, words).join(hot, "seed", "left")
+        dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("start"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
+        wanted = cut.filter(F.length("seed") == k).join(hot, "seed", "left")
+        wanted = wanted.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+        some = dealt.join(wanted, ["seed", "salt"]).filter(F.expr(f"startswith(rest, substring(piece, {k + 1}))"))
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return places(SEED, words).join(distinct.limit(0), F.lit(True)).drop("seed", "rest")
+    found = found.withColumn("start", F.col("start") - F.col("off")).drop("seed", "salt", "rest", "piece")
+    single = found.filter("of = 1").drop("of", "off")
+    if not distinct.filter(F.length("pattern") > SPAN).head(1):
+        return single
+    others = [c for c in single.columns if c not in ("pattern", "start", *keys)]
+    whole = found.filter("of > 1").groupBy("pattern", *keys, "start").agg(
+        F.count("*").alias("n"), F.first("of").alias("of"), F.max_by(F.struct("off", *others), -F.col("off")).alias("at")
+    )
+    return single.unionByName(whole.filter("n = of").select("pattern", *keys, "start", *[F.col(f"at.{c}").alias(c) for c in others]))
+
+
+def _junction(blocks: DataFrame, reach: int) -> tuple[DataFrame, int]:
+    """(blocks of the last ``reach`` bases of F and their mirror, at places below 0; the place at which the mirror starts)."""
+    tail = genome.last_bases(blocks, reach)
+    text = tail + tail[::-1].translate(str.maketrans(dna.BASES, dna.COMPLEMENT))
+    first = -(len(text) // BLOCK + 2)
+    rows = [(first + i, text[BLOCK * i : BLOCK * (i + 1) + SPAN - 1], []) for i in range(-(-len(text) // BLOCK))]
+    return blocks.sparkSession.createDataFrame(rows, blocks.schema), first * BLOCK + len(tail)
+
+
+def _found(pats: DataFrame, genome_: DataFrame) -> DataFrame:
+    """pattern, start, pos0, run_left, name; places across the junction have none but a start below 0."""
+    blocks = genome.searchable(genome_)
+    distinct = materialise(pats.select("pattern").distinct(), "patterns")
+    longest = distinct.agg(F.max(F.length("pattern"))).first()[0] or SEED
+    across, mirror = _junction(blocks, longest - 1)
+    every = blocks.unionByName(across)
+    found = occurrences(distinct, blocks, lambda k, words: kmers(every, k, words))
+    return found.filter((F.col("start") >= 0) | ((F.col("start") < mirror) & (F.col("start") + F.length("pattern") > mirror)))
+
+
+def raw_hits(reads: DataFrame, genome_: DataFrame, seed: int = SEED, max_hits: int = -1) -> DataFrame:
+    """read_id, flag, name, start, pos0, run_left, len, raw_n: all hits in F, also those that later filters drop.
+
+    Hits of reads with more than ``max_hits`` raw hits are counted but not expanded.
     """
-    ends = genome.text_ends(placed, reach).select(F.col("last").alias("last"), dna.reverse_complement(F.col("last")).alias("mirror"))
-    reverse = pats.filter(F.col("flag") == REVERSE).select("pattern").distinct()
-    n = F.length("pattern")
-    text = F.concat(F.right("last", n - 1), F.left("mirror", n - 1))
-    shifts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    hits = F.filter(shifts, lambda i: F.substring(text, i, n) == F.col("pattern"))
-    counted = reverse.join(F.broadcast(ends), F.lit(True)).select("pattern", F.size(hits).cast("long").alias("n"))  # one row
-    return counted.filter("n > 0")
-
-
-def raw_hits(reads: DataFrame, contigs: DataFrame, seed: int = SEED) -> DataFrame:
-    """read_id, flag, name, start, pos0, run_left, len, raw_n: all hits in F, also those that later filters drop."""
-    longest = reads.agg(F.max(F.length("seq"))).first()[0] or seed
-    reach = max(longest, seed) - 1
-    if reach > genome.PIECE:
-        raise ValueError(f"reads of up to {genome.PIECE} bases are supported, not {longest}")
-    placed = materialise(genome.placed_segments(genome.segments(contigs)), "segments")
     pats = patterns(reads, seed)
-    found = materialise(occurrences(pats, kmers(genome.chunks(placed, reach), reach, seed), seed), "occurrences")
-    sizes = found.groupBy("pattern").agg(F.count("*").alias("n"))
-    sizes = sizes.unionByName(junction_counts(pats, placed, reach)).groupBy("pattern").agg(F.sum("n").alias("n"))
-    raw = pats.join(sizes, "pattern").groupBy("read_id").agg(F.sum("n").alias("raw_n"))
-    return pats.join(found, "pattern").join(raw, "read_id").select(
+    found = distilled(lambda: _found(pats, genome_), "occurrences")
+    sizes = found.groupBy("pattern").agg(F.count_if(F.col("start") >= 0).alias("n"), F.count_if(F.col("start") < 0).alias("across"))
+    every = F.col("n") + F.when(F.col("flag") == REVERSE, F.col("across")).otherwise(0)
+    raw = pats.join(sizes, "pattern").groupBy("read_id").agg(F.sum(every).alias("raw_n")).filter("raw_n > 0")
+    few = pats.join(capped(raw, max_hits), "read_id")
+    return few.join(found.filter("start >= 0"), "pattern").select(
         "read_id", "flag", "name", "start", "pos0", "run_left", F.length("pattern").cast("long").alias("len"), "raw_n"
     )
 
@@ -115,8 +195,8 @@ def counted(hits: DataFrame) -> DataFrame:
     return hits.join(sizes, "read_id")
 
 
-def hits(reads: DataFrame, contigs: DataFrame, max_hits: int = MAX_HITS, strand: int = BOTH_STRANDS, seed: int = SEED) -> DataFrame:
-    return counted(on_strand(inside_runs(capped(raw_hits(reads, contigs, seed), max_hits)), strand))
+def hits(reads: DataFrame, genome_: DataFrame, max_hits: int = MAX_HITS, strand: int = BOTH_STRANDS, seed: int = SEED) -> DataFrame:
+    return counted(on_strand(inside_runs(raw_hits(reads, genome_, seed, max_hits)), strand))
 
 
 def sam_rows(found: DataFrame, reads: DataFrame) -> DataFrame:
@@ -132,8 +212,22 @@ def sam_rows(found: DataFrame, reads: DataFrame) -> DataFrame:
     )
 
 
-def align(reads: DataFrame, contigs: DataFrame, max_hits: int = MAX_HITS, strand: int = BOTH_STRANDS, seed: int = SEED) -> DataFrame:
-    return sam_rows(hits(reads, contigs, max_hits, strand, seed), reads)
+def align(reads: DataFrame, genome_: DataFrame, max_hits: int = MAX_HITS, strand: int = BOTH_STRANDS, seed: int = SEED) -> DataFrame:
+    return sam_rows(hits(reads, genome_, max_hits, strand, seed), reads)
+
+
+def per_record(rows: DataFrame, callback, schema: str) -> DataFrame:
+    """``callback`` (a record as a dict, giving dicts of ``schema``) on every record, in the executors."""
+    columns = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = [made for record in batch.to_dict("records") for made in callback(record)]
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows.mapInPandas(run, schema)
 
 
 def statistics(found: DataFrame, reads: DataFrame) -> DataFrame:
@@ -146,25 +240,21 @@ def statistics(found: DataFrame, reads: DataFrame) -> DataFrame:
     return counts.withColumn("mappability", F.when(F.col("total") > 0, 100.0 * F.col("mapped") / F.col("total")))
 
 
-def text_search(texts: DataFrame, passages: DataFrame, seed: int = 16) -> DataFrame:
-    """text_id, item_id, pos: places of whole passages in texts of any alphabet, by the same seed join.
+def text_search(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """text_id, item_id, pos: places of whole passages in texts of any alphabet, by the same seed join in blocks.
 
-    texts: text_id, text; passages: item_id, passage. A seed is a whole passage
-    cut to ``seed`` characters; passages shorter than that are found through their own length.
+    texts: text_id, text; passages: item_id, passage. Empty passages and null texts give nothing.
     """
-    lengths = [r[0] for r in passages.select(F.least(F.length("passage"), F.lit(seed)).alias("n")).filter("n > 0").distinct().collect()]
-    found = None
-    for n in lengths:  # at most ``seed`` different lengths
-        some = passages.filter(F.least(F.length("passage"), F.lit(seed)) == n).select("item_id", "passage", F.substring("passage", 1, n).alias("seed"))
-        cut = texts.select("text_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{genome.CHUNK}}}"), F.lit(0)).alias("cut"))
-        zipped = F.arrays_zip(F.col("cut").alias("own"), F.slice(F.col("cut"), F.lit(2), F.greatest(F.size("cut"), F.lit(1))).alias("next"))
-        pieces = cut.select("text_id", F.posexplode(zipped).alias("no", "z")).select(
-            "text_id", (F.col("no") * genome.CHUNK).alias("off"), F.concat("z.own", F.coalesce(F.left(F.col("z.next"), F.lit(n - 1)), F.lit(""))).alias("piece")
-        )
-        seeds = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(genome.CHUNK - 1))))
-        seeds = seeds.select("text_id", (F.col("off") + F.col("i")).alias("pos"), F.substring("piece", F.col("i") + 1, F.lit(n)).alias("seed"))
-        places = seeds.filter(F.length("seed") == n).join(some, "seed").select("text_id", "item_id", "pos", "passage")
-        whole = places.join(texts, "text_id").filter(F.substring("text", F.col("pos") + 1, F.length("passage")) == F.col("passage"))
-        whole = whole.select("text_id", "item_id", F.col("pos").cast("long").alias("pos"))
-        found = whole if found is None else found.union(whole)
-    return found if found is not None else texts.select("text_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("pos")).limit(0)
+    cut = texts.filter("text <> ''").select("text_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("cut"))
+    zipped = F.arrays_zip(F.col("cut").alias("own"), F.slice(F.col("cut"), F.lit(2), F.greatest(F.size("cut"), F.lit(1))).alias("next"))
+    blocks = cut.select("text_id", F.posexplode(zipped).alias("no", "z")).select(
+        "text_id", (F.col("no") * BLOCK).alias("start"), F.concat("z.own", F.coalesce(F.left(F.col("z.next"), F.lit(SPAN - 1)), F.lit(""))).alias("text")
+    )
+
+    def make() -> DataFrame:
+        wanted = passages.filter("passage <> ''")
+        distinct = materialise(wanted.select(F.col("passage").alias("pattern")).distinct(), "passages")
+        found = occurrences(distinct, blocks, lambda k, words: _places(blocks, k, words, "text_id"), "text_id")
+        return found.join(wanted, found["pattern"] == wanted["passage"]).select("text_id", "item_id", F.col("start").cast("long").alias("pos"))
+
+    return distilled(make, "passages-found")

@@ -1,4 +1,4 @@
-"""A genome as DataFrames: contigs, segments between runs of N, coordinates, chunks of the N-free text.
+"""A genome as DataFrames: contigs, segments between runs of N, coordinates, blocks of the N-free text.
 
 contigs: ordinal LONG, name STRING, seq STRING (cleaned). The N-free text F is
 the concatenation of all segments in contig order; it is never built as one
@@ -7,15 +7,16 @@ string. Contigs without a base are left out of every coordinate table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basewright.functions import dna
-from basewright.operators.ordering import RANGE, running_total
+from basewright.operators.ordering import running_total
+from basewright.plans.scratch import materialise
 
-#: Bases of a chunk, and of the pieces that long segments are cut into first.
-CHUNK, PIECE = 256, 8192
+#: Bases of a block, bases of a pattern that are looked at in one block, and bases of the pieces that long segments are cut into first.
+BLOCK, SPAN, PIECE = 256, 64, 8192
 
 
 def contigs_of(df: DataFrame, ordinal: str = "ordinal", name: str = "name", seq: str = "seq") -> DataFrame:
@@ -64,56 +65,66 @@ def duplicate_names(contigs: DataFrame) -> DataFrame:
     return contigs.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def with_context(placed: DataFrame, reach: int) -> DataFrame:
-    """Add ``beyond``: the ``reach`` bases of F after each segment, whatever segments and contigs they lie in."""
-    ranged = placed.withColumn("range", F.floor(F.col("ordinal") / RANGE)).withColumn("head", F.substring("seq", F.lit(1), F.lit(reach)))
-    # Every segment has a base, so the next ``reach`` segments are enough.
-    after = Window.partitionBy("range").orderBy("start").rowsBetween(1, max(reach, 1))
-    near = ranged.withColumn("near", F.array_join(F.collect_list("head").over(after), ""))
-    fronts = near.groupBy("range").agg(F.min_by(F.concat("head", "near"), "start").alias("front"))
-    later = Window.orderBy("range").rowsBetween(1, max(reach, 1))
-    fronts = fronts.withColumn("after", F.array_join(F.collect_list("front").over(later), "")).select("range", "after")
-    whole = near.join(fronts, "range")
-    return whole.withColumn("beyond", F.substring(F.concat("near", "after"), F.lit(1), F.lit(reach))).drop("range", "head", "near", "after")
+def cut(pieces: DataFrame, after: int, *carried: str) -> DataFrame:
+    """block, text, parts: the text that ``pieces`` (start, seq) tile, cut at multiples of BLOCK, each block with ``after`` more characters.
 
+    ``parts`` lists, in order, the start of each part and the ``carried`` columns of
+    the piece that it comes from. Pieces are dealt by place alone, so a text of one
+    contig spreads over all tasks, and no task holds more than a block of it.
+    """
+    small = pieces.select("start", *carried, F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("__no", "__piece"))
+    small = small.withColumn("__at", F.col("start") + F.col("__no").cast("long") * PIECE).withColumn("__stop", F.col("__at") + F.length("__piece"))
+    first, last = F.greatest(F.floor((F.col("__at") - after) / BLOCK), F.lit(0)), F.floor((F.col("__stop") - 1) / BLOCK)
+    dealt = small.withColumn("block", F.explode(F.sequence(first, last)))
+    lo = F.greatest("__at", F.col("block") * BLOCK)
+    hi = F.least("__stop", (F.col("block") + 1) * BLOCK + after)
+    part = F.substring("__piece", (lo - F.col("__at") + 1).cast("int"), (hi - lo).cast("int"))
+    dealt = dealt.select("block", F.struct(lo.alias("lo"), *carried, part.alias("part")).alias("p"))
+    grouped = dealt.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["part"]), "")
+    return grouped.select("block", text.alias("text"), F.transform("p", lambda x: F.struct(x["lo"].alias("lo"), *[x[c].alias(c) for c in carried])).alias("parts"))
+
+
+def blocks(placed: DataFrame) -> DataFrame:
+    """block, text, runs: BLOCK bases of F (the last block maybe fewer) and the SPAN - 1 bases after them.
+
+    ``runs`` are the segments with a base in the block: start and end in F, pos0, name.
+    """
+    made = cut(placed.withColumn("end", F.col("start") + F.col("len")).withColumn("first", F.col("start")), SPAN - 1, "first", "end", "pos0", "name")
+    own = F.filter("parts", lambda x: x["lo"] < (F.col("block") + 1) * BLOCK)
+    return made.select("block", "text", F.transform(own, lambda x: F.struct(x["first"].alias("start"), x["end"].alias("end"), x["pos0"].alias("pos0"), x["name"].alias("name"))).alias("runs"))
 
-def chunks(placed: DataFrame, reach: int) -> DataFrame:
-    """name, start, pos0, bases, run_left, text: CHUNK bases of a segment followed by ``reach`` bases of F.
 
-    ``start`` and ``pos0`` are of the first base, ``run_left`` the bases from it to the segment's end.
-    """
-    extended = with_context(placed, reach)
-    pieces = extended.withColumn("pieces", F.regexp_extract_all("seq", F.lit(f"[ACGT]{{1,{PIECE}}}"), F.lit(0)))
-    pieces = pieces.select("name", "start", "pos0", "len", "beyond", F.posexplode(F.arrays_zip(
-        F.col("pieces").alias("piece"), F.slice(F.col("pieces"), F.lit(2), F.size("pieces")).alias("next"))).alias("no", "z"))
-    tail = F.substring(F.concat(F.coalesce("z.next", F.lit("")), "beyond"), F.lit(1), F.lit(reach))
-    base = F.col("no").cast("long") * PIECE
-    pieces = pieces.select(
-        "name", (F.col("start") + base).alias("start"), (F.col("pos0") + base).alias("pos0"), (F.col("len") - base).alias("run_left"),
-        F.col("z.piece").alias("piece"), F.concat("z.piece", tail).alias("both"),
-    )
-    step = F.explode(F.sequence(F.lit(0), F.length("piece") - 1, F.lit(CHUNK)))
-    cut = pieces.withColumn("off", step)
-    return cut.select(
-        "name", (F.col("start") + F.col("off")).alias("start"), (F.col("pos0") + F.col("off")).alias("pos0"),
-        F.least(F.length("piece") - F.col("off"), F.lit(CHUNK)).alias("bases"), (F.col("run_left") - F.col("off")).alias("run_left"),
-        F.substring("both", F.col("off") + 1, F.lit(CHUNK + reach)).alias("text"),
-    )
+def searchable(genome: DataFrame) -> DataFrame:
+    """The blocks of a genome that is given as contigs, written once, or as stored blocks."""
+    return genome if "block" in genome.columns else materialise(blocks(placed_segments(segments(genome))), "genome-blocks")
+
+
+def bases(text: Column) -> Column:
+    """Of a block's text, how many characters are its own."""
+    return F.least(F.length(text), F.lit(BLOCK))
+
+
+def last_bases(found: DataFrame, reach: int) -> str:
+    """The last ``reach`` bases of F, all of it if that is shorter."""
+    top = found.agg(F.max("block")).first()[0]
+    if top is None or reach <= 0:
+        return ""
+    ends = found.filter(F.col("block") >= top - reach // BLOCK - 1).select("block", F.left("text", bases(F.col("text"))).alias("own"))
+    return "".join(r["own"] for r in sorted(ends.collect(), key=lambda r: r["block"]))[-reach:]
 
 
-def text_ends(placed: DataFrame, reach: int) -> DataFrame:
-    """One row: first and last, the ``reach`` bases at either end of F (all of F if that is shorter)."""
-    rows = placed.select("start", F.substring("seq", F.lit(1), F.lit(reach)).alias("head"), F.substring("seq", -reach, reach).alias("tail"))
-    first = rows.orderBy("start").limit(max(reach, 1))
-    last = rows.orderBy(F.desc("start")).limit(max(reach, 1))
-    joined = lambda df, c, name: df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", c))), lambda s: s[c]), "").alias(name))
-    heads = joined(first, "head", "first").select(F.substring("first", F.lit(1), F.lit(reach)).alias("first"))
-    tails = joined(last, "tail", "last").select(F.right(F.col("last"), F.lit(reach)).alias("last"))
-    return heads.join(tails, F.lit(True))
+def strands(contigs: DataFrame) -> DataFrame:
+    """start, seq: pieces that tile F, its reverse complement and a final $."""
+    placed = materialise(placed_segments(segments(contigs)).select("start", "len", "seq"), "segments")
+    total = placed.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    reverse = placed.select((F.lit(2 * total) - F.col("start") - F.col("len")).alias("start"), dna.reverse_complement(F.col("seq")).alias("seq"))
+    end = contigs.sparkSession.createDataFrame([(2 * total, "$")], "start long, seq string")
+    return placed.select("start", "seq").unionByName(reverse).unionByName(end)
 
 
 def genome_text(contigs: DataFrame) -> DataFrame:
-    """One row: text = F, its reverse complement and a final $. For small genomes only; searches never build it."""
+    """One row: text = F, its reverse complement and a final $. For small genomes only; neither searches nor index tables build it."""
     pieces = placed_segments(segments(contigs)).agg(F.sort_array(F.collect_list(F.struct("start", "seq"))).alias("s"))
     whole = F.array_join(F.transform("s", lambda x: x["seq"]), "")
     return pieces.select(whole.alias("f")).select(F.concat("f", dna.reverse_complement(F.col("f")), F.lit("$")).alias("text"))

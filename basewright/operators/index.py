@@ -1,8 +1,10 @@
 """Suffix order, Burrows-Wheeler and FM tables of a text as DataFrames, and the stored index.
 
-The text ends in $, which sorts before A < C < G < T in binary order. Rows of the
-suffix order are numbered within ranges of the sort key, so no single task sorts
-the text; ties beyond ``depth`` characters go by position.
+The text ends in $, which sorts before A < C < G < T in binary order. It is given
+as pieces (start, seq) that tile it, or as one row (text); suffixes come from its
+blocks, so the work grows with its length. Rows of the suffix order are numbered
+within sampled ranges of (suffix, position), so no single task sorts the text and
+no repeat is too long for one; ties beyond ``depth`` characters go by position.
 """
 
 from __future__ import annotations
@@ -14,29 +16,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basewright.operators import genome
-from basewright.operators.ordering import numbered
-from basewright.plans.scratch import materialise
+from basewright.operators.ordering import numbered, numbered_by, offsets, running_total
+from basewright.plans.scratch import materialise, scope
 
 #: Defaults of the interface: characters that the suffix sort looks at, and rows between checkpoints.
 DEPTH, INTERVAL = 256, 64
 KMER = 12
-#: Characters of the key that deals suffixes into ranges.
-RANGE_CHARS = 8
 
 
 def suffixes(text: DataFrame, depth: int = DEPTH) -> DataFrame:
     """pos, suffix (cut to depth), prev (the character before it, $ for the first)."""
-    n = F.length("text")
-    return text.select("text", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")).select(
-        F.col("pos").cast("long").alias("pos"), F.substring("text", F.col("pos") + 1, F.lit(depth)).alias("suffix"),
-        F.when(F.col("pos") == 0, F.lit("$")).otherwise(F.substring("text", F.col("pos"), F.lit(1))).alias("prev"),
-    )
+    pieces = text if "seq" in text.columns else text.select(F.lit(0).cast("long").alias("start"), F.col("text").alias("seq"))
+    blocks = genome.cut(pieces, depth).select("block", "text")
+    # Every character gives the suffix after it; the last one, $, gives the first suffix of the text.
+    at = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), genome.bases(F.col("text")) - 1)))
+    prev = F.substring("text", F.col("i") + 1, F.lit(1))
+    after = at.select(
+        (F.col("block") * genome.BLOCK + F.col("i") + 1).alias("pos"), F.substring("text", F.col("i") + 2, F.lit(depth)).alias("suffix"), prev.alias("prev")
+    ).filter("prev <> '$'")
+    first = blocks.filter("block = 0").select(F.lit(0).cast("long").alias("pos"), F.left("text", F.lit(depth)).alias("suffix"), F.lit("$").alias("prev"))
+    return after.unionByName(first)
 
 
 def suffix_rows(text: DataFrame, depth: int = DEPTH) -> DataFrame:
     """row, pos, suffix, prev in suffix order."""
-    keyed = suffixes(text, depth).withColumn("head", F.substring("suffix", 1, RANGE_CHARS))
-    return numbered(keyed, ["head"], ["suffix", "pos"], "row").select("row", "pos", "suffix", "prev")
+    return numbered_by(suffixes(text, depth), ["suffix", "pos"], "row").select("row", "pos", "suffix", "prev")
 
 
 def suffix_array(text: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -56,7 +60,7 @@ def suffix_array_full(text: DataFrame) -> DataFrame:
         # Rows of one rank are ordered among themselves; ranks count the rows before, so they stay comparable.
         inside = Window.partitionBy("rank").orderBy("ahead")
         before = ranked.groupBy("rank").agg(F.count("*").alias("size"))
-        starts = before.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        starts = running_total(before, "rank", [], F.col("size"), "base")
         ranked = both.withColumn("in_rank", F.rank().over(inside)).join(starts.select("rank", "base"), "rank").select(
             "pos", (F.col("base") + F.col("in_rank")).cast("long").alias("rank")
         )
@@ -86,9 +90,8 @@ def occ_rank(rows: DataFrame) -> DataFrame:
     """row, a, c, g, t: how often each base stands in the transform before that row."""
     width = 4096
     flags = rows.select("row", F.floor(F.col("row") / width).alias("block"), *[(F.col("prev") == b).cast("long").alias(b.lower()) for b in "ACGT"])
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = flags.groupBy("block").agg(*[F.sum(c).alias("s" + c) for c in "acgt"])
-    totals = totals.select("block", *[F.coalesce(F.sum("s" + c).over(before), F.lit(0)).alias("o" + c) for c in "acgt"])
+    totals = offsets(totals, "block", {"o" + c: "s" + c for c in "acgt"}).select("block", *["o" + c for c in "acgt"])
     inside = Window.partitionBy("block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     summed = flags.select("row", "block", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in "acgt"])
     return summed.join(totals, "block").select("row", *[(F.col(c) + F.col("o" + c)).cast("long").alias(c) for c in "acgt"])
@@ -121,8 +124,8 @@ def split_classes(text: DataFrame, splits: int, depth: int = DEPTH) -> DataFrame
 
 # ---- the stored index -------------------------------------------------------------------------------------------------
 
-FORMAT = 1
-TABLES = ("contigs", "chr_start", "chr_len", "npos_len")
+FORMAT = 2
+TABLES = ("contigs", "blocks", "chr_start", "chr_len", "npos_len")
 FM_TABLES = ("bwt", "c_table", "occ_checkpoints", "location_table", "fbwt", "kmer_c_table")
 
 
@@ -151,27 +154,35 @@ def index_is_complete(spark: SparkSession, path: str) -> bool:
     return spec["format"] == FORMAT
 
 
-def build_index(contigs: DataFrame, path: str, *, depth: int = DEPTH, interval: int = INTERVAL, force: bool = False, fm: bool = False) -> None:
-    """Write contigs and coordinate tables, with ``fm`` the FM tables too, and the manifest last."""
-    spark = contigs.sparkSession
-    if not 1 <= interval <= 256:
-        raise ValueError("the interval must be from 1 to 256")
-    if index_is_complete(spark, path) and not force:
-        raise IndexExists(path)
+def index_tables(contigs: DataFrame, depth: int = DEPTH, interval: int = INTERVAL, fm: bool = False) -> dict[str, DataFrame]:
+    """The tables of an index by name. ``blocks`` is what mapping searches; with ``fm`` there are the FM tables too."""
     segs = genome.segments(contigs)
     lengths = genome.contig_lengths(segs)
     tables = {
-        "contigs": contigs, "chr_start": lengths.select("name", "start"), "chr_len": lengths.select("name", "len"), "npos_len": genome.n_positions(segs),
+        "contigs": contigs, "blocks": genome.blocks(genome.placed_segments(segs)), "chr_start": lengths.select("name", "start"),
+        "chr_len": lengths.select("name", "len"), "npos_len": genome.n_positions(segs),
     }
     if fm:
-        rows = materialise(suffix_rows(genome.genome_text(contigs), depth), "suffix-rows")
+        rows = materialise(suffix_rows(genome.strands(contigs), depth), "suffix-rows")
         tables |= {
             "bwt": bwt(rows), "c_table": c_table(rows), "occ_checkpoints": occ_checkpoints(rows, interval),
             "location_table": location_table(rows, interval), "fbwt": sample_distance(rows, interval), "kmer_c_table": kmer_table(rows),
         }
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-    total = lengths.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    return tables
+
+
+def build_index(contigs: DataFrame, path: str, *, depth: int = DEPTH, interval: int = INTERVAL, force: bool = False, fm: bool = False) -> None:
+    """Write contigs, blocks and coordinate tables, with ``fm`` the FM tables too, and the manifest last."""
+    spark = contigs.sparkSession
+    if not 1 <= interval <= 256:
+        raise ValueError("the interval must be from 1 to 256")
+    if index_is_complete(spark, path) and not force:
+        raise IndexExists(path)
+    with scope():
+        tables = index_tables(contigs, depth, interval, fm)
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    total = spark.read.parquet(f"{path}/chr_len").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
     spec = {"format": FORMAT, "depth": depth, "interval": interval, "bases": total, "tables": list(tables)}
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(_manifest(path))
 

@@ -147,7 +147,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _suffix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.suffix_rows(genome.genome_text(_contigs(spark, sf_dir)))
+    return index.suffix_rows(genome.strands(_contigs(spark, sf_dir)))
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,13 +310,13 @@ def suffix_array(spark, sf_dir):
 
 @_query(_TEXT_SQL + "SELECT row_number() OVER (ORDER BY substring(text, cast(pos + 1 AS int))) - 1 AS row, pos FROM s, unnest(range(0, length(text))) AS u(pos)")
 def suffix_array_full(spark, sf_dir):
-    return index.suffix_array_full(genome.genome_text(_contigs(spark, sf_dir)))
+    return index.suffix_array_full(genome.strands(_contigs(spark, sf_dir)))
 
 
 @_query(_TEXT_SQL + "SELECT row, pos, 0 AS wrong FROM sa")
 def split_classify(spark, sf_dir):
     """Number the sorted ranges one after the other; wrong counts rows out of order."""
-    dealt = scratch.materialise(index.split_classes(genome.genome_text(_contigs(spark, sf_dir)), 8), "splits")
+    dealt = scratch.materialise(index.split_classes(genome.strands(_contigs(spark, sf_dir)), 8), "splits")
     rows = index.numbered(dealt, ["split"], ["suffix", "pos"], "row")
     spans = dealt.groupBy("split").agg(F.min("suffix").alias("lo"), F.max("suffix").alias("hi"))
     after = spans.select((F.col("split") - 1).alias("split"), F.col("lo").alias("next"))
@@ -371,19 +371,22 @@ def location_join(spark, sf_dir):
 
 
 @_query(_TEXT_SQL + """, n AS (SELECT count(*) AS n FROM sa)
-SELECT 'bwt' AS part, n AS size FROM n UNION ALL SELECT 'fbwt', n FROM n UNION ALL SELECT 'c_table', 4
+SELECT part, size, 0::BIGINT AS wrong FROM (SELECT 'bwt' AS part, n AS size FROM n UNION ALL SELECT 'fbwt', n FROM n UNION ALL SELECT 'c_table', 4
 UNION ALL SELECT 'contigs', count(*) FROM c UNION ALL SELECT 'chr_start', count(*) FROM c WHERE replace(seq, 'N', '') <> ''
 UNION ALL SELECT 'chr_len', count(*) FROM c WHERE replace(seq, 'N', '') <> ''
 UNION ALL SELECT 'npos_len', 1 + sum(len(regexp_extract_all(seq, '[ACGT]+')))::BIGINT FROM c
 UNION ALL SELECT 'location_table', count(*) FROM sa WHERE pos % 64 = 0 UNION ALL SELECT 'occ_checkpoints', count(*) FROM sa WHERE row % 64 = 0
-UNION ALL SELECT 'kmer_c_table', count(DISTINCT left(suffix, 12)) FROM sa WHERE length(suffix) >= 12 AND NOT contains(left(suffix, 12), '$')""")
+UNION ALL SELECT 'kmer_c_table', count(DISTINCT left(suffix, 12)) FROM sa WHERE length(suffix) >= 12 AND NOT contains(left(suffix, 12), '$')
+UNION ALL SELECT 'blocks', cast(ceil(length(f) / 256.0) AS bigint) FROM f)""")
 def index_roundtrip(spark, sf_dir):
-    """Rows of every table of a stored and loaded index."""
-    path = scratch.new_path(spark, "index")
-    index.build_index(_contigs(spark, sf_dir), path, fm=True)
+    """Rows of every table of a stored and loaded index, and rows in which it differs from tables made afresh."""
+    contigs, path = _contigs(spark, sf_dir), scratch.new_path(spark, "index")
+    index.build_index(contigs, path, fm=True)
+    stored, fresh = index.load_index(spark, path), index.index_tables(contigs, fm=True)
     counts = None
-    for name, table in index.load_index(spark, path).items():
-        one = table.agg(F.lit(name).alias("part"), F.count("*").alias("size"))
+    for name, table in stored.items():
+        wrong = table.exceptAll(fresh[name]).unionAll(fresh[name].exceptAll(table)).agg(F.count("*").alias("wrong"))
+        one = table.agg(F.lit(name).alias("part"), F.count("*").alias("size")).join(F.broadcast(wrong), F.lit(True))  # one row each
         counts = one if counts is None else counts.union(one)
     return counts
 
@@ -395,7 +398,7 @@ def index_roundtrip(spark, sf_dir):
 def seed_join(spark, sf_dir):
     contigs, reads = supplier_genome(spark, sf_dir)
     placed = genome.placed_segments(genome.segments(contigs))
-    places = align.kmers(genome.chunks(placed, 15), 15)
+    places = align.kmers(genome.blocks(placed), align.SEED)
     return align.seed_join(align.patterns(reads), places).select("pattern", "start", "name")
 
 
@@ -442,7 +445,8 @@ def strand_filter(spark, sf_dir):
 
 @_query(_SUPPLIER_MAP + "SELECT read_id, flag, start, cast(raw_n AS bigint) AS raw_n FROM found JOIN raw USING (read_id) WHERE raw_n <= 3")
 def multi_cap(spark, sf_dir):
-    return align.capped(_raw(spark, sf_dir), 3).select("read_id", "flag", "start", "raw_n")
+    contigs, reads = supplier_genome(spark, sf_dir)
+    return align.raw_hits(reads, contigs, max_hits=3).select("read_id", "flag", "start", "raw_n")
 
 
 @_query(_SUPPLIER_MAP + "SELECT read_id, flag, name, pos0 FROM inside WHERE raw_n <= 1")
@@ -484,7 +488,7 @@ def stream_align(spark, sf_dir):
     contigs, reads = supplier_genome(spark, sf_dir)
     path = scratch.new_path(spark, "stream")
     reads.repartition(3).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    stream = align_stream.read_stream(spark, f"{path}/in", reads.schema, files_a_batch=2)
     align_stream.map_stream(stream, contigs, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return align_stream.streamed_rows(spark, f"{path}/out")
 
