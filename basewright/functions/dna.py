@@ -53,6 +53,17 @@ def unpack(packed: Column, length: Column) -> Column:
     return F.substring(F.array_join(four, ""), F.lit(1), length)
 
 
+def packed_kmer(packed: Column, offset: Column, k: int) -> Column:
+    """The code of the k-mer at ``offset`` (from 0) of ``pack``'s bytes, for k up to 24; null beyond them."""
+    first, most = F.floor(offset / 4).cast("int"), (k + 3 + 3) // 4
+    joined = F.lit(0).cast("long")
+    for i in range(most):  # a byte after the last counts as 0; only places before it are asked for
+        joined = F.shiftleft(joined, 8).bitwiseOR(F.coalesce(F.try_element_at(packed, first + 1 + i).cast("long"), F.lit(0).cast("long")))
+    shift = (F.lit(8 * most - 2 * k) - (offset % 4) * 2).cast("int")
+    code = F.call_function("shiftright", joined, shift).bitwiseAND(F.lit((1 << (2 * k)) - 1))
+    return F.when(offset + k <= F.size(packed) * 4, code)
+
+
 def fasta_quality(seq: Column) -> Column:
     """The quality that a FASTA record gets when it is used as a read."""
     return F.repeat(F.lit("I"), F.length(seq))

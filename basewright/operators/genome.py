@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from basewright.functions import dna
 from basewright.operators.ordering import running_total
-from basewright.plans.scratch import materialise
+from basewright.plans.scratch import forget, materialise
 
 #: Bases of a block, bases of a pattern that are looked at in one block, and bases of the pieces that long segments are cut into first.
 BLOCK, SPAN, PIECE = 256, 64, 8192
@@ -97,7 +97,12 @@ def blocks(placed: DataFrame) -> DataFrame:
 
 def searchable(genome: DataFrame) -> DataFrame:
     """The blocks of a genome that is given as contigs, written once, or as stored blocks."""
-    return genome if "block" in genome.columns else materialise(blocks(placed_segments(segments(genome))), "genome-blocks")
+    if "block" in genome.columns:
+        return genome
+    segs = materialise(segments(genome), "segments")
+    made = materialise(blocks(placed_segments(segs)), "genome-blocks")
+    forget(segs)
+    return made
 
 
 def bases(text: Column) -> Column:

@@ -65,7 +65,7 @@ def supplier_genome(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def document_genome(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(contigs, reads)"""
     text = DOCUMENT_CONTIGS.replace("{g}", "").replace("\\", "\\\\").replace("\n]", "\\n]").replace("z\n'", "z\\n'")
-    rows = spark.sql(text, documents=_table(spark, sf_dir, "documents"))
+    rows = spark.sql(text, documents=scratch.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return genome.contigs_of(rows), spark.sql(DOCUMENT_READS, contigs=rows)
 
 
@@ -212,6 +212,25 @@ def fasta_as_reads(spark, sf_dir):
     return files.fasta_as_reads(_contigs(spark, sf_dir))
 
 
+@_query(f"""WITH {_SUPPLIER_SQL}, l AS (SELECT ordinal, unnest([concat('>', name), seq]) AS value FROM c) SELECT value, count(*) AS n FROM l GROUP BY value""")
+def raw_lines(spark, sf_dir):
+    """Lines of files as they are, with the number that each has in its file."""
+    path = scratch.new_path(spark, "lines")
+    files.fasta_lines(_contigs(spark, sf_dir)).write.text(path)
+    return files.read_lines(spark, path).groupBy("value").agg(F.count("line").alias("n"))
+
+
+@_query(f"""WITH {_SUPPLIER_SQL} SELECT cast(floor(read_id / 1000) AS bigint) AS batch, count(*) AS n, cast(sum(length(seq)) AS bigint) AS bases FROM r GROUP BY 1""")
+def batch_callback(spark, sf_dir):
+    """A Python callback on every batch of 1,000 reads."""
+    import pandas as pd
+
+    def count(batch):
+        return pd.DataFrame({"batch": [batch["batch"].iloc[0]], "n": [len(batch)], "bases": [batch["seq"].str.len().sum()]})
+
+    return files.map_batches(_reads(spark, sf_dir), 1000, count, "batch bigint, n bigint, bases bigint")
+
+
 # ---- scalar functions -------------------------------------------------------------------------------------------------
 
 
@@ -241,6 +260,14 @@ def unpack2bit(spark, sf_dir):
     return _contigs(spark, sf_dir).select("name", dna.unpack(dna.pack(bare), F.length(bare)).alias("seq"))
 
 
+@_query(f"""WITH {_SUPPLIER_SQL}, p AS (SELECT name, ordinal % 40 AS off, replace(seq, 'N', '') AS s FROM c)
+SELECT name, cast((SELECT sum((strpos('ACGT', substring(s, cast(off + i + 1 AS int), 1)) - 1) * (4 ** (7 - i))) FROM unnest(range(0, 8)) AS u(i)) AS bigint) AS code FROM p""")
+def packed_kmer(spark, sf_dir):
+    """Codes of 8-mers at any offset, straight from packed bytes."""
+    packed = dna.pack(dna.without_n(F.col("seq")))
+    return _contigs(spark, sf_dir).select("name", dna.packed_kmer(packed, (F.col("ordinal") % 40).cast("int"), 8).alias("code"))
+
+
 @_query(f"WITH {_SUPPLIER_SQL} SELECT name, replace(seq, 'N', '') AS seq FROM c")
 def seq_no_n(spark, sf_dir):
     return _contigs(spark, sf_dir).select("name", dna.without_n(F.col("seq")).alias("seq"))
@@ -473,6 +500,17 @@ def sam_text(spark, sf_dir):
     return files.sam_lines(align.align(reads, contigs))
 
 
+@_query(_SUPPLIER_MAP + "SELECT qname, rname, pos + 15 AS last FROM sam WHERE flag = 16")
+def record_callback(spark, sf_dir):
+    """A Python callback on every SAM record, which gives any number of rows for each."""
+    contigs, reads = supplier_genome(spark, sf_dir)
+
+    def reverse_ends(record):
+        return [{"qname": record["qname"], "rname": record["rname"], "last": record["pos"] + 15}] if record["flag"] == 16 else []
+
+    return align.per_record(align.align(reads, contigs), reverse_ends, "qname string, rname string, last bigint")
+
+
 @_query(_SUPPLIER_MAP + "SELECT * FROM sam")
 def sam_parse(spark, sf_dir):
     """Write SAM text, then parse it."""
@@ -533,6 +571,6 @@ def fm_locate_trace(spark, sf_dir):
 @_query("SELECT DISTINCT d.doc_id AS text_id, b.item_id FROM documents AS d JOIN benchmark AS b ON contains(d.text, b.text)")
 def text_exact_search(spark, sf_dir):
     """The same seed join on another alphabet: whole passages in whole documents."""
-    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    texts = scratch.spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
     passages = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     return align.text_search(texts, passages).select("text_id", "item_id").distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.functions import dna
@@ -12,14 +14,19 @@ SAM_COLUMNS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext
 _SAM_TYPES = ["string", "int", "string", "long", "int", "string", "string", "long", "long", "string", "string", "int"]
 
 
-def _in_file_order(lines: DataFrame, name: str) -> DataFrame:
+def _in_file_order(lines: DataFrame, name: str, *more: Column) -> DataFrame:
     """Number the rows by file, split and place in the split."""
     placed = lines.select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), *more
     )
     return numbered(placed, ["file", "block"], ["at"], name)
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, line (its number over all files, from 0), value: raw lines of one or more files."""
+    return _in_file_order(spark.read.text(path), "line").select("file", "line", "value")
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, ordinal, name (the whole header), seq: one row a record, in file order. Files split at records."""
     records = _in_file_order(spark.read.option("lineSep", "\n>").text(path), "ordinal")
@@ -32,16 +39,23 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str | list[str], strict_end: bool = False) -> DataFrame:
     """read_id, name, seq, plus, qual: four lines a record.
 
-    A last record without a line end counts; with ``strict_end`` a record that is not complete is an error's likeness and goes.
+    A last record without a line end counts; with ``strict_end`` it goes, and so does every record of fewer than
+    four lines. Compressed files cannot tell whether a line end is missing.
     """
-    lines = _in_file_order(spark.read.text(path), "line")
+    lines = _in_file_order(spark.read.option("lineSep", "\n").text(path), "line", F.col("_metadata.file_size").alias("bytes"))
     first = lines.groupBy("file").agg(F.min("line").alias("first"))
     placed = lines.join(first, "file").withColumn("no", F.col("line") - F.col("first"))
     part = lambda k, c: F.max(F.when(F.col("no") % 4 == k, F.trim(F.regexp_replace("value", "\r", "")))).alias(c)
     records = placed.groupBy("file", F.floor(F.col("no") / 4).alias("record")).agg(
         F.min("line").alias("line"), F.count("*").alias("n"), part(0, "header"), part(1, "seq"), part(2, "plus"), part(3, "qual")
     )
-    whole = records.filter(F.col("n") == 4) if strict_end else records.filter(F.col("n") >= 2)
+    if strict_end:
+        # Every line and its end add up to the file's bytes; one byte more means that the last line has no end.
+        sizes = lines.groupBy("file").agg((F.sum(F.octet_length("value") + 1) > F.max("bytes")).alias("open"), F.floor((F.count("*") - 1) / 4).alias("record"))
+        last = sizes.filter("open").select("file", "record")
+        whole = records.filter(F.col("n") == 4).join(last, ["file", "record"], "left_anti")
+    else:
+        whole = records.filter(F.col("n") >= 2)
     ordered = numbered(whole, ["file"], ["record"], "read_id")
     return ordered.select("read_id", F.expr("substring(header, 2)").alias("name"), "seq", "plus", F.coalesce("qual", F.lit("")).alias("qual"))
 
@@ -100,3 +114,13 @@ def read_batches(reads: DataFrame, size: int) -> DataFrame:
 def first_without_n(reads: DataFrame, number: int) -> DataFrame:
     """Of the first ``number`` reads, which is the feature, those without N; the others still use up the number."""
     return reads.orderBy("read_id").limit(number).filter(~F.col("seq").rlike("[Nn]"))
+
+
+def map_batches(reads: DataFrame, size: int, callback: Callable, schema: str) -> DataFrame:
+    """``callback`` (a pandas frame, giving one of ``schema``) on every batch of ``size`` reads, in the executors."""
+    return read_batches(reads, size).groupBy("batch").applyInPandas(callback, schema)
+
+
+def records(rows: DataFrame, *order: str) -> Iterator[Row]:
+    """The records one by one, in order; the driver holds two partitions at a time."""
+    return (rows.orderBy(*order) if order else rows).toLocalIterator(prefetchPartitions=True)

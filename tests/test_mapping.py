@@ -169,3 +169,58 @@ def test_scans(spark, tmp_path):
     assert [tuple(r) for r in genome.contigs_of(spark.createDataFrame(rows)).orderBy("ordinal").collect()] == [(0, "one", "ACGTACGT"), (2, "three", "NNT")]
     (tmp_path / "b.fq").write_text("@a 1\nAC\n+\nII\n@b\nGG\n+\n@I")
     assert [tuple(r) for r in files.read_fastq(spark, str(tmp_path / "b.fq")).orderBy("read_id").collect()] == [(0, "a 1", "AC", "+", "II"), (1, "b", "GG", "+", "@I")]
+
+
+def test_strict_end(spark, tmp_path):
+    """The last record goes if its line has no end, whatever the line ends are; whole files stay."""
+    for i, (end, text) in enumerate([("", "@a\nAC\n+\nII\n@b\nGG\n+\n@I"), ("\n", "@a\nAC\n+\nII\n@b\nGG\n+\n@I\n"), ("", "@a\r\nAC\r\n+\r\nII\r\n@b\r\nGG\r\n+\r\nII")]):
+        path = tmp_path / f"{i}.fq"
+        path.write_bytes(text.encode())
+        assert files.read_fastq(spark, str(path)).count() == 2
+        strict = files.read_fastq(spark, str(path), strict_end=True).collect()
+        assert [(r["read_id"], r["name"], r["seq"]) for r in strict] == [(0, "a", "AC"), (1, "b", "GG")][: 2 if end else 1]
+
+
+def test_long_reads(spark):
+    """Reads of many pieces, over block edges, gaps and the junction."""
+    rng = random.Random(7)
+    seq = "".join(rng.choice("ACGT") for _ in range(3000))
+    contigs = [("one", seq[:1500] + "NN" + seq[1500:]), ("two", seq[200:900])]
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    named = {f"r{n}": seq[300 : 300 + n] for n in (12, 23, 24, 64, 65, 127, 128, 129, 600, 601)}
+    named |= {"back": rc(seq[310:890]), "over gap": seq[1400:1600], "odd": seq[300:400] + "A" + seq[401:500], "end": seq[880:900] + rc(seq[880:900])}
+    df = genome.contigs_of(spark.createDataFrame([(i, *c) for i, c in enumerate(contigs)], "ordinal long, name string, seq string"))
+    assert found(spark, df, named, max_hits=-1) == brute(contigs, named, -1)
+    raw = {r["read_id"]: r["raw_n"] for r in align.raw_hits(reads_of(spark, named), df).collect()}
+    f = seq + seq[200:900]
+    whole = f + rc(f)
+    for i, read in enumerate(named.values()):
+        want = len(re.findall(f"(?={rc(read)})", whole))
+        assert raw.get(i, 0) in (want, 0) and (want == 0 or i in raw or read == named["end"])
+
+
+def test_one_contig_spreads(spark):
+    """Blocks of one long contig lie in many partitions, each row at most a block and its context."""
+    seq = "ACGTTGCA" * 20_000
+    made = genome.blocks(genome.placed_segments(genome.segments(genome.contigs_of(spark.createDataFrame([(0, "c", seq)], "ordinal long, name string, seq string")))))
+    rows = made.collect()
+    assert "".join(r["text"][: genome.BLOCK] for r in sorted(rows, key=lambda r: r["block"])) == seq
+    assert max(len(r["text"]) for r in rows) == genome.BLOCK + genome.SPAN - 1
+
+
+def test_stream_leaves_nothing(spark, contigs, tmp_path):
+    import os
+
+    from basewright.plans import scratch
+    from basewright.streaming import align_stream
+
+    reads = reads_of(spark, READS)
+    blocks = genome.searchable(contigs)
+    reads.repartition(9).write.parquet(str(tmp_path / "in"))
+    folder = scratch.shared_dir(spark).removeprefix("file://") + "/basewright"
+    before = set(os.listdir(folder))
+    stream = align_stream.read_stream(spark, str(tmp_path / "in"), reads.schema, files_a_batch=2)
+    align_stream.map_stream(stream, blocks, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert set(os.listdir(folder)) == before
+    assert align_stream.streamed_rows(spark, str(tmp_path / "out")).count() == 10
+    assert [r["read_id"] for r in files.records(reads, "read_id")] == list(range(len(READS)))
