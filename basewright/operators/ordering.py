@@ -17,19 +17,19 @@ from basewright.plans.scratch import materialise
 RANGE, BLOCK = 4096, 4096
 
 
-def offsets(totals: DataFrame, at: str, values: dict[str, str]) -> DataFrame:
-    """Of one row for each ``at`` (an integer), for every (name, value): the sum of ``value`` over the rows before it, as ``name``.
+def offsets(totals: DataFrame, at: str, values: dict[str, str], part: list[str] = ()) -> DataFrame:
+    """Of one row for each (part, ``at``), ``at`` an integer, for every (name, value): the sum of ``value`` over its part's rows before it, as ``name``.
 
     Blocks of BLOCK consecutive ``at`` are summed first, so a task holds the rows
     of one block, or one row for each block.
     """
     dealt = totals.withColumn("__block", F.floor(F.col(at) / BLOCK))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*part).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     upto = lambda value, window: F.coalesce(F.sum(value).over(window), F.lit(0))
-    blocks = dealt.groupBy("__block").agg(*[F.sum(value).alias(f"__sum_{name}") for name, value in values.items()])
-    blocks = blocks.select("__block", *[upto(f"__sum_{name}", before).alias(f"__base_{name}") for name in values])
-    summed = dealt.select("*", *[upto(value, inside).alias(f"__in_{name}") for name, value in values.items()]).join(blocks, "__block")
+    blocks = dealt.groupBy(*part, "__block").agg(*[F.sum(value).alias(f"__sum_{name}") for name, value in values.items()])
+    blocks = blocks.select(*part, "__block", *[upto(f"__sum_{name}", before).alias(f"__base_{name}") for name in values])
+    summed = dealt.select("*", *[upto(value, inside).alias(f"__in_{name}") for name, value in values.items()]).join(blocks, [*part, "__block"])
     return summed.select(*totals.columns, *[(F.col(f"__base_{name}") + F.col(f"__in_{name}")).alias(name) for name in values])
 
 
@@ -52,7 +52,7 @@ def numbered(df: DataFrame, part: list[str], order: list[str], name: str) -> Dat
     return placed.withColumn(name, F.col("__offset") + F.col("__at")).drop("__at", "__offset")
 
 
-def numbered_by(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered_by(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... by ``order``, a key without ties.
 
     Sampled splitters deal the rows into sorted ranges of about equal size whatever
