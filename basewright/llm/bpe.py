@@ -29,14 +29,14 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import documents, text_slices
+from basewright.llm.common import documents, spread, text_slices
 
 #: Unicode White_Space, which the file's normaliser folds and its split drops.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The split pattern that the vocabulary file must carry (a fixed value of that file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries of a worker's chunk table; it starts anew beyond that.
-TABLE_ENTRIES = 300_000
+#: Entries of a worker's chunk table, and characters of its chunks; it starts anew beyond either.
+TABLE_ENTRIES, TABLE_CHARS = 300_000, 8 << 20
 
 
 #: Bytes of text that are encoded together.
@@ -63,6 +63,8 @@ class PairIndexBpe:
         model = spec["model"]
         steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if not all(t["content"].startswith("<|") for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: special tokens that do not start with <|")
         if steps != ["NFC", "Replace", "Lowercase"] or split != SPLIT or spec["decoder"] is not None or model["type"] != "BPE":
             raise ValueError(f"{path}: not a vocabulary of the supported shape")
         self.suffix = model["end_of_word_suffix"] or ""
@@ -86,6 +88,7 @@ class PairIndexBpe:
         self.separator = re.compile(r"[\x1c-\x1f]")
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.table: dict[str, tuple[bytes, str]] = {}
+        self.table_chars = 0
 
     def pre_tokens(self, chunk: str) -> list[str]:
         """Normalise one chunk without white space and split it."""
@@ -175,9 +178,11 @@ class PairIndexBpe:
         import numpy as np
 
         new = [c for c in chunks if c not in self.table]
-        if len(self.table) + len(new) > TABLE_ENTRIES:
+        if len(self.table) + len(new) > TABLE_ENTRIES or self.table_chars + sum(map(len, new)) > TABLE_CHARS:
             self.table.clear()
+            self.table_chars = 0
             new = list(chunks)
+        self.table_chars += sum(map(len, new))
         split = [self.pre_tokens(c) for c in new]
         place: dict[str, int] = {}
         for part in split:
@@ -276,7 +281,7 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     [part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
                 )
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, f"doc_id {id_type}, ids binary, decoded string")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basewright.plans.scratch import distilled, forget, materialise, scope, shared_dir, tidy
+from basewright.plans.scratch import distilled, forget, materialise, scope, shared_dir, spread, tidy
 
-__all__ = ["distilled", "forget", "materialise", "scope", "shared_dir", "tidy"]
+__all__ = ["distilled", "forget", "materialise", "scope", "shared_dir", "spread", "tidy"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -72,12 +72,6 @@ def rows_of(df: DataFrame, chosen: DataFrame, key: Column, id_col: str = "doc_id
     return found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row", *more)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many parts as the cluster has cores, if it has fewer; a table of few files would leave cores idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """A stage's result as a table; outside any scope it stays until it is forgotten or the process ends."""
     return materialise(df, name)

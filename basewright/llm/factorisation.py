@@ -1,18 +1,23 @@
 """A factorisation machine on hashed features, trained on a bounded sample and scored batch by batch.
 
-The score of a document with the set of features S, n = |S|, is
+The score of a document with the set S of features that the model knows, n = |S|, is
 ``bias + sum_i w_i + 1/2 sum_f [(sum_i v_if)^2 - sum_i v_if^2] / n``: the linear
 part counts every feature fully, so one strong term stands out in a text of any
 length, and the pairwise part (all pairs of S, in linear time by the
 sum-of-squares identity) is divided by n. The logistic function gives 0 to 1.
 
 Features are 64-bit hashes folded to ``2**BITS`` bins. A bin enters the model if
-``min_rows`` training rows hold it and its chi-square with the label reaches
-``SIGNIFICANT``; the many bins of random words would otherwise be learnt by heart.
+``min_rows`` training rows hold it and either its chi-square with the label reaches
+``SIGNIFICANT``, or it is one of the ``MOST_PAIRED`` most informative bins by frequency and
+interacts with another of them: the label's rate with both, less the rates with
+one, plus that with neither, is ``SIGNIFICANT_PAIR`` squared errors from 0. So two
+terms that tell nothing alone are learnt as a pair, while the many bins of random
+words, which would be learnt by heart, stay out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import in_fold, text_slices
+from basewright.llm.common import in_fold, spread, text_slices
 
 #: Bins of the hashed feature space.
 BITS = 22
@@ -30,6 +35,8 @@ RANK = 4
 ROWS_PER_CLASS = 4000
 #: Least chi-square, corrected for continuity, of a bin that enters the model (one in a thousand by chance).
 SIGNIFICANT = 10.83
+#: Bins whose pairs are screened, and the least squared interaction in standard errors (about one chance pair in a million).
+MOST_PAIRED, SIGNIFICANT_PAIR = 1500, 30.0
 #: Passes over the training rows, step size, and weight of the penalties.
 EPOCHS, STEP, RIDGE = 12, 0.08, 1e-4
 SEED = 9
@@ -73,7 +80,37 @@ def screened(found: list[np.ndarray], labels: np.ndarray, min_rows: int) -> np.n
     gap = np.abs(n * with_one - ones * seen)
     spread = seen * (n - seen) * ones * (n - ones)
     chi = n * np.maximum(gap - n / 2, 0) ** 2 / np.maximum(spread, 1)
-    return bins[(seen >= min_rows) & (chi >= SIGNIFICANT)]
+    enters = (seen >= min_rows) & (chi >= SIGNIFICANT)
+    return bins[enters | _interacting(back, rows, seen, labels, min_rows)]
+
+
+def _interacting(back: np.ndarray, rows: np.ndarray, seen: np.ndarray, labels: np.ndarray, min_rows: int) -> np.ndarray:
+    """Which bins interact with another one; of the bins held by neither few nor nearly all rows the nearest to half are screened."""
+    n = len(labels)
+    out = np.zeros(len(seen), bool)
+    spread_of = np.minimum(seen, n - seen)
+    some = np.flatnonzero(spread_of >= max(min_rows, 8))
+    some = some[np.argsort(-spread_of[some], kind="stable")][:MOST_PAIRED]
+    if len(some) < 2:
+        return out
+    place = np.full(len(seen), -1)
+    place[some] = np.arange(len(some))
+    held = np.zeros((n, len(some)), np.float32)
+    known = place[back] >= 0
+    held[rows[known], place[back[known]]] = 1
+    both, both_ones = held.T @ held, held.T @ (held * labels[:, None].astype(np.float32))
+    one, one_ones = both.diagonal()[:, None], both_ones.diagonal()[:, None]
+    contrast, variance, least = 0.0, 0.0, np.inf
+    for sign, size, ones in (
+        (1, both, both_ones), (-1, one - both, one_ones - both_ones), (-1, one.T - both, one_ones.T - both_ones),
+        (1, n - one - one.T + both, labels.sum() - one_ones - one_ones.T + both_ones),
+    ):
+        rate = (ones + 0.5) / (size + 1)  # of a cell, drawn a little to the middle
+        contrast, variance, least = contrast + sign * rate, variance + rate * (1 - rate) / (size + 1), np.minimum(least, size)
+    strong = (contrast**2 >= SIGNIFICANT_PAIR * variance) & (least >= 8)
+    np.fill_diagonal(strong, False)
+    out[some[strong.any(1)]] = True
+    return out
 
 
 def fit(found: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, min_rows: int = 4) -> Model:
@@ -84,7 +121,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, min
     bias = float(np.log(rate / (1 - rate)))
     bins = screened(found, labels, min_rows)
     rng = np.random.default_rng(SEED)
-    weights, factors = np.zeros(len(bins)), rng.normal(0, 0.02, (len(bins), RANK))
+    weights, factors = np.zeros(len(bins)), rng.normal(0, 0.1, (len(bins), RANK))
     if not len(bins) or rate in (1e-3, 1 - 1e-3):
         return Model(bins, weights, factors, bias)
     kept = []
@@ -121,9 +158,20 @@ def fit(found: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, min
 Features = Callable[[list, dict], list]
 
 
+_ASCII, _RUN = re.compile(rb"[a-z]+"), re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> set[bytes]:
+    """The distinct lower-case runs of letters of a text, in UTF-8."""
+    low = text.lower()
+    if low.isascii():
+        return set(_ASCII.findall(low.encode()))
+    return {run.encode("utf-8", "replace") for run in set(_RUN.findall(low))}
+
+
 def _batches(batches, features: Features, metadata: list[str]) -> Iterator:
     for batch in batches:
-        for start, stop in text_slices(batch.column("text")):
+        for start, stop in text_slices(batch.column("text"), 2 << 20):
             part = batch.slice(start, stop - start)
             texts = [t or "" for t in part.column("text").to_pylist()]
             yield part, features(texts, {c: part.column("meta_" + c).to_pylist() for c in metadata})
@@ -154,9 +202,10 @@ def train(
     sizes = {r["label"]: r["count"] for r in clean.groupBy("label").count().collect()}
     share = {k: min(1.0, rows_per_class / n) for k, n in sizes.items()}
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    clean = clean.withColumn("draw", draw)
     chosen = clean.filter(F.lit(False))
-    for k, p in share.items():
-        chosen = chosen.union(clean.filter((F.col("label") == k) & (draw < p)).limit(2 * rows_per_class))
+    for k, p in share.items():  # the bound is far above the expected number; if it ever cuts, it cuts by hash
+        chosen = chosen.union(clean.filter((F.col("label") == k) & (F.col("draw") < p)).orderBy("draw", "doc_id").limit(2 * rows_per_class))
     inputs = _inputs(df, id_col, text_col, list(metadata)).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
@@ -164,10 +213,11 @@ def train(
 
         for part, found in _batches(batches, features, list(metadata)):
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())], ["label", "bins"]
+                [part.column("label"), part.column("draw"), pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())], ["label", "draw", "bins"]
             )
 
-    sample = inputs.mapInArrow(run, "label int, bins binary").limit(4 * rows_per_class).toArrow()
+    sample = inputs.mapInArrow(run, "label int, draw double, bins binary")
+    sample = sample.orderBy("draw", "label", "bins").limit(4 * rows_per_class).select("label", "bins").toArrow()  # repeated rows may exceed it
     sample = sample.combine_chunks().sort_by([("label", "ascending"), ("bins", "ascending")])  # no order of arrival
     labels = np.array(sample.column("label").to_pylist(), float)
     found = [np.frombuffer(b, "<i4").astype(np.int64) for b in sample.column("bins").to_pylist()]
@@ -202,7 +252,7 @@ def score(
             columns = [part.column("doc_id"), pa.array(1 / (1 + np.exp(-margin))), *(part.column(c) for c in more)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", *more])
 
-    return inputs.mapInArrow(run, schema)
+    return spread(inputs).mapInArrow(run, schema)
 
 
 def verdicts(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:

@@ -4,7 +4,7 @@ Dimensions are what the text itself determines (bytes, bytes a character, line
 length), each scaled to 24 bits by its range in the table; a hash of the text
 fills the key's lower bits. A node splits along its widest dimension at the
 weighted median of that key, so both sides hold their share of the bytes, until
-every leaf holds one shard. Equal texts have equal keys, hence one shard, and no
+every leaf holds one shard, or about the target bytes. Equal texts have equal keys, hence one shard, and no
 group of copies is ever joined or gathered; the shard of a row is an expression
 of its own columns.
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basewright.llm.common import documents, materialise
+from basewright.operators.ordering import offsets
 
 #: Bits of a scaled dimension; the key has BITS + 38 bits.
 BITS, HASH_BITS = 24, 38
@@ -59,12 +60,11 @@ def _walk(node: Node, leaf) -> Column:
     return F.when(_key(node.dimension) < node.cut, _walk(node.left, leaf)).otherwise(_walk(node.right, leaf))
 
 
-def _cuts(rows: DataFrame, nodes: list[Node]) -> dict[int, int]:
+def _cuts(rows: DataFrame, nodes: list[Node], totals: dict[int, int]) -> dict[int, int]:
     """The cut of every node: its left side's bytes are as near to their share as whole keys allow.
 
-    rows: node (the node's first shard), key, size.
+    rows: node (the node's first shard), key, size; totals: bytes of each node.
     """
-    totals = {r["node"]: r["size"] for r in rows.groupBy("node").agg(F.sum("size").alias("size")).collect()}
     want = {n.first: totals[n.first] * (n.shards // 2) / n.shards for n in nodes if n.first in totals}
     prefix = dict.fromkeys(want, 0)
     below = dict.fromkeys(want, 0)
@@ -98,13 +98,13 @@ def grow_tree(rows: DataFrame, shards: int) -> Node:
     level = [root] if shards > 1 else []
     while level:
         placed = rows.withColumn("node", _walk(root, lambda n: F.lit(n.first)))
-        spans = placed.groupBy("node").agg(*[(F.max("scaled_" + d) - F.min("scaled_" + d)).alias(d) for d in DIMENSIONS])
-        widest = {r["node"]: max(DIMENSIONS, key=lambda d: r[d]) for r in spans.collect()}
+        spans = placed.groupBy("node").agg(F.sum("size").alias("size"), *[(F.max("scaled_" + d) - F.min("scaled_" + d)).alias(d) for d in DIMENSIONS]).collect()
+        widest = {r["node"]: max(DIMENSIONS, key=lambda d: r[d]) for r in spans}
         choice = F.lit(None).cast("long")
         for n in level:
             choice = F.when(F.col("node") == n.first, _key(widest.get(n.first, DIMENSIONS[0]))).otherwise(choice)
         keyed = placed.withColumn("key", choice).filter(F.col("key").isNotNull()).select("node", "key", "size")
-        cuts = _cuts(keyed, level)
+        cuts = _cuts(keyed, level, {r["node"]: r["size"] for r in spans})
         below = []
         for n in level:
             half = n.shards // 2
@@ -134,9 +134,14 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def kd_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless from 0 in each shard)."""
+def kd_shards(df: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", *, target_bytes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless from 0 in each shard).
+
+    With ``target_bytes`` nodes split until leaves have about that many bytes, else until there are ``shards`` leaves.
+    """
     rows = materialise(describe(df, id_col, text_col), "shard-metadata")
+    if shards is None:
+        shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     spans = rows.agg(
         F.count("*").alias("rows"), *[f(d).alias(f"{name}_{d}") for d in DIMENSIONS for name, f in (("lo", F.min), ("hi", F.max))]
     ).first()
@@ -154,13 +159,9 @@ def kd_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
         "doc_id", "size", "text_crc32", _walk(root, lambda n: F.lit(n.first)).alias("shard"), draw.alias("draw"),
         F.pmod(draw, F.lit(buckets)).alias("bucket"),
     )
-    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-        .withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    )
+    starts = offsets(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")), "bucket", {"offset": "n"}, ["shard"]).drop("n")
     inside = Window.partitionBy("shard", "bucket").orderBy("draw", "doc_id")
-    numbered = placed.withColumn("at", F.row_number().over(inside) - 1).join(offsets, ["shard", "bucket"])
+    numbered = placed.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("at")).cast("long").alias("slot"))
 
 

@@ -21,12 +21,14 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import documents, in_fold, text_slices
+from basewright.llm.common import documents, in_fold, spread, text_slices
 
 #: Lengths of the blended n-grams.
 LENGTHS = (1, 2, 3, 4)
@@ -44,7 +46,9 @@ SAMPLE_CHARS = (20, 8000)
 RIDGE, FLOOR = 1e-3, 1e-6
 SEED = 11
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: Numerals that ``\w`` and ``\W`` leave in: fractions, superscripts, Roman numerals.
+_NUMERALS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
+_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def spectrum(text: str) -> np.ndarray:
@@ -145,7 +149,7 @@ def train(df: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col:
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
     each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, MOST_ROWS // len(counts)))
     shares = _shares(df.sparkSession, counts, each)
-    sample = rows.join(F.broadcast(shares), "lang").filter(draw < F.when(middle, F.col("of_middle")).otherwise(F.col("of_rest")))
+    sample = rows.withColumn("draw", draw).join(F.broadcast(shares), "lang").filter(F.col("draw") < F.when(middle, F.col("of_middle")).otherwise(F.col("of_rest")))
 
     def run(batches):
         import pyarrow as pa
@@ -154,9 +158,10 @@ def train(df: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col:
             for start, stop in text_slices(batch.column(0)):
                 part = batch.slice(start, stop - start)
                 found = [spectrum(t).astype("<i4").tobytes() for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.binary())], ["lang", "bins"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(found, pa.binary())], ["lang", "draw", "bins"])
 
-    taken = sample.select("text", "lang").mapInArrow(run, "lang string, bins binary").limit(2 * max(MOST_ROWS, LEAST_ROWS * len(counts)))
+    taken = sample.select("text", "lang", "draw").mapInArrow(run, "lang string, draw double, bins binary")
+    taken = taken.orderBy("draw", "lang", "bins").limit(2 * max(MOST_ROWS, LEAST_ROWS * len(counts)))  # only repeated rows exceed it
     drawn = sorted((r["lang"], bytes(r["bins"])) for r in taken.collect())
     np.random.default_rng(SEED).shuffle(drawn)
     known = [(lang, np.frombuffer(x, "<i4").astype(np.int64)) for lang, x in drawn if len(x)]
@@ -188,7 +193,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
 
 

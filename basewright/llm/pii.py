@@ -7,7 +7,8 @@ depends on the key and the kind only, so equal values get equal pseudonyms in
 every document and different values different ones.
 
 Kinds, in the order of their patterns:
-  email       the local part, letters to letters and digits to digits
+  email       the local part, letters to letters of their alphabet and digits to digits; one with letters outside ALPHABETS
+              becomes a keyed token
   credential  the whole value after token, secret, password or key and = or :, quoted or up to white space,
               a mark-up bracket or the next name =
   iban        valid by modulo 97, plain or in printed groups of four: account part permuted, check digits renewed
@@ -70,6 +71,13 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])(?<!(?<!\d)\d{1,12}\.)(?:\d{13,19}|\d{4}(?<c>[ -])\d{4}\k<c>\d{4}\k<c>\d{1,7}|\d{4}(?<d>[ -])\d{6}\k<d>\d{5})" + _END,
 }
 ANY = "|".join(PATTERNS.values())
+#: Lower-case alphabets (first code point, letters, distance) inside which the letters of an e-mail's local part move.
+ALPHABETS = (
+    (0x61, 26, 1), (0xE0, 23, 1), (0xF8, 7, 1), (0x101, 24, 2), (0x133, 3, 2), (0x13A, 8, 2), (0x14B, 23, 2), (0x17A, 3, 2),  # Latin
+    (0x3B1, 17, 1), (0x3C3, 7, 1), (0x430, 32, 1), (0x450, 16, 1), (0x561, 38, 1),  # Greek, Cyrillic, Armenian
+    (0x5D0, 27, 1), (0x621, 26, 1), (0x641, 10, 1), (0x905, 53, 1), (0xE01, 46, 1),  # Hebrew, Arabic, Devanagari, Thai
+    (0x3041, 86, 1), (0x30A1, 90, 1), (0x4E00, 20992, 1), (0xAC00, 11172, 1),  # kana, Han, Hangul
+)
 FIRST_YEAR, DAYS, DAY_MODULI = 1901, 71589, (147, 487)
 #: The same for the years 1 to 1900 and 2097 to 9999.
 EARLY_MODULI, LATE_MODULI = (120, 5783), (330, 8747)
@@ -172,9 +180,50 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
+def _wide(key: str, tweak: Column, low: Column) -> Column:
+    """Like ``_letters`` for lower-case text of all ALPHABETS, as an array of characters."""
+
+    def character(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+    def moved(half: Column, other: Column, i: Column) -> Column:
+        digest = _hash(key, tweak, i.cast("string"), F.array_join(other, ""))
+
+        def one(c, k):
+            step = F.conv(F.substring(digest, (k % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            code = F.ascii(c)
+            new = F.when(c.between("0", "9"), F.char(F.lit(48) + (code - 48 + step) % 10))
+            for first, size, gap in ALPHABETS:
+                inside = code.between(first, first + (size - 1) * gap) & ((code - first) % gap == 0)
+                new = new.when(inside, character(F.lit(first) + (F.floor((code - first) / gap) + step) % size * gap))
+            return new.otherwise(c)
+
+        return F.transform(half, one)
+
+    u = F.floor(F.size(low) / 2).cast("int")
+
+    def turn(s, i):
+        return F.struct(
+            F.when(i % 2 == 0, moved(s["l"], s["r"], i)).otherwise(s["l"]).alias("l"),
+            F.when(i % 2 == 1, moved(s["r"], s["l"], i)).otherwise(s["r"]).alias("r"),
+        )
+
+    start = F.struct(F.slice(low, F.lit(1), u).alias("l"), F.slice(low, u + 1, F.size(low)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
+
+
 def _email(key: str, v: Column) -> Column:
-    domain = F.substring_index(v, "@", -1)
-    return F.concat(_letters(key, F.concat(F.lit("email "), F.lower(domain)), F.substring_index(v, "@", 1), 26), F.lit("@"), domain)
+    domain, local = F.substring_index(v, "@", -1), F.substring_index(v, "@", 1)
+    tweak = F.concat(F.lit("email "), F.lower(domain))
+    low = F.lower(local)
+    known = r"^[0-9._%+\-" + "".join(
+        f"{chr(first)}-{chr(first + size - 1)}" if gap == 1 else "".join(chr(first + gap * i) for i in range(size)) for first, size, gap in ALPHABETS
+    ) + "]+$"
+    wide = F.zip_with(_wide(key, tweak, F.split(low, "")), F.split(local, ""), lambda p, c: F.when(c != F.lower(c), F.upper(p)).otherwise(p))
+    token = F.concat(F.lit("u"), F.substring(_hash(key, F.concat(F.lit("token "), F.lower(domain)), low), 1, 24))
+    fits = low.rlike(known) & (F.length(low) == F.length(local))
+    new = F.when(local.rlike(r"^[\x00-\x7F]+$"), _letters(key, tweak, local, 26)).when(fits, F.array_join(wide, "")).otherwise(token)
+    return F.concat(new, F.lit("@"), domain)
 
 
 def _credential(key: str, v: Column) -> Column:
@@ -285,7 +334,8 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     parts = F.split("text", ANY, -1)
     # Between every two neighbouring parts stands exactly one value.
     rebuilt = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size("values")), shown, lambda p, s: F.concat(p, s)), ""), F.element_at(parts, -1))
-    replaced = F.filter("made", lambda m: m["pseudonym"].isNotNull())
+    # A permutation may leave a value in its place; such a value is not counted as replaced.
+    replaced = F.filter(F.zip_with("values", "made", lambda v, m: F.struct(m["kind"].alias("kind"), (m["pseudonym"] != v).alias("new"))), lambda m: m["new"])
     return marked.select(
         "doc_id",
         F.when(F.size("values") > 0, rebuilt).otherwise(text).alias("text"),

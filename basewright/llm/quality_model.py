@@ -13,7 +13,6 @@ language, source and id never enter a score.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -24,7 +23,6 @@ from basewright.llm import factorisation as fm
 from basewright.llm.common import documents, in_fold, labels
 from basewright.llm.hashing import WordHashes
 
-_RUN = re.compile(rb"[a-z\x80-\xff]+")
 _SYMBOLS = b"#*$%&|<>{}[]=_~^@\\"
 _MARKS = b"!?.,;:"
 _words = WordHashes(fm.BITS, b"words")
@@ -71,7 +69,7 @@ def _meta(name: str, value) -> bytes:
 def features(texts: list[str], metadata: dict) -> list[np.ndarray]:
     out = []
     for i, text in enumerate(texts):
-        found = set(_RUN.findall(text.lower().encode("utf-8", "replace")))
+        found = fm.letter_runs(text)
         bins = [_words[w] for w in found]
         bins += [_others[x] for x in structure(text)]
         bins += [_others[_meta(name, values[i])] for name, values in metadata.items()]

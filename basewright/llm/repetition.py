@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import documents, text_slices
+from basewright.llm.common import documents, spread, text_slices
 
 #: Most share of word characters inside n-grams of that length that occur twice or more.
 MOST_REPEATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -122,7 +122,7 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 found = measure([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[c]) for c in _COLUMNS)], ["doc_id", *_COLUMNS])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in _COLUMNS))
 
 

@@ -8,10 +8,11 @@ target proportions. The slots of one source are ranked; the r-th takes the r-th
 stretch of the source's line, which starts again when it is used up. Each
 source's last slot is cut or stretched to end at the source's target.
 
-The schedule has at most 2**SLOT_BITS slots whatever the input's size: blocks
-grow with the input, so only the join of slots with document pieces grows, in
-proportion to the input. Running sums over a hot source are taken in buckets of
-hash range, with one prefix sum over the buckets, so no task holds a source.
+A block has LEAST_BLOCK tokens or up to twice as many, so the mix is equally fine at
+every size, and the slots grow in proportion to the input. Slots are made in
+stretches dealt over all tasks. Running sums, over a hot source, over its slots or
+over the sources themselves, are taken in buckets and blocks of buckets, so no task
+holds a source or one row of every source.
 
 Defined results: null or wordless texts have size 0 and are never taken; a null
 source is a source of its own, ordered last; a table without words gives
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basewright.llm.common import WORD, distilled, documents, materialise, rows_of
+from basewright.operators.ordering import numbered_by, offsets, running_total
 
 #: Weights in source order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is used at most so many times.
 MAX_PASSES = 3
-#: The schedule has at most 2**SLOT_BITS slots, and a block at least MIN_BLOCK tokens.
-SLOT_BITS = 18
-MIN_BLOCK = 32
+#: A block has so many tokens at least, and less than twice as many where the table has that many.
+LEAST_BLOCK = 256
+#: Points of a stretch that one row makes, and slots of a bucket, the unit of ranking.
+STRETCH = 4096
 #: Mean rows of a bucket, the unit of running sums.
 BUCKET_ROWS = 512
 #: Seed of the shuffled order inside a source.
@@ -49,34 +52,31 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     A source's target is min(weight * level, MAX_PASSES * size) for the one level
     at which targets sum to all tokens: the limit of resharing excess by weight.
-    lo and hi are the source's cumulative share, 0 to 1. One row per source goes
-    through single-task windows.
+    lo and hi are the source's cumulative share, 0 to 1. Only totals reach the driver.
     """
     by_source = sizes.groupBy("skey").agg(
         F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_docs")
     )
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
-    placed = by_source.withColumn("place", F.row_number().over(in_order) - 1)
-    placed = placed.withColumn("weight", F.get(weights, F.col("place") % len(WEIGHTS)))
-    placed = placed.withColumn("most", (F.col("source_size") * MAX_PASSES).cast("double"))
-    by_fill = Window.orderBy(F.col("most") / F.col("weight"), "place")
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    leveled = placed.withColumn(
-        "level",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(onward),
-    ).withColumn("level", F.max("level").over(everything))
-    targeted = leveled.withColumn("target", F.least(F.col("weight") * F.col("level"), F.col("most")))
-    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("target").over(everything)
-    share = F.when(total > 0, F.sum("target").over(upto) / total).otherwise(F.lit(0.0))
-    return (
-        targeted.withColumn("hi", share)
-        .withColumn("lo", F.coalesce(F.lag("hi").over(in_order), F.lit(0.0)))
-        .withColumn("hi", F.when(F.lead("place").over(in_order).isNull() & (total > 0), F.lit(1.0)).otherwise(F.col("hi")))
-        .select("skey", "source", "place", "source_size", "n_docs", "target", "lo", "hi")
+    placed = numbered_by(by_source, [F.col("source").asc_nulls_last()], "place")
+    placed = placed.withColumn("weight", F.get(weights, (F.col("place") % len(WEIGHTS)).cast("int")))
+    placed = placed.withColumn("most", (F.col("source_size") * MAX_PASSES).cast("double")).withColumn("fill", F.col("most") / F.col("weight"))
+    filled = numbered_by(placed, ["fill", "place"], "turn")
+    filled = running_total(filled, "turn", [], F.col("most"), "most_before")
+    filled = materialise(running_total(filled, "turn", [], F.col("weight"), "weight_before"), "mix-sources")
+    sums = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight"), F.count("*").alias("sources")).first()
+    level = (F.lit(float(sums["size"] or 0)) - F.col("most_before")) / (F.lit(float(sums["weight"] or 1)) - F.col("weight_before"))
+    best = filled.agg(F.max(level)).first()[0] or 0.0
+    targeted = filled.withColumn("target", F.least(F.col("weight") * best, F.col("most")))
+    # Shares are of whole tokens, so that sums do not depend on the order of adding.
+    targeted = running_total(targeted.withColumn("quota", F.round("target").cast("long")), "place", [], F.col("quota"), "quota_before")
+    targeted = materialise(targeted, "mix-sources")
+    total = targeted.agg(F.sum("quota")).first()[0] or 0
+    share = lambda tokens: tokens / F.lit(float(total)) if total else F.lit(0.0)
+    last = F.col("place") == (sums["sources"] or 0) - 1
+    return targeted.select(
+        "skey", "source", F.col("place").cast("int").alias("place"), "source_size", "n_docs", "target",
+        share(F.col("quota_before")).alias("lo"), F.when(last & F.lit(total > 0), F.lit(1.0)).otherwise(share(F.col("quota_before") + F.col("quota"))).alias("hi"),
     )
 
 
@@ -84,17 +84,12 @@ def token_line(sizes: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     """Every document with its start on its source's token line."""
     buckets = max(1, -(-rows // BUCKET_ROWS))
     hashed = sizes.withColumn("bucket", F.shiftrightunsigned("hash", 1) % F.lit(buckets))
-    in_source = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        hashed.groupBy("skey", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
-        .withColumn("offset", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
-        .join(targets.select("skey", "place", "source_size", "target"), "skey")
-        .select("skey", "bucket", "offset", "place", "source_size", "target")
-    )
+    starts = offsets(hashed.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size")), "bucket", {"offset": "bucket_size"}, ["skey"])
+    starts = starts.join(targets.select("skey", "place", "source_size", "target"), "skey")
+    starts = starts.select("skey", "bucket", "offset", "place", "source_size", "target")
     running = Window.partitionBy("skey", "bucket").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = hashed.withColumn("upto", F.sum("size").over(running))
-    return placed.join(offsets, ["skey", "bucket"]).select(
+    return placed.join(starts, ["skey", "bucket"]).select(
         "doc_id", "hash", "place", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start")
     )
 
@@ -107,15 +102,17 @@ def schedule(targets: DataFrame, bits: int, block: int) -> DataFrame:
         F.ceil(F.col("lo") * slots).alias("first"), F.ceil(F.col("hi") * slots).alias("end"),
     )
     # A source too small to own a point still gets one slot, at its place in the row.
-    points = ends.select(
-        "place", "source_size", "quota",
-        F.explode(F.sequence(F.least("first", F.lit(2**bits - 1)), F.greatest(F.col("end") - 1, F.least("first", F.lit(2**bits - 1))))).alias("point"),
-    )
+    low = F.least("first", F.lit(2**bits - 1))
+    ends = ends.select("place", "source_size", "quota", low.alias("low"), F.greatest(F.col("end") - 1, low).alias("high"))
+    stretches = ends.withColumn("from", F.explode(F.sequence("low", "high", F.lit(STRETCH)))).repartition("place", "from")
+    points = stretches.withColumn("point", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + STRETCH - 1, F.col("high")))))
     reverse = F.conv(F.reverse(F.lpad(F.conv(F.col("point").cast("string"), 10, 2), max(bits, 1), "0")), 2, 10).cast("long")
-    ranked = points.withColumn("slot", reverse if bits else F.lit(0).cast("long"))
-    per_source = Window.partitionBy("place")
-    ranked = ranked.withColumn("rank", F.row_number().over(per_source.orderBy("slot")).cast("long") - 1)
-    ranked = ranked.withColumn("of", F.count("*").over(per_source))
+    slotted = points.withColumn("slot", reverse if bits else F.lit(0).cast("long")).withColumn("bucket", F.floor(F.col("slot") / STRETCH))
+    slotted = slotted.withColumn("of", F.col("high") - F.col("low") + 1)
+    starts = offsets(slotted.groupBy("place", "bucket").agg(F.count("*").alias("n")), "bucket", {"base": "n"}, ["place"]).drop("n")
+    inside = Window.partitionBy("place", "bucket").orderBy("slot")
+    ranked = slotted.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["place", "bucket"])
+    ranked = ranked.withColumn("rank", F.col("base") + F.col("at"))
     start = F.least(F.col("rank") * block, F.col("quota"))
     end = F.when(F.col("rank") + 1 == F.col("of"), F.col("quota")).otherwise(F.least((F.col("rank") + 1) * block, F.col("quota")))
     return ranked.select("slot", "place", "rank", "source_size", start.alias("from_token"), end.alias("to_token")).filter("to_token > from_token")
@@ -146,7 +143,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         "mix-sizes",
     )
     rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    bits = min(SLOT_BITS, max(0, (total // MIN_BLOCK).bit_length() - 1))
+    bits = max(0, (total // LEAST_BLOCK).bit_length() - 1)
     block = max(1, -(-total // 2**bits))
     targets = materialise(source_targets(sizes), "mix-targets")
     line = materialise(token_line(sizes, targets, rows), "mix-line")

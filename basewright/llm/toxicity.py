@@ -12,8 +12,6 @@ language, source and id never enter a score.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +20,6 @@ from basewright.llm import factorisation as fm
 from basewright.llm.common import documents, in_fold, labels
 from basewright.llm.hashing import WordHashes
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
 _hashes = WordHashes(fm.BITS, b"terms")
 
 
@@ -30,7 +27,7 @@ def terms(texts: list[str], _metadata: dict) -> list[np.ndarray]:
     """Distinct hashed terms of each text."""
     out = []
     for text in texts:
-        found = set(_TERM.findall(text.lower().encode("utf-8", "replace")))
+        found = fm.letter_runs(text)
         out.append(np.unique(np.fromiter(map(_hashes.__getitem__, found), np.int64, len(found))))
     return out
 

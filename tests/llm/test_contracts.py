@@ -144,6 +144,26 @@ def test_pii_feistel_by_hand(spark):
     assert pseudonyms(spark, ["10.0.0.1"]) == [f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"]
 
 
+def test_pii_alphabets(spark):
+    """Local parts of every alphabet move letter by letter, one-to-one; others become tokens; only changed values count."""
+    locals_ = ["иван", "Иван", "josé", "ΑΛΦΑ", "müller.k42", "ışık", "田中", "שלום", "ﬀoo", "zażółć"]
+    got = pseudonyms(spark, [f"{x}@example.com" for x in locals_])
+    for old, new in zip(locals_, got, strict=True):
+        local, domain = new.split("@")
+        assert domain == "example.com" and local != old
+        assert not any(ord(c) > 127 and c == d for c, d in zip(local, old)) or len(old) > 4
+        if old != "ﬀoo" and old != "ışık":
+            assert len(local) == len(old) and [c.isalpha() for c in local] == [c.isalpha() for c in old]
+    assert got[1].lower() == got[0] and got[1][0].isupper()
+    assert re.fullmatch("u[0-9a-f]{24}@example.com", got[8])
+    pairs = [a + b for a in "абвгдежзийклмноп" for b in "àáâãäåæçèéêëìíîï"]
+    assert len(set(pseudonyms(spark, [f"{x}@e.com" for x in pairs]))) == len(pairs)
+    ones = [f"{c}@e.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(ones)])
+    for r in rows_of(pii.pseudonymise(df, "k")):
+        assert r["n_replaced"] == (r["text"] != ones[r["doc_id"]]) == len(r["kinds"])
+
+
 # ---- 2, 4, 9
 
 
@@ -175,8 +195,40 @@ def test_language_undetermined(spark):
     assert language_id.Model([], []).predict(["text"]) == (["und"], [0.0])
 
 
+def test_language_numerals_are_no_letters():
+    model = language_id.Model([language_id.spectrum(t) for t in ("hello there", "guten tag")], ["en", "de"])
+    assert model.predict(["½ ²", "Ⅷ", "٣", "① ㊀", "\u0301 _ 9", "ab½"])[0][:5] == ["und"] * 5
+    assert language_id.spectrum("½a²").tolist() == language_id.spectrum("a").tolist()
+
+
+def test_language_by_brute_force():
+    """Scores equal kernel values with the landmarks times map and regressions, from sets and unassociated products."""
+    import numpy as np
+
+    rng = random.Random(3)
+    pools = {"aa": "abcdef", "bb": "defghi", "cc": "ghijkl"}
+    texts = [(lang, " ".join("".join(rng.choice(pool) for _ in range(4)) for _ in range(12))) for lang, pool in pools.items() for _ in range(20)]
+    spectra, langs = [language_id.spectrum(t) for _, t in texts], [x for x, _ in texts]
+    model = language_id.Model(spectra, langs)
+    marks = [i for name in sorted(pools) for i in [j for j, x in enumerate(langs) if x == name][: language_id.LANDMARKS_PER_LANGUAGE]]
+    k = lambda x, y: len(set(x.tolist()) & set(y.tolist())) / (len(x) * len(y)) ** 0.5
+    gram = lambda rows: np.array([[k(x, spectra[i]) for i in marks] for x in rows])
+    values, vectors = np.linalg.eigh(gram([spectra[i] for i in marks]))
+    good = values > language_id.FLOOR * values[-1]
+    features = gram(spectra) @ vectors[:, good] / np.sqrt(values[good])
+    goal = np.array([[1.0 if x == name else -1.0 for name in sorted(pools)] for x in langs])
+    middle, bias = features.mean(0), goal.mean(0)
+    x = features - middle
+    ridge = np.linalg.solve(x.T @ x + language_id.RIDGE * len(x) * np.eye(x.shape[1]), x.T @ (goal - bias))
+    fresh = [" ".join("".join(rng.choice(pool) for _ in range(4)) for _ in range(9)) for pool in pools.values()]
+    got = model.predict(fresh)
+    want = (gram([language_id.spectrum(t) for t in fresh]) @ vectors[:, good] / np.sqrt(values[good]) - middle) @ ridge + bias
+    assert got[0] == [sorted(pools)[i] for i in want.argmax(1)]
+    assert np.allclose(got[1], np.clip((1 + want.max(1)) / 2, 0, 1), atol=1e-4)
+
+
 def test_string_kernel_by_hand():
-    """The batch score equals kernel values times the regressions."""
+    """One kernel value from plain sets."""
     def grams(t):
         return set(language_id.spectrum(t).tolist())
 
@@ -226,6 +278,30 @@ def test_factorisation_learns_pairs():
     assert both > 0 > one
 
 
+@pytest.mark.parametrize("rule", ["xor", "and"])
+def test_factorisation_learns_pure_interactions(rule):
+    """Two terms, for the exclusive-or each uninformative alone, among 20 noise terms: the pair part decides."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    found, marks = [], []
+    for _ in range(3000):
+        insult, group = rng.random(2) < 0.5
+        noise = 10 + np.flatnonzero(rng.random(20) < 0.3)
+        found.append(np.array(sorted([*([1] if insult else []), *([2] if group else []), *noise.tolist()]), np.int64))
+        marks.append(float(insult != group if rule == "xor" else insult and group))
+    marks = np.array(marks)
+    model = fm.fit(found[:2000], marks[:2000], np.ones(2000))
+    right = lambda m: ((m.margins(found[2000:]) > 0) == marks[2000:]).mean()
+    linear = fm.Model(model.bins, model.weights, model.factors * 0, model.bias)
+    assert {1, 2} <= set(model.bins.tolist()) and len(model.bins) <= 4
+    assert right(model) > 0.97 > 0.9 > right(linear)
+
+
+def test_letter_runs():
+    assert fm.letter_runs("\u201cIdiot\u201d\u2014you, \u00c9t\u00e9 x2y") == {"idiot".encode(), b"you", "été".encode(), b"x", b"y"}
+
+
 def test_structure_features():
     junk, clean = "word%%% more&&& of### this$$$ " * 5, "Some words of a text. And more of them.\n"
     assert set(quality_model.structure(junk)) != set(quality_model.structure(clean))
@@ -346,6 +422,51 @@ def test_shards(spark, shards):
     assert max(sizes.values()) < 1.15 * min(sizes.values())
 
 
+def test_shards_by_brute_force(spark):
+    """The same tree from sorted keys: widest dimension, weighted median, left share of the bytes."""
+    rng = random.Random(11)
+    rows = [(i, "\n".join(" ".join(words(rng, rng.randrange(1, 40))) for _ in range(rng.randrange(1, 4))), "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, rows[0][1], "en", "s", 0) for i in range(30)]
+    docs = frame(spark, rows)
+    told = rows_of(kd_shards.describe(docs, "doc_id", "text"))
+    keys = {}
+    for d in kd_shards.DIMENSIONS:
+        lo, hi = min(r[d] for r in told), max(r[d] for r in told)
+        step = (2**kd_shards.BITS - 1) / (hi - lo) if hi > lo else 0.0
+        for r in told:
+            keys[r["doc_id"], d] = int((r[d] - lo) * step)
+    low = 64 - kd_shards.HASH_BITS
+    key = lambda r, d: (keys[r["doc_id"], d] << kd_shards.HASH_BITS) | ((r["hash"] % 2**64) >> low)
+
+    def split(part, first, shards, out):
+        if shards == 1 or not part:
+            out.update({r["doc_id"]: first for r in part})
+            return out
+        spread = {d: max(keys[r["doc_id"], d] for r in part) - min(keys[r["doc_id"], d] for r in part) for d in kd_shards.DIMENSIONS}
+        d = max(kd_shards.DIMENSIONS, key=spread.get)
+        total, half = sum(r["size"] for r in part), shards // 2
+        want, below = total * half / shards, 0
+        by_key = Counter()
+        for r in part:
+            by_key[key(r, d)] += r["size"]
+        for k in sorted(by_key):
+            if below + by_key[k] >= want:
+                cut = k + (abs(below + by_key[k] - want) < abs(below - want))
+                break
+            below += by_key[k]
+        split([r for r in part if key(r, d) < cut], first, half, out)
+        return split([r for r in part if key(r, d) >= cut], first + half, shards - half, out)
+
+    for shards in (3, 8):
+        got = {r["doc_id"]: r["shard"] for r in rows_of(kd_shards.kd_shards(docs, shards))}
+        assert got == split(told, 0, shards, {})
+    total = sum(r["size"] for r in told)
+    leaves = Counter()
+    for r in rows_of(kd_shards.kd_shards(docs, target_bytes=total // 5)):
+        leaves[r["shard"]] += r["size"]
+    assert max(leaves.values()) < 1.3 * total / 5
+
+
 # ---- 7, 8
 
 
@@ -424,6 +545,20 @@ def test_similarity_join_by_brute_force(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+def test_no_pair_is_verified_twice(spark):
+    """Texts that share half of their words but near no link: every round takes new pairs."""
+    rng = random.Random(12)
+    common = words(rng, 60)
+    rows = [(i, " ".join(common + words(rng, rng.randrange(20, 40)))) for i in range(60)]
+    rows += [(100 + i, " ".join([*rows[i][1].split()[:-1], "edit"])) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = similarity_join._ngram_rows(docs, 4, "doc_id", "text")
+    seen = Counter()
+    for pairs, _ in similarity_join.merge_rounds(*similarity_join._blocks(sets, 85), 85):
+        seen.update(frozenset((r["a"], r["b"])) for r in pairs.collect())
+    assert seen and set(seen.values()) == {1}
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 50)])
 def test_similarity_join_gives_every_link(spark, n, percent):
     """Components of many different texts, copies and texts without a word: all links, also those inside a component."""

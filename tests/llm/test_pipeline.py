@@ -53,3 +53,13 @@ def test_awkward_rows(spark, sf_dir):
             assert out.columns == docs.columns
             docs = out
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+
+
+def test_runs_keep_out_of_each_other(spark, sf_dir):
+    """Results handed out before a pipeline run can still be read after it."""
+    from basewright.llm.registry import QUERIES
+
+    held = {name: QUERIES[name](spark, sf_dir) for name in ("op3_source_mix", "op6_kd_shards", "op7_exact_dedup", "op8_ngram_join")}
+    docs = common.documents(spark, sf_dir)
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert all(df.count() == docs.count() for df in held.values())
