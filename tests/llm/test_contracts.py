@@ -151,7 +151,6 @@ def test_pii_alphabets(spark):
     for old, new in zip(locals_, got, strict=True):
         local, domain = new.split("@")
         assert domain == "example.com" and local != old
-        assert not any(ord(c) > 127 and c == d for c, d in zip(local, old)) or len(old) > 4
         if old != "ﬀoo" and old != "ışık":
             assert len(local) == len(old) and [c.isalpha() for c in local] == [c.isalpha() for c in old]
     assert got[1].lower() == got[0] and got[1][0].isupper()
