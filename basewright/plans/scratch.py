@@ -9,6 +9,7 @@ of another.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import threading
@@ -123,6 +124,15 @@ def distilled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return result
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Between the rounds of a long iteration: let the driver drop the plans and generated classes of finished ones.
+
+    They only fill the driver's memory; the JVM would else wait until its heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete materialised tables of this thread that no later plan reads."""
     for table in tables:
