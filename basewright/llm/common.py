@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basewright.plans.scratch import distilled, forget, materialise, scope, shared_dir, spread, tidy
+from basewright.plans.scratch import collect_garbage, distilled, forget, materialise, scope, shared_dir, spread, tidy
 
-__all__ = ["distilled", "forget", "materialise", "scope", "shared_dir", "spread", "tidy"]
+__all__ = ["collect_garbage", "distilled", "forget", "materialise", "scope", "shared_dir", "spread", "tidy"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"

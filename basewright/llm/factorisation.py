@@ -36,7 +36,7 @@ ROWS_PER_CLASS = 4000
 #: Least chi-square, corrected for continuity, of a bin that enters the model (one in a thousand by chance).
 SIGNIFICANT = 10.83
 #: Bins whose pairs are screened, and the least squared interaction in standard errors (about one chance pair in a million).
-MOST_PAIRED, SIGNIFICANT_PAIR = 1500, 30.0
+MOST_PAIRED, SIGNIFICANT_PAIR = 600, 30.0
 #: Passes over the training rows, step size, and weight of the penalties.
 EPOCHS, STEP, RIDGE = 12, 0.08, 1e-4
 SEED = 9

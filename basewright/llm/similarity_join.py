@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import (
-    by_unique_key, distilled, documents, forget, gathered, heavy_keys, materialise, row_key, rows_of, salted, spread, text_slices,
+    by_unique_key, collect_garbage, distilled, documents, forget, gathered, heavy_keys, materialise, row_key, rows_of, salted, spread, text_slices,
 )
 from basewright.llm.components import components
 from basewright.llm.hashing import WordHashes
@@ -353,6 +353,7 @@ def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     traits = materialise(traits.select("class", "size", "typical", "sketch"), "traits")
     members = materialise(blocks.join(traits.select("class", "size", "typical"), "class"), "members")
     forget(classes, postings, blocks)
+    collect_garbage(sets.sparkSession)
     return members, materialise(_held(sets, members), "held"), traits, common
 
 
@@ -438,10 +439,13 @@ def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common:
             pairs = _on_blocks(live, hubs).filter(near).select(F.col("h.class").alias("a"), F.col("m.class").alias("b"))
             once = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"))
             once = once.select("a", (F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("a"))).alias("b"))
-            pairs = _may_link(materialise(_untried(once, tried), "block-pairs"), traits, percent)
+            block_pairs = materialise(_untried(once, tried), "block-pairs")
+            pairs = materialise(_may_link(block_pairs, traits, percent), "candidates")
+            forget(block_pairs)
         else:
             still = live.groupBy("token").agg(*range_of).filter("lo <> hi").select("token", "left")
-            live = materialise(by_unique_key(live, still, "token", "left").drop("left"), "members")
+            before, live = live, materialise(by_unique_key(live, still, "token", "left").drop("left"), "members")
+            forget(before)
             if not live.head(1):
                 return
             full = live.select("token", "class", "component", "n").join(traits, "class")
@@ -453,7 +457,7 @@ def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common:
                 pairs = rest.groupBy("ca", "cb").agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b")
             else:
                 pairs = rest.select("a", "b").distinct()
-        pairs = materialise(pairs, "candidates")
+            pairs = materialise(pairs, "candidates")
         if not pairs.head(1):
             if orders:
                 continue
@@ -469,8 +473,10 @@ def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common:
         if not found:
             continue
         named = roots.toDF("class", "root")
-        live = live.drop("component").join(named, "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
+        before, live = live, live.drop("component").join(named, "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
         live = materialise(live, "members")
+        forget(before)
+        collect_garbage(live.sparkSession)
 
 
 def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
