@@ -6,9 +6,10 @@ ones last, the rest by hash) serves two purposes:
 
 * Candidates. Two sets of Jaccard similarity t share an n-gram among the first
   ``n - ceil(t n) + 1`` of each in that order. Only n-grams that two sets hold
-  there make blocks. A 512-bit parity sketch of each set bounds the size of the
-  symmetric difference from below, so a pair leaves a block only if sizes and
-  sketches still allow the similarity; neither test can lose a link.
+  there make blocks, and of blocks with the same members one is enough. A
+  512-bit parity sketch of each set bounds the size of the symmetric difference
+  from below, so a pair leaves a block only if sizes and sketches still allow
+  the similarity; neither test can lose a link.
 * Overlaps. That same order is cut into FRAGMENTS, the overlap of a pair is
   counted in each fragment separately from the two sets' segments, and the
   partial counts are summed for each pair. The sum decides.
@@ -347,8 +348,11 @@ def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     common = _common_ngrams(sets, percent)
     classes = materialise(_classes(sets, common, percent), "classes")
     postings = materialise(_postings(classes).dropDuplicates(["token", "class"]), "postings")
-    blocks = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = materialise(by_unique_key(postings, blocks, "token", "n"), "blocks")
+    alike = [F.bit_xor(F.xxhash64(F.lit(i), "class")).alias(f"set{i}") for i in range(2)]  # 128 bits that know a set of classes
+    heads = postings.groupBy("token").agg(F.count("*").alias("n"), *alike).filter("n > 1")
+    heads = materialise(heads.groupBy("n", "set0", "set1").agg(F.min("token").alias("token")).select("token", "n"), "block-heads")
+    blocks = materialise(by_unique_key(postings, heads, "token", "n"), "blocks")
+    forget(heads)
     traits = classes.join(blocks.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
     traits = materialise(traits.select("class", "size", "typical", "sketch"), "traits")
     members = materialise(blocks.join(traits.select("class", "size", "typical"), "class"), "members")
