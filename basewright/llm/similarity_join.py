@@ -15,9 +15,9 @@ ones last, the rest by hash) serves two purposes:
   partial counts are summed for each pair. The sum decides.
 
 Links inside one component need not all be verified: first each block's most
-typical member is compared with the others, then some members drawn by hash,
-then for each two components their likeliest pair, and at last every pair whose
-ends are still in different components. No pair is verified twice.
+typical member and some drawn by hash are compared with the others, then for
+each two components their likeliest pair, and at last every pair whose ends are
+still in different components. No pair is verified twice.
 So no group of copies is expanded into all pairs, and no link that joins two
 components is lost. ``jaccard_links`` and ``jaccard_link_counts`` do without this
 short cut: they verify every candidate pair and give all links.
@@ -52,7 +52,7 @@ TOKEN_BITS = 48
 TOKEN_BYTES = TOKEN_BITS // 8
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
-#: Members of each block that the second round compares with the others, drawn by hash.
+#: Members of each block, drawn by hash, that the first round compares with the others beside the most typical one.
 CENTRES = 3
 #: Members of a block that one task compares with another member.
 BLOCK_ROWS = 10_000
@@ -432,9 +432,9 @@ def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common:
     """
     live, tried, links, roots = members.withColumn("component", F.col("class")), None, None, None
     one = F.struct("class", "component", "size")
-    typical, drawn = [F.struct("typical", "class")], [F.xxhash64(F.lit(i), "class") for i in range(CENTRES)]
+    centres = [F.struct("typical", "class"), *[F.xxhash64(F.lit(i), "class") for i in range(CENTRES)]]
     range_of = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")]
-    for orders, likeliest in ((typical, False), (drawn, False), (None, True), (None, False)):
+    for orders, likeliest in ((centres, False), (None, True), (None, False)):
         if orders:
             hubs = live.groupBy("token").agg(F.first("n").alias("n"), *range_of, *[F.max_by(one, order).alias(f"hub{i}") for i, order in enumerate(orders)])
             every = F.array_distinct(F.array(*[f"hub{i}" for i in range(len(orders))]))
