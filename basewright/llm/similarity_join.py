@@ -430,7 +430,7 @@ def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common:
 
     A round drops the blocks that hold one component only; the last one has verified every pair that was left.
     """
-    live, tried, links, roots = members.withColumn("component", F.col("class")), None, None, None
+    live, tried, roots = members.withColumn("component", F.col("class")), None, None
     one = F.struct("class", "component", "size")
     centres = [F.struct("typical", "class"), *[F.xxhash64(F.lit(i), "class") for i in range(CENTRES)]]
     range_of = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")]
@@ -471,8 +471,7 @@ def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common:
         edges = verified(held, pairs, common, percent)
         found = bool(edges.head(1))
         if found:
-            links = edges if links is None else links.union(edges)
-            roots = components(links)
+            roots = components(edges if roots is None else edges.union(roots.toDF("a", "b")))  # the forest stands for all links so far
         yield pairs, roots
         if not found:
             continue

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from basewright.llm import bpe, exact_dedup, kd_shards, language_id, pii, repetition, similarity_join, source_mix
 from basewright.llm import factorisation as fm
 from basewright.llm import quality_model, toxicity
+from basewright.llm.components import components
 from basewright.llm.registry import ORACLE_SQL, QUERIES
 from tests.conftest import same_as_sql
 from tests.llm.helpers import LABELS, awkward, empty, frame, words
@@ -544,6 +545,27 @@ def test_similarity_join_by_brute_force(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 64])
+def test_components_by_brute_force(spark, chunk):
+    """Chains, stars whose hub is the largest node, rings, repeated edges and loops, in one forest and in several."""
+    rng = random.Random(chunk)
+    edges = [(i, i + 1) for i in range(100, 300)] + [(-5, x) for x in range(400, 600)] + [(x, 999) for x in range(700, 990)] + [(1000, 1001), (1001, 1002), (1002, 1000), (7, 7)]
+    edges += [(rng.randrange(2000, 4000), rng.randrange(2000, 4000)) for _ in range(900)] + [(1 << 62, -(1 << 62))] * 3
+    rng.shuffle(edges)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(4), chunk)
+    assert {r["node"]: r["root"] for r in rows_of(got)} == {x: find(x) for x in root}
+
+
 def test_no_pair_is_verified_twice(spark):
     """Texts that share half of their words but near no link: every round takes new pairs."""
     rng = random.Random(12)
