@@ -84,9 +84,13 @@ def gathered(df: DataFrame):
 
 
 def heavy_keys(df: DataFrame, key: str) -> DataFrame:
-    """key, heavy: the keys that hold more than one in HEAVY rows of a table, at most HEAVY rows whatever the input."""
+    """key, heavy: the keys that hold more than one in HEAVY rows of a table, at most HEAVY rows whatever the input.
+
+    A key of a few rows is not heavy, however small the table: its SALTS copies would cost more than its rows.
+    """
     total = df.count()
-    return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") * HEAVY > F.lit(total)).select(key, F.lit(True).alias("heavy"))
+    heavy = (F.col("n") * HEAVY > F.lit(total)) & (F.col("n") > 4 * SALTS)
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter(heavy).select(key, F.lit(True).alias("heavy"))
 
 
 def salted(df: DataFrame, heavy: DataFrame, key: str, by: Column | None = None) -> DataFrame:
