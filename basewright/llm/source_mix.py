@@ -111,7 +111,8 @@ def schedule(targets: DataFrame, bits: int, block: int) -> DataFrame:
     slotted = slotted.withColumn("of", F.col("high") - F.col("low") + 1)
     starts = offsets(slotted.groupBy("place", "bucket").agg(F.count("*").alias("n")), "bucket", {"base": "n"}, ["place"]).drop("n")
     inside = Window.partitionBy("place", "bucket").orderBy("slot")
-    ranked = slotted.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["place", "bucket"])
+    # Spark takes the slots for as small as the stretches they are made from and would broadcast them; they grow with the input.
+    ranked = slotted.withColumn("at", F.row_number().over(inside) - 1).join(starts.hint("merge"), ["place", "bucket"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("at"))
     start = F.least(F.col("rank") * block, F.col("quota"))
     end = F.when(F.col("rank") + 1 == F.col("of"), F.col("quota")).otherwise(F.least((F.col("rank") + 1) * block, F.col("quota")))
@@ -165,7 +166,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     begin = F.greatest("start", "lo", edge)
     stop = F.least("end", "hi", edge + block)
     pieces = (
-        parts.join(stretches, ["place", "block"])
+        parts.join(stretches.hint("merge"), ["place", "block"])  # as in schedule()
         .filter(stop > begin)
         .select("slot", "doc_id", "place", "start", (begin - F.col("start")).alias("from_word"), (stop - F.col("start")).alias("to_word"))
     )

@@ -365,6 +365,18 @@ def test_mix_is_even_along_the_slots(spark):
         assert abs(early[place] - total[place] / 2) < 0.05 * total[place]
 
 
+def test_mix_never_broadcasts_the_slots(spark):
+    """They grow with the input, and Spark underestimates them."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, 50)), "en", "ab"[i % 2], 0) for i in range(600)]
+    _, pieces = source_mix.mix(frame(spark, rows))
+    assert pieces.count() >= 100
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    for key in ("block", "bucket"):
+        assert re.search(rf"SortMergeJoin \[place#\d+, {key}#\d+L\]", plan)
+        assert not re.search(rf"BroadcastHashJoin \[place#\d+, {key}#\d+L\]", plan)
+
+
 # ---- 5
 
 
