@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import documents, spread, text_slices
+from basewright.llm.worker import keeps, works_for
 
 #: Unicode White_Space, which the file's normaliser folds and its split drops.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -40,7 +41,7 @@ TABLE_ENTRIES, TABLE_CHARS = 300_000, 8 << 20
 
 
 #: Bytes of text that are encoded together.
-SLICE = 6 << 20
+SLICE = 3 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -250,6 +251,7 @@ class PairIndexBpe:
 
 
 _loaded: dict[str, PairIndexBpe] = {}
+keeps(__name__, _loaded.clear)
 
 
 def encoder(path: str) -> PairIndexBpe:
@@ -272,6 +274,7 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def run(batches):
         import pyarrow as pa
 
+        works_for(__name__)
         coder = encoder(vocabulary)
         for batch in batches:
             for start, stop in text_slices(batch.column(1), SLICE):

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import SPACES, documents, materialise
+from basewright.llm.worker import works_for
 
 #: Code points of the text in the range key: long enough to order texts, short enough to sample.
 HEAD = 32
@@ -38,6 +39,7 @@ def _scan(batches):
     """
     import numpy as np
 
+    works_for(__name__)
     part = TaskContext.get().partitionId()
     held: list = []  # rows that share the last hash seen: (ids, hashes, digests, starts a run)
     first_hash = last_text = None

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import in_fold, spread, text_slices
+from basewright.llm.worker import works_for
 
 #: Bins of the hashed feature space.
 BITS = 22
@@ -169,11 +170,14 @@ def letter_runs(text: str) -> set[bytes]:
     return {run.encode("utf-8", "replace") for run in set(_RUN.findall(low))}
 
 
-def _batches(batches, features: Features, metadata: list[str]) -> Iterator:
+def _batches(batches, features: Features, metadata: list[str], text_at: int | None = None) -> Iterator:
+    """Slices and their features; the text is a column, or the field ``text_at`` of the column ``row``."""
+    works_for(features.__module__)
     for batch in batches:
-        for start, stop in text_slices(batch.column("text"), 2 << 20):
+        text = batch.column("text") if text_at is None else batch.column("row").field(text_at)
+        for start, stop in text_slices(text, 2 << 20):
             part = batch.slice(start, stop - start)
-            texts = [t or "" for t in part.column("text").to_pylist()]
+            texts = [t or "" for t in text.slice(start, stop - start).to_pylist()]
             yield part, features(texts, {c: part.column("meta_" + c).to_pylist() for c in metadata})
 
 
@@ -236,18 +240,18 @@ def score(
     shared = df.sparkSession.sparkContext.broadcast(model)
     id_type = df.schema[id_col].dataType.simpleString()
     inputs = _inputs(df, id_col, text_col, list(metadata))
-    schema, more = f"doc_id {id_type}, score double", []
-    if carry:
+    schema, more, text_at = f"doc_id {id_type}, score double", [], None
+    if carry:  # the text travels once, inside its row
+        text_at = [c.lower() for c in df.columns].index(text_col.lower())
         inputs = df.select(
-            F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias("meta_" + c) for c in metadata],
-            F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+            F.col(id_col).alias("doc_id"), *[F.col(c).alias("meta_" + c) for c in metadata], F.struct(*[F.col(c) for c in df.columns]).alias("row")
         )
         schema, more = schema + f", row {inputs.schema['row'].dataType.simpleString()}", ["row"]
 
     def run(batches):
         import pyarrow as pa
 
-        for part, found in _batches(batches, features, list(metadata)):
+        for part, found in _batches(batches, features, list(metadata), text_at):
             margin = np.clip(shared.value.margins(found), -500, 500)
             columns = [part.column("doc_id"), pa.array(1 / (1 + np.exp(-margin))), *(part.column(c) for c in more)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", *more])

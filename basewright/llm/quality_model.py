@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from basewright.llm import factorisation as fm
 from basewright.llm.common import documents, in_fold, labels
 from basewright.llm.hashing import WordHashes
+from basewright.llm.worker import keeps
 
 _SYMBOLS = b"#*$%&|<>{}[]=_~^@\\"
 _MARKS = b"!?.,;:"
 _words = WordHashes(fm.BITS, b"words")
 _others = WordHashes(fm.BITS, b"other")
+keeps(__name__, _words.clear)
+keeps(__name__, _others.clear)
 
 
 def _bin(name: str, value: float, width: float) -> bytes:

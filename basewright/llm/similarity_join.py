@@ -47,6 +47,7 @@ from basewright.llm.common import (
 )
 from basewright.llm.components import components
 from basewright.llm.hashing import WordHashes
+from basewright.llm.worker import keeps, works_for
 
 TOKEN_BITS = 48
 TOKEN_BYTES = TOKEN_BITS // 8
@@ -65,6 +66,7 @@ FILTER_BITS, MOST_COMMON = 26, 1 << 22
 SLICE = 4 << 20
 
 _hashes = WordHashes(64, b"ngram")
+keeps(__name__, _hashes.clear)
 
 
 def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -114,6 +116,7 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        works_for(__name__)
         given: set[bytes] = set()
         for batch in batches:
             for start, stop in text_slices(batch.column(1), 2 << 20):

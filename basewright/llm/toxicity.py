@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from basewright.llm import factorisation as fm
 from basewright.llm.common import documents, in_fold, labels
 from basewright.llm.hashing import WordHashes
+from basewright.llm.worker import keeps
 
 _hashes = WordHashes(fm.BITS, b"terms")
+keeps(__name__, _hashes.clear)
 
 
 def terms(texts: list[str], _metadata: dict) -> list[np.ndarray]:

@@ -63,3 +63,24 @@ def test_runs_keep_out_of_each_other(spark, sf_dir):
     docs = common.documents(spark, sf_dir)
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert all(df.count() == docs.count() for df in held.values())
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """Spark reuses a worker for every stage; what one left stays out of the memory of the next."""
+    from basewright.llm import bpe, similarity_join, toxicity, worker
+
+    worker.works_for(bpe.__name__)
+    bpe.encoder(bpe.vocabulary_path())
+    worker.works_for(bpe.__name__)
+    assert bpe._loaded
+    worker.works_for(toxicity.__name__)
+    assert toxicity.terms(["one two"], {}) and toxicity._hashes and not bpe._loaded
+    worker.works_for(similarity_join.__name__)
+    assert not toxicity._hashes
+
+
+def test_toxicity_sends_a_text_once(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    sent = corpus_pipeline.drop_toxic(spark, docs, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in sent.split("\n") if "Project" in x and "struct(" in x)
+    assert re.findall(r"\btext#\d+", line.replace("text, text#", "struct#", 1)) == []
