@@ -21,8 +21,6 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,14 +44,21 @@ SAMPLE_CHARS = (20, 8000)
 RIDGE, FLOOR = 1e-3, 1e-6
 SEED = 11
 
-#: Numerals that ``\w`` and ``\W`` leave in: fractions, superscripts, Roman numerals.
-_NUMERALS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
-_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """The lower-case text with a space for every run of characters that are no letters, and none at its ends."""
+    clean = _OTHER.sub(" ", text.lower()).strip(" ")
+    if clean.replace(" ", "").isalpha():
+        return clean
+    # \W and \d leave other numerals in: fractions, superscripts, Roman numerals. A class that names them all would be slow on every letter.
+    return " ".join("".join([c if c.isalpha() else " " for c in clean]).split())
 
 
 def spectrum(text: str) -> np.ndarray:
     """Distinct hashed n-grams of one text; empty without a letter."""
-    clean = _OTHER.sub(" ", text.lower()).strip(" ")
+    clean = letters(text)
     if not clean:
         return np.zeros(0, np.int64)
     points = np.frombuffer(f" {clean} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
