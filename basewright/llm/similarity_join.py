@@ -290,9 +290,13 @@ def _may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
 
 
 def _segments(held: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
-    """class, size, fragment, segment (packed) of the classes in the pairs."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = held.join(ends, "class", "left_semi").dropDuplicates(["class"])
+    """class, size, of_a, of_b (which end of pairs the class is), fragment, segment (packed) of the classes in the pairs.
+
+    A bit set drops nearly all other classes before their n-grams are shuffled.
+    """
+    ends = pairs.select(F.col("a").alias("class"), F.lit(True).alias("of_a")).union(pairs.select(F.col("b").alias("class"), F.lit(False)))
+    ends = ends.groupBy("class").agg(F.bool_or("of_a").alias("of_a"), F.bool_or(~F.col("of_a")).alias("of_b"))
+    wanted = _held(held, ends).join(ends, "class").dropDuplicates(["class"])
     bits = held.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -308,12 +312,13 @@ def _segments(held: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFram
                     segments += [_pack(token[fragment == i]) for i in range(FRAGMENTS)]
                 rows = pa.array(np.repeat(np.arange(len(part)), FRAGMENTS))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(part))),
-                     pa.array(segments, pa.binary())],
-                    ["class", "size", "fragment", "segment"],
+                    [*(part.column(c).take(rows) for c in ("class", "size", "of_a", "of_b")),
+                     pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(part))), pa.array(segments, pa.binary())],
+                    ["class", "size", "of_a", "of_b", "fragment", "segment"],
                 )
 
-    return wanted.select("class", "size", "tokens").mapInArrow(run, "class bigint, size bigint, fragment int, segment binary")
+    wanted = wanted.select("class", "size", "tokens", "of_a", "of_b")
+    return wanted.mapInArrow(run, "class bigint, size bigint, of_a boolean, of_b boolean, fragment int, segment binary")
 
 
 def verified(held: DataFrame, pairs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
@@ -333,8 +338,8 @@ def verified(held: DataFrame, pairs: DataFrame, common: np.ndarray, percent: int
 
     segments = materialise(_segments(held, pairs, common), "segments")
     hot = heavy_keys(pairs, "a")  # a member that many others are compared with
-    left = segments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("segment").alias("left"))
-    right = segments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("segment").alias("right"))
+    left = segments.filter("of_a").select(F.col("class").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("segment").alias("left"))
+    right = segments.filter("of_b").select(F.col("class").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("segment").alias("right"))
     wide = salted(pairs, hot, "a", F.col("b")).withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])))
     both = wide.join(right, ["b", "fragment"]).join(salted(left, hot, "a"), ["a", "salt", "fragment"])
     counted = both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "left", "right").mapInArrow(

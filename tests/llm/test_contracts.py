@@ -599,6 +599,19 @@ def test_components_by_brute_force(spark, chunk):
     assert {r["node"]: r["root"] for r in rows_of(got)} == {x: find(x) for x in root}
 
 
+def test_segments_of_a_pair_alone_are_shuffled(spark):
+    """Of the sets held, those in no pair go before the shuffle by class; each end of a pair is known as what it is."""
+    import numpy as np
+
+    held = frame(spark, [(i, 3, similarity_join._pack(np.array([i, i + 1, i + 2], np.uint64))) for i in range(1000)], "class long, size long, tokens binary")
+    pairs = frame(spark, [(5, 6), (5, 900)], "a long, b long")
+    out = similarity_join._segments(held, pairs, np.zeros(1 << (similarity_join.FILTER_BITS - 6), np.int64))
+    got = {(r["class"], r["of_a"], r["of_b"]) for r in out.collect()}
+    assert got == {(5, True, False), (6, False, True), (900, False, True)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # the bit set, then the cut
+    assert [tuple(r) for r in similarity_join.verified(held, pairs, np.zeros(1 << (similarity_join.FILTER_BITS - 6), np.int64), 50).collect()] == [(5, 6)]
+
+
 def test_no_pair_is_verified_twice(spark):
     """Texts that share half of their words but near no link: every round takes new pairs."""
     rng = random.Random(12)
