@@ -9,7 +9,9 @@ ones last, the rest by hash) serves two purposes:
   there make blocks, and of blocks with the same members one is enough. A
   512-bit parity sketch of each set bounds the size of the symmetric difference
   from below, so a pair leaves a block only if sizes and sketches still allow
-  the similarity; neither test can lose a link.
+  the similarity; neither test can lose a link. Two sets share
+  many blocks; each knows its first ones, and the pair leaves the first that
+  both know.
 * Overlaps. That same order is cut into FRAGMENTS, the overlap of a pair is
   counted in each fragment separately from the two sets' segments, and the
   partial counts are summed for each pair. The sum decides.
@@ -53,6 +55,8 @@ TOKEN_BITS = 48
 TOKEN_BYTES = TOKEN_BITS // 8
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
+#: Blocks of a class, the first by number, that its members know. Two classes leave the first block that both know, any shared one if there is none.
+FIRST_BLOCKS = 8
 #: Members of each block, drawn by hash, that the first round compares with the others beside the most typical one.
 CENTRES = 3
 #: Members of a block that one task compares with another member.
@@ -281,12 +285,16 @@ def _near(x: str, y: str, percent: int) -> Column:
 
 
 def _may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
-    """Those of a table of pairs (a, b) whose sizes and sketches allow the similarity; many pairs may have the same a."""
+    """Those of a table of pairs (a, b) whose sizes and sketches allow the similarity; many pairs may have the same a.
+
+    ``differ`` is the least symmetric difference that the sketches prove.
+    """
     own = F.struct("size", "sketch")
     hot = heavy_keys(pairs, "a")
     with_b = salted(pairs.join(traits.select(F.col("class").alias("b"), own.alias("y")), "b"), hot, "a", F.col("b"))
     both = with_b.join(salted(traits.select(F.col("class").alias("a"), own.alias("x")), hot, "a"), ["a", "salt"])
-    return both.filter(_near("x", "y", percent)).select("a", "b")
+    differ = _difference(F.col("x.sketch"), F.col("y.sketch")).alias("differ")
+    return both.filter(_near("x", "y", percent)).select("a", "b", differ)
 
 
 def _segments(held: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -352,17 +360,19 @@ def verified(held: DataFrame, pairs: DataFrame, common: np.ndarray, percent: int
 
 
 def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
-    """(blocks of two or more classes: token, class, size, typical, n; their n-grams; their traits, one row a class; common n-grams)."""
+    """(blocks of two or more classes: token (a number), class, size, typical, n; their n-grams; their traits, one row a class; common n-grams)."""
     common = _common_ngrams(sets, percent)
     classes = materialise(_classes(sets, common, percent), "classes")
     postings = materialise(_postings(classes).dropDuplicates(["token", "class"]), "postings")
     alike = [F.bit_xor(F.xxhash64(F.lit(i), "class")).alias(f"set{i}") for i in range(2)]  # 128 bits that know a set of classes
     heads = postings.groupBy("token").agg(F.count("*").alias("n"), *alike).filter("n > 1")
-    heads = materialise(heads.groupBy("n", "set0", "set1").agg(F.min("token").alias("token")).select("token", "n"), "block-heads")
-    blocks = materialise(by_unique_key(postings, heads, "token", "n"), "blocks")
+    heads = heads.groupBy("n", "set0", "set1").agg(F.min("token").alias("token"))
+    heads = materialise(heads.select("token", "n", F.monotonically_increasing_id().alias("block")), "block-heads")
+    blocks = materialise(by_unique_key(postings, heads, "token", "n").select(F.col("block").alias("token"), "class", "n"), "blocks")
     forget(heads)
-    traits = classes.join(blocks.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
-    traits = materialise(traits.select("class", "size", "typical", "sketch"), "traits")
+    firsts = blocks.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_BLOCKS).alias("firsts"))
+    traits = classes.join(firsts, "class").dropDuplicates(["class"])
+    traits = materialise(traits.select("class", "size", "typical", "sketch", "firsts"), "traits")
     members = materialise(blocks.join(traits.select("class", "size", "typical"), "class"), "members")
     forget(classes, postings, blocks)
     collect_garbage(sets.sparkSession)
@@ -377,6 +387,19 @@ def _on_blocks(members: DataFrame, others: DataFrame) -> DataFrame:
     return left.alias("m").join(right.alias("h"), ["token", "salt"])
 
 
+def _meeting(members: DataFrame, traits: DataFrame, column: str, percent: int) -> DataFrame:
+    """a, b: classes of one block, by ``column`` two and in this order, whose sizes and sketches allow the similarity.
+
+    They leave the first block that both know, so most come once however many blocks
+    they share. The first shared block that both know is the first that they share.
+    """
+    full = members.select(*dict.fromkeys(["token", "class", "n", column])).join(traits.select("class", "size", "sketch", "firsts"), "class")
+    first = F.array_min(F.array_intersect("m.firsts", "h.firsts"))
+    here = F.col("token") == F.coalesce(first, F.col("token"))
+    both = _on_blocks(full, full).filter((F.col(f"m.{column}") < F.col(f"h.{column}")) & _near("m", "h", percent)).filter(here)
+    return both.select(F.col("m.class").alias("a"), F.col("h.class").alias("b"))
+
+
 def jaccard_links(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b, rows_a, rows_b: every two different classes (a < b) that link, and how many rows each has.
 
@@ -390,9 +413,8 @@ def jaccard_links(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
 
 def _jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
     members, held, traits, common = _blocks(sets, percent)
-    full = members.select("token", "class", "n").join(traits, "class")
-    both = _on_blocks(full, full).filter((F.col("m.class") < F.col("h.class")) & _near("m", "h", percent))
-    pairs = materialise(both.select(F.col("m.class").alias("a"), F.col("h.class").alias("b")).distinct(), "candidates")
+    met = materialise(_meeting(members, traits, "class", percent).distinct(), "block-pairs")
+    pairs = materialise(_may_link(met, traits, percent).select("a", "b"), "candidates")
     links = verified(held, pairs, common, percent)
     rows = sets.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
     return links.join(rows.toDF("a", "rows_a"), "a").join(rows.toDF("b", "rows_b"), "b").select("a", "b", "rows_a", "rows_b")
@@ -427,67 +449,74 @@ def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_i
     return distilled(lambda: _jaccard_components(df, n, percent, id_col, text_col), "components")
 
 
-def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    if tried is None:
-        return pairs
-    return pairs.join(tried, (F.least("a", "b") == tried["lo"]) & (F.greatest("a", "b") == tried["hi"]), "left_anti")
-
-
 def merge_rounds(members: DataFrame, held: DataFrame, traits: DataFrame, common: np.ndarray, percent: int):
     """Yield (pairs verified, components so far: node and root of linked classes, None before any) round by round.
 
-    A round drops the blocks that hold one component only; the last one has verified every pair that was left.
+    The first round compares some members of a block with the others. What is left
+    comes from the blocks of two or more components once: the second round takes the
+    likeliest pair of each two components, the last one all pairs whose ends are
+    still in different components.
     """
-    live, tried, roots = members.withColumn("component", F.col("class")), None, None
-    one = F.struct("class", "component", "size")
+    one = F.struct("class", "size")
     centres = [F.struct("typical", "class"), *[F.xxhash64(F.lit(i), "class") for i in range(CENTRES)]]
-    range_of = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")]
-    for orders, likeliest in ((centres, False), (None, True), (None, False)):
-        if orders:
-            hubs = live.groupBy("token").agg(F.first("n").alias("n"), *range_of, *[F.max_by(one, order).alias(f"hub{i}") for i, order in enumerate(orders)])
-            every = F.array_distinct(F.array(*[f"hub{i}" for i in range(len(orders))]))
-            hubs = hubs.filter("lo <> hi").select("token", "n", F.explode(every).alias("hub")).select("token", "n", "hub.*")
-            near = (F.col("m.component") != F.col("h.component")) & _sizes_near(F.col("m.size"), F.col("h.size"), percent)
-            pairs = _on_blocks(live, hubs).filter(near).select(F.col("h.class").alias("a"), F.col("m.class").alias("b"))
-            once = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"))
-            once = once.select("a", (F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("a"))).alias("b"))
-            block_pairs = materialise(_untried(once, tried), "block-pairs")
-            pairs = materialise(_may_link(block_pairs, traits, percent), "candidates")
-            forget(block_pairs)
-        else:
-            still = live.groupBy("token").agg(*range_of).filter("lo <> hi").select("token", "left")
-            before, live = live, materialise(by_unique_key(live, still, "token", "left").drop("left"), "members")
-            forget(before)
-            if not live.head(1):
-                return
-            full = live.select("token", "class", "component", "n").join(traits, "class")
-            rest = _on_blocks(full, full).filter((F.col("m.component") < F.col("h.component")) & _near("m", "h", percent))
-            differ = _difference(F.col("m.sketch"), F.col("h.sketch")).alias("differ")
-            rest = rest.select(F.col("m.class").alias("a"), F.col("h.class").alias("b"), F.col("m.component").alias("ca"), F.col("h.component").alias("cb"), differ)
-            rest = _untried(rest, tried)
-            if likeliest:
-                pairs = rest.groupBy("ca", "cb").agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b")
-            else:
-                pairs = rest.select("a", "b").distinct()
-            pairs = materialise(pairs, "candidates")
+    hubs = members.groupBy("token").agg(F.first("n").alias("n"), *[F.max_by(one, order).alias(f"hub{i}") for i, order in enumerate(centres)])
+    every = F.array_distinct(F.array(*[f"hub{i}" for i in range(len(centres))]))
+    hubs = hubs.select("token", "n", F.explode(every).alias("hub")).select("token", "n", "hub.*")
+    near = (F.col("m.class") != F.col("h.class")) & _sizes_near(F.col("m.size"), F.col("h.size"), percent)
+    pairs = _on_blocks(members, hubs).filter(near).select(F.col("h.class").alias("a"), F.col("m.class").alias("b"))
+    once = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"))
+    once = once.select("a", (F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("a"))).alias("b"))
+    block_pairs = materialise(once, "block-pairs")
+    pairs = materialise(_may_link(block_pairs, traits, percent).select("a", "b"), "candidates")
+    forget(block_pairs)
+    roots, left = None, None
+    for taken in ("centres", "likeliest", "rest"):
+        if taken != "centres" and left is None:
+            left = _left(members, traits, pairs, roots, percent)
+        if taken == "likeliest":
+            apart = _apart(left, roots).groupBy("ca", "cb").agg(F.min(F.struct("differ", "a", "b")).alias("best"))
+            pairs = materialise(apart.select("best.a", "best.b"), "candidates")
+        elif taken == "rest":
+            pairs = materialise(_apart(left, roots).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "candidates")
         if not pairs.head(1):
-            if orders:
-                continue
-            return  # no pair is left
-        done = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        tried = done if tried is None else tried.union(done)
+            continue
         edges = verified(held, pairs, common, percent)
-        found = bool(edges.head(1))
-        if found:
+        if edges.head(1):
             roots = components(edges if roots is None else edges.union(roots.toDF("a", "b")))  # the forest stands for all links so far
         yield pairs, roots
-        if not found:
-            continue
-        named = roots.toDF("class", "root")
-        before, live = live, live.drop("component").join(named, "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
-        live = materialise(live, "members")
-        forget(before)
-        collect_garbage(live.sparkSession)
+        collect_garbage(members.sparkSession)
+
+
+def _left(members: DataFrame, traits: DataFrame, tried: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """a, b, differ: the pairs of classes in different components that share a block, may link and have not been tried; ``members`` go."""
+    if roots is None:
+        named = members.withColumn("component", F.col("class"))
+    else:
+        named = members.join(roots.toDF("class", "root"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
+    named = materialise(named, "members")
+    forget(members)
+    still = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left"))
+    live = by_unique_key(named, still.filter("lo <> hi").select("token", "left"), "token", "left").drop("left")
+    live = materialise(live, "members")
+    forget(named)
+    met = _meeting(live, traits, "component", percent).distinct()
+    done = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    met = met.join(done, (F.least("a", "b") == done["lo"]) & (F.greatest("a", "b") == done["hi"]), "left_anti")
+    met = materialise(met, "block-pairs")
+    forget(live)
+    left = materialise(_may_link(met, traits, percent), "left-pairs")
+    forget(met)
+    return left
+
+
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """a, b, differ, ca, cb: the pairs whose ends are in different components, and these."""
+    if roots is None:
+        named, ends = pairs, (F.col("a"), F.col("b"))
+    else:
+        named = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+        ends = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+    return named.select("a", "b", "differ", F.least(*ends).alias("ca"), F.greatest(*ends).alias("cb")).filter("ca <> cb")
 
 
 def _jaccard_components(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:

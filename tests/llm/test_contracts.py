@@ -626,6 +626,20 @@ def test_no_pair_is_verified_twice(spark):
     assert seen and set(seen.values()) == {1}
 
 
+def test_pair_of_many_blocks_leaves_one(spark):
+    """Two texts that share many blocks, each of other members, meet in the first that both know."""
+    rng = random.Random(13)
+    sentences = [words(rng, 12) for _ in range(60)]
+    rows = [(i, " ".join(w for s in rng.sample(sentences, 40) for w in s)) for i in range(40)]
+    sets = similarity_join._ngram_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4, "doc_id", "text")
+    members, _, traits, _ = similarity_join._blocks(sets, 50)
+    shared = members.alias("m").join(members.alias("h"), "token").filter("m.class < h.class").select("m.class", "h.class").toDF("a", "b")
+    met = similarity_join._meeting(members, traits, "class", 50)
+    pairs = met.distinct().count()
+    assert pairs > 100
+    assert met.count() < 1.5 * pairs < 0.2 * shared.join(met.distinct(), ["a", "b"], "left_semi").count()
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 50)])
 def test_similarity_join_gives_every_link(spark, n, percent):
     """Components of many different texts, copies and texts without a word: all links, also those inside a component."""
