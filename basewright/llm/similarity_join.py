@@ -9,7 +9,8 @@ ones last, the rest by hash) serves two purposes:
   there make blocks, and of blocks with the same members one is enough. A
   512-bit parity sketch of each set bounds the size of the symmetric difference
   from below, so a pair leaves a block only if sizes and sketches still allow
-  the similarity; neither test can lose a link. Two sets share
+  the similarity, and a sketch as wide as the set is large bounds it again for
+  larger sets, which fill 512 bits; no such test can lose a link. Two sets share
   many blocks; each knows its first ones, and the pair leaves the first that
   both know.
 * Overlaps. That same order is cut into FRAGMENTS, the overlap of a pair is
@@ -206,32 +207,53 @@ def _common_ngrams(sets: DataFrame, percent: int) -> np.ndarray:
     return common
 
 
+def _parities(token: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount(token % bits, minlength=bits) & 1).astype(np.uint8))
+
+
+def _wide_sketch(token: np.ndarray) -> bytes | None:
+    """Parities in the least power of two that reaches the set's size; none for sets that the common sketch is wide enough for."""
+    return _parities(token, 1 << (len(token) - 1).bit_length()).tobytes() if len(token) > 64 * SKETCH_WORDS else None
+
+
+def _wide_difference(x: bytes | None, y: bytes | None) -> int:
+    """Least size of the symmetric difference that two wide sketches prove, the wider one folded to the other; 0 without one."""
+    if not x or not y:
+        return 0
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(u) != len(v):
+        if len(u) < len(v):
+            u, v = v, u
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def _classes(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """class, size, typical (share of common n-grams), sketch, prefix."""
+    """class, size, typical (share of common n-grams), sketch, wide (sketch of larger sets), prefix."""
     bits = sets.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            typical, sketches, prefixes = [], [], []
+            typical, sketches, wide, prefixes = [], [], [], []
             for packed in batch.column(2).to_pylist():
                 token = _unpack(packed)
                 late = _in_bit_set(bits.value, token)
                 typical.append(float(late[: _reach(len(token), percent)].mean()))
-                odd = np.bincount(token % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8").tolist())
+                sketches.append(_parities(token, 64 * SKETCH_WORDS).view("<i8").tolist())
+                wide.append(_wide_sketch(token))
                 k = prefix_length(len(token), percent)
                 early = token[~late][:k]
                 prefixes.append(np.concatenate([early, token[late][: k - len(early)]]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(typical, pa.float32()), pa.array(sketches, pa.list_(pa.int64())),
-                 pa.array(prefixes, pa.list_(pa.int64()))],
-                ["class", "size", "typical", "sketch", "prefix"],
+                 pa.array(wide, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["class", "size", "typical", "sketch", "wide", "prefix"],
             )
 
     rows = sets.filter("tokens is not null").select("class", "size", "tokens")
-    return rows.mapInArrow(run, "class bigint, size bigint, typical float, sketch array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(run, "class bigint, size bigint, typical float, sketch array<bigint>, wide binary, prefix array<bigint>")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -287,14 +309,29 @@ def _near(x: str, y: str, percent: int) -> Column:
 def _may_link(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Those of a table of pairs (a, b) whose sizes and sketches allow the similarity; many pairs may have the same a.
 
-    ``differ`` is the least symmetric difference that the sketches prove.
+    ``differ`` is the hundredth of their sizes' sum, at least, that the symmetric difference has.
     """
-    own = F.struct("size", "sketch")
+
+    def screen(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sums = batch.column("sizes").to_numpy()
+            least = [_wide_difference(x, y) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+            differ = np.maximum(np.array(least, np.int64), batch.column("differ").to_numpy())
+            able = pa.array(differ * (100 + percent) <= sums * (100 - percent))
+            out = [batch.column("a"), batch.column("b"), pa.array(100.0 * differ / sums)]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "differ"]).filter(able)
+
+    own = F.struct("size", "sketch", "wide")
     hot = heavy_keys(pairs, "a")
     with_b = salted(pairs.join(traits.select(F.col("class").alias("b"), own.alias("y")), "b"), hot, "a", F.col("b"))
     both = with_b.join(salted(traits.select(F.col("class").alias("a"), own.alias("x")), hot, "a"), ["a", "salt"])
-    differ = _difference(F.col("x.sketch"), F.col("y.sketch")).alias("differ")
-    return both.filter(_near("x", "y", percent)).select("a", "b", differ)
+    differ = _difference(F.col("x.sketch"), F.col("y.sketch")).cast("long").alias("differ")
+    near = both.filter(_near("x", "y", percent)).select(
+        "a", "b", (F.col("x.size") + F.col("y.size")).alias("sizes"), differ, F.col("x.wide").alias("left"), F.col("y.wide").alias("right")
+    )
+    return near.mapInArrow(screen, "a bigint, b bigint, differ double")
 
 
 def _segments(held: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -372,7 +409,7 @@ def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     forget(heads)
     firsts = blocks.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_BLOCKS).alias("firsts"))
     traits = classes.join(firsts, "class").dropDuplicates(["class"])
-    traits = materialise(traits.select("class", "size", "typical", "sketch", "firsts"), "traits")
+    traits = materialise(traits.select("class", "size", "typical", "sketch", "wide", "firsts"), "traits")
     members = materialise(blocks.join(traits.select("class", "size", "typical"), "class"), "members")
     forget(classes, postings, blocks)
     collect_garbage(sets.sparkSession)

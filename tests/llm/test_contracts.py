@@ -669,6 +669,33 @@ def test_similarity_join_gives_every_link(spark, n, percent):
     assert got == want and len(got) > 20
 
 
+def test_wide_sketch_proves_no_more_than_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x, y = (rng.choice(1 << 48, int(rng.integers(400, 9000)), replace=False) for _ in range(2))
+        shared = int(rng.integers(0, min(len(x), len(y))))
+        y[:shared] = x[:shared]
+        differ = len(np.setxor1d(x, y))
+        proven = similarity_join._wide_difference(similarity_join._wide_sketch(x), similarity_join._wide_sketch(y))
+        assert proven <= differ
+        if min(len(x), len(y)) > 512:
+            assert proven >= min(0.3 * differ, 0.2 * min(len(x), len(y)))
+
+
+def test_long_texts_far_from_a_link_are_not_verified(spark):
+    """Texts of 3,000 words that share a third fill a sketch of 512 bits; their own width still tells them apart, and a link stays."""
+    rng = random.Random(14)
+    passage = words(rng, 1000, 10**6)
+    rows = [(i, " ".join(passage + words(rng, 2000, 10**6))) for i in range(20)]
+    rows.append((20, rows[3][1] + " end"))
+    sets = similarity_join._ngram_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4, "doc_id", "text")
+    of = {r["class"]: r["doc_id"] for r in sets.collect()}
+    tried = [{of[r["a"]], of[r["b"]]} for pairs, _ in similarity_join.merge_rounds(*similarity_join._blocks(sets, 85), 85) for r in pairs.collect()]
+    assert tried == [{3, 20}]
+
+
 # ---- 10
 
 
