@@ -224,3 +224,30 @@ def test_stream_leaves_nothing(spark, contigs, tmp_path):
     assert set(os.listdir(folder)) == before
     assert align_stream.streamed_rows(spark, str(tmp_path / "out")).count() == 10
     assert [r["read_id"] for r in files.records(reads, "read_id")] == list(range(len(READS)))
+
+
+def test_fm_index_stays_in_tables(spark, monkeypatch):
+    """Repeats longer than the sort depth, over many small blocks and chunks, and nothing of the index comes to the driver."""
+    rng = random.Random(11)
+    seq = "".join(rng.choice("ACGT") for _ in range(150))
+    f = seq * 3
+    whole = f + f[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    monkeypatch.setattr(fm, "WIDTH", 7)
+    monkeypatch.setattr(fm, "CHUNK", 2)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("the index came to the driver"))
+    df = genome.contigs_of(spark.createDataFrame([(0, "c", f)], "ordinal long, name string, seq string"))
+    named = {"a": seq[20:36], "b": seq[140:150] + seq[:6], "c": seq[5:17], "none": "ACGT" * 4, "again": seq[20:36]}
+    reads = reads_of(spark, named)
+    rows = index.suffix_rows(genome.strands(df), 64)
+    table = fm.gather(rows, 16, 64)
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = []
+    for i, read in enumerate(named.values()):
+        for m in re.finditer(f"(?={rc(read)})", whole):
+            p = m.start()
+            want.append((i, 0, 2 * len(f) - p - len(read)) if p >= len(f) else (i, 16, p))
+    assert sorted(map(tuple, fm.locate(reads, table).collect())) == sorted(want)
+    assert sorted(map(tuple, fm.locate_trace(reads, table).collect())) == sorted(want)
+    kept = [(r["row"], r["suffix"]) for r in rows.collect()]
+    spans = {i: [r for r, s in kept if s.startswith(rc(read))] for i, read in enumerate(named.values())}
+    assert {r["read_id"]: (r["lo"], r["hi"]) for r in fm.backward_search(reads, table).collect()} == {i: (min(x), max(x) + 1) for i, x in spans.items() if x}
