@@ -251,3 +251,35 @@ def test_fm_index_stays_in_tables(spark, monkeypatch):
     kept = [(r["row"], r["suffix"]) for r in rows.collect()]
     spans = {i: [r for r, s in kept if s.startswith(rc(read))] for i, read in enumerate(named.values())}
     assert {r["read_id"]: (r["lo"], r["hi"]) for r in fm.backward_search(reads, table).collect()} == {i: (min(x), max(x) + 1) for i, x in spans.items() if x}
+
+
+def test_sieve():
+    """Every k-mer of the set passes, also over pieces of places and outside ASCII; few others do."""
+    import numpy as np
+
+    from basewright.functions import sieve
+
+    rng = random.Random(5)
+    for letters in ("ACGT", "añ日😀"):
+        text = "".join(rng.choice(letters) for _ in range(sieve.PLACES + 500))
+        codes = sieve.code_points(text)
+        for k in (1, 12, 13, 24):
+            got = sieve.hashes(codes[:200], k)
+            rows = np.array([codes[i : i + k] for i in range(200 - k + 1)])
+            assert (got == sieve.hashes_of_rows(rows)).all()
+        wanted = [0, 77, sieve.PLACES - 13, sieve.PLACES - 1, len(text) - 24]
+        words = np.zeros(1 << 10, np.uint64)
+        for i in wanted:
+            h = int(sieve.hashes(codes[i : i + 24], 24)[0])
+            words[h >> 54] |= np.uint64(1 << (h & 63) | 1 << (h >> 6 & 63))
+        passed = sieve.passing(codes, 24, words)
+        assert set(wanted) <= set(passed.tolist()) and len(passed) < len(text) / 100
+
+
+def test_text_search_outside_ascii(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abñ日😀\n") for _ in range(n)) for n in (1, 40, 700, 2000)] + ["ñ" * 300]
+    passages = [texts[2][100:112], texts[3][5:70], texts[3][1500:1999], texts[1][-3:], "ñ" * 70, "nowhere at all", texts[2][:24]]
+    got = align.text_search(spark.createDataFrame(list(enumerate(texts)), "text_id long, text string"), spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string"))
+    want = [(i, j, m.start()) for i, t in enumerate(texts) for j, p in enumerate(passages) for m in re.finditer(f"(?={re.escape(p)})", t)]
+    assert sorted(map(tuple, got.select("text_id", "item_id", "pos").collect())) == sorted(want)
