@@ -148,13 +148,21 @@ def _found(pats: DataFrame, genome_: DataFrame) -> DataFrame:
     return found.filter((F.col("start") >= 0) | ((F.col("start") < mirror) & (F.col("start") + F.length("pattern") > mirror)))
 
 
+def places(reads: DataFrame, genome_: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """((read_id, flag, pattern), (pattern, start, pos0, run_left, name)): patterns of reads, and where each distinct one stands.
+
+    Both grow with reads and genome only; their join, the hits, may grow with the product.
+    """
+    pats = materialise(patterns(reads, seed), "read-patterns")
+    return pats, distilled(lambda: _found(pats, genome_), "occurrences")
+
+
 def raw_hits(reads: DataFrame, genome_: DataFrame, seed: int = SEED, max_hits: int = -1) -> DataFrame:
     """read_id, flag, name, start, pos0, run_left, len, raw_n: all hits in F, also those that later filters drop.
 
     Hits of reads with more than ``max_hits`` raw hits are counted but not expanded.
     """
-    pats = materialise(patterns(reads, seed), "read-patterns")
-    found = distilled(lambda: _found(pats, genome_), "occurrences")
+    pats, found = places(reads, genome_, seed)
     sizes = found.groupBy("pattern").agg(F.count_if(F.col("start") >= 0).alias("n"), F.count_if(F.col("start") < 0).alias("across"))
     every = F.col("n") + F.when(F.col("flag") == REVERSE, F.col("across")).otherwise(0)
     raw = pats.join(sizes, "pattern").groupBy("read_id").agg(F.sum(every).alias("raw_n")).filter("raw_n > 0")

@@ -10,21 +10,19 @@ from pyspark.sql.window import Window
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str] | None = None, *, width: int = 1 << 16) -> DataFrame:
     """``left`` with the columns of ``right`` (null where nothing lies at or below).
 
-    Both sides are dealt into bins of ``width`` keys and merged in one sorted pass
-    a bin; a bin that starts without a right row takes the last one of the bins
-    before, of which there is one row a bin. No range join, no cross join.
+    The distinct keys of ``left`` and the rows of ``right`` are dealt into bins of
+    ``width`` keys and merged in one sorted pass a bin; a bin that starts without a
+    right row takes the last one of the bins before, of which there is one row a
+    bin. The rows of ``left``, of which a key may have any number, meet their key's
+    match last. No range join, no cross join.
     """
     by = list(by or [])
     payload = [c for c in right.columns if c not in (on, *by)]
-    rest = [c for c in left.columns if c not in (on, *by)]
-    packed_left = left.select(*by, F.col(on).alias("__key"), F.lit(1).alias("__side"), F.struct(*rest).alias("__left"), F.lit(None).alias("__right"))
+    keys = left.select(*by, on).distinct()
     right_struct = F.struct(F.col(on).alias("__at"), *payload)
     struct_type = right.select(right_struct.alias("s")).schema["s"].dataType
-    left_type = packed_left.schema["__left"].dataType
-    packed_left = packed_left.withColumn("__right", F.lit(None).cast(struct_type))
-    packed_right = right.select(
-        *by, F.col(on).alias("__key"), F.lit(0).alias("__side"), F.lit(None).cast(left_type).alias("__left"), right_struct.alias("__right")
-    )
+    packed_left = keys.select(*by, F.col(on).alias("__key"), F.lit(1).alias("__side"), F.lit(None).cast(struct_type).alias("__right"))
+    packed_right = right.select(*by, F.col(on).alias("__key"), F.lit(0).alias("__side"), right_struct.alias("__right"))
     merged = packed_left.unionByName(packed_right).withColumn("__bin", F.floor(F.col("__key") / width))
     carried = merged.groupBy(*by, "__bin").agg(F.max_by("__right", F.when(F.col("__side") == 0, F.col("__key"))).alias("__last"))
     earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,4 +30,5 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str] | None =
     inside = Window.partitionBy(*by, "__bin").orderBy("__key", "__side").rowsBetween(Window.unboundedPreceding, 0)
     seen = merged.withColumn("__seen", F.last("__right", ignorenulls=True).over(inside)).filter("__side = 1")
     found = seen.join(carried, [*by, "__bin"]).withColumn("__match", F.coalesce("__seen", "__before"))
-    return found.select(*by, F.col("__key").alias(on), "__left.*", *[F.col(f"__match.{c}").alias(c) for c in payload])
+    found = found.select(*by, F.col("__key").alias(on), *[F.col(f"__match.{c}").alias(c) for c in payload])
+    return left.join(found, [*by, on])

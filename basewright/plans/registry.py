@@ -159,6 +159,14 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.raw_hits(reads, contigs)
 
 
+def _lifted(spark: SparkSession, sf_dir: str, lift: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All raw hits with what ``lift`` adds to the places (pattern, start) of distinct patterns, before they meet the reads."""
+    contigs, reads = supplier_genome(spark, sf_dir)
+    pats, found = align.places(reads, contigs)
+    at = scratch.materialise(lift(found.filter("start >= 0").select("pattern", "start")), "lifted-places")
+    return pats.join(at, "pattern")
+
+
 def _fm(spark: SparkSession, sf_dir: str) -> fm.FmIndex:
     return fm.gather(_suffix_rows(spark, sf_dir), index.INTERVAL, index.DEPTH)
 
@@ -444,22 +452,21 @@ _ASOF = _SUPPLIER_MAP + ", chr AS (SELECT name AS rname, contig_start AS start F
 @_query(_ASOF + "SELECT read_id, flag, found.start, rname FROM found ASOF JOIN chr ON found.start >= chr.start")
 def asof_contig(spark, sf_dir):
     starts = genome.contig_lengths(_segments(spark, sf_dir)).select("start", F.col("name").alias("rname"))
-    return asof_join(_raw(spark, sf_dir).select("read_id", "flag", "start"), starts, "start").select("read_id", "flag", "start", "rname")
+    return _lifted(spark, sf_dir, lambda at: asof_join(at, starts, "start")).select("read_id", "flag", "start", "rname")
 
 
 @_query(_SUPPLIER_MAP + "SELECT read_id, flag, start, pos0 - (start - contig_start) AS n_cum FROM found JOIN placed USING (name)")
 def asof_segment(spark, sf_dir):
     positions = genome.n_positions(_segments(spark, sf_dir))
-    return asof_join(_raw(spark, sf_dir).select("read_id", "flag", "start"), positions, "start").select("read_id", "flag", "start", "n_cum")
+    return _lifted(spark, sf_dir, lambda at: asof_join(at, positions, "start")).select("read_id", "flag", "start", "n_cum")
 
 
 @_query(_SUPPLIER_MAP + "SELECT read_id, flag, pos0 FROM found")
 def coord_lift(spark, sf_dir):
     """Contig coordinates from F's by two as-of joins."""
     segs = _segments(spark, sf_dir)
-    hits = _raw(spark, sf_dir).select("read_id", "flag", "start")
     starts = genome.contig_lengths(segs).select("start", F.col("start").alias("contig_start"))
-    lifted = asof_join(asof_join(hits, starts, "start"), genome.n_positions(segs), "start")
+    lifted = _lifted(spark, sf_dir, lambda at: asof_join(asof_join(at, starts, "start"), genome.n_positions(segs), "start"))
     return lifted.select("read_id", "flag", (F.col("start") - F.col("contig_start") + F.col("n_cum")).alias("pos0"))
 
 

@@ -283,3 +283,30 @@ def test_text_search_outside_ascii(spark):
     got = align.text_search(spark.createDataFrame(list(enumerate(texts)), "text_id long, text string"), spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string"))
     want = [(i, j, m.start()) for i, t in enumerate(texts) for j, p in enumerate(passages) for m in re.finditer(f"(?={re.escape(p)})", t)]
     assert sorted(map(tuple, got.select("text_id", "item_id", "pos").collect())) == sorted(want)
+
+
+def test_asof_window_holds_keys_not_rows(spark):
+    """Many left rows of one key share one row of the windows, and every one comes back."""
+    from pyspark.sql import functions as F
+
+    from basewright.operators.asof import asof_join
+
+    left = spark.createDataFrame([(i, None if i == 0 else (i % 3) * 5 + 1) for i in range(600)], "id long, k long")
+    right = spark.createDataFrame([(5, "a"), (8, "b"), (11, "c")], "k long, v string")
+    got = asof_join(left, right, "k", width=4)
+    assert sorted(map(tuple, got.select("id", "k", "v").collect())) == [(i, (i % 3) * 5 + 1, (None, "a", "c")[i % 3]) for i in range(1, 600)]
+    keys = left.select("k").distinct().count()
+    seen = []
+    plain = type(left).filter
+
+    def count(self, condition):
+        if condition == "__side = 1":
+            seen.append(plain(self, condition).count())
+        return plain(self, condition)
+
+    type(left).filter = count
+    try:
+        asof_join(left, right, "k", width=4)
+    finally:
+        type(left).filter = plain
+    assert seen == [keys]
