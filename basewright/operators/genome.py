@@ -35,6 +35,11 @@ def segments(contigs: DataFrame) -> DataFrame:
     )
 
 
+def sizes(segs: DataFrame) -> DataFrame:
+    """The segments without their bases, written once: several plans read them, and cutting contigs costs more than the table."""
+    return materialise(segs.select("ordinal", "name", "seg_no", "n_before", "len"), "segment-sizes")
+
+
 def contig_lengths(segs: DataFrame) -> DataFrame:
     """ordinal, name, len, start: lengths without N, and the first base's place in F."""
     lengths = segs.groupBy("ordinal", "name").agg(F.sum("len").alias("len")).filter("len > 0")
@@ -48,13 +53,14 @@ def placed_segments(segs: DataFrame) -> DataFrame:
     summed = segs.withColumn("n_cum", F.sum("n_before").over(upto)).withColumn("bases", F.sum("len").over(upto) - F.col("len"))
     starts = contig_lengths(segs).select("ordinal", F.col("start").alias("contig_start"))
     return summed.filter("len > 0").join(starts, "ordinal").select(
-        "ordinal", "name", "seg_no", "len", "seq", "n_cum",
+        "ordinal", "name", "seg_no", "len", *(["seq"] if "seq" in segs.columns else []), "n_cum",
         (F.col("contig_start") + F.col("bases")).alias("start"), (F.col("bases") + F.col("n_cum")).alias("pos0"),
     )
 
 
 def n_positions(segs: DataFrame) -> DataFrame:
     """start, n_cum: for each segment its place in F and the contig's N up to it, and at F's end the last contig's N."""
+    segs = sizes(segs)
     inner = placed_segments(segs).select("start", "n_cum")
     with_n = segs.groupBy("ordinal").agg(F.sum("n_before").alias("n"), F.sum("len").alias("len"))
     end = with_n.filter("len > 0").agg(F.sum("len").alias("start"), F.max_by("n", "ordinal").alias("n_cum"))
