@@ -163,7 +163,8 @@ def index_tables(contigs: DataFrame, depth: int = DEPTH, interval: int = INTERVA
         "chr_len": lengths.select("name", "len"), "npos_len": genome.n_positions(segs),
     }
     if fm:
-        rows = materialise(suffix_rows(genome.strands(contigs), depth), "suffix-rows")
+        rows = suffix_rows(genome.strands(contigs), depth)
+        rows = materialise(rows.withColumn("suffix", F.left("suffix", F.lit(KMER))), "suffix-rows")  # no table needs more of it
         tables |= {
             "bwt": bwt(rows), "c_table": c_table(rows), "occ_checkpoints": occ_checkpoints(rows, interval),
             "location_table": location_table(rows, interval), "fbwt": sample_distance(rows, interval), "kmer_c_table": kmer_table(rows),
@@ -187,6 +188,14 @@ def build_index(contigs: DataFrame, path: str, *, depth: int = DEPTH, interval:
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(_manifest(path))
 
 
+def compared(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """size, wrong: rows of ``stored``, and rows that only one of both has, as multisets; one pass over each."""
+    columns = stored.columns
+    both = stored.withColumn("__v", F.lit(1)).unionByName(fresh.select(*columns).withColumn("__v", F.lit(-1)))
+    counts = both.groupBy(*columns).agg(F.sum("__v").alias("n"), F.count_if(F.col("__v") > 0).alias("size"))
+    return counts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("wrong"))
+
+
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if not index_is_complete(spark, path):
         raise IndexIncomplete(path)

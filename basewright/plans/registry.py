@@ -312,12 +312,12 @@ def segments(spark, sf_dir):
 
 @_query(_RUNS + "SELECT name, len FROM lens")
 def chr_len(spark, sf_dir):
-    return genome.contig_lengths(_document_segments(spark, sf_dir)).select("name", "len")
+    return genome.contig_lengths(genome.sizes(_document_segments(spark, sf_dir))).select("name", "len")
 
 
 @_query(_RUNS + "SELECT name, cast(sum(len) OVER (ORDER BY ordinal) - len AS bigint) AS start FROM lens")
 def chr_start(spark, sf_dir):
-    return genome.contig_lengths(_document_segments(spark, sf_dir)).select("name", "start")
+    return genome.contig_lengths(genome.sizes(_document_segments(spark, sf_dir))).select("name", "start")
 
 
 @_query(_RUNS + """, cum AS (SELECT *, sum(n_before) OVER (PARTITION BY ordinal ORDER BY seg_no) AS n_cum,
@@ -424,8 +424,7 @@ def index_roundtrip(spark, sf_dir):
     stored, fresh = index.load_index(spark, path), index.index_tables(contigs, fm=True)
     counts = None
     for name, table in stored.items():
-        wrong = table.exceptAll(fresh[name]).unionAll(fresh[name].exceptAll(table)).agg(F.count("*").alias("wrong"))
-        one = table.agg(F.lit(name).alias("part"), F.count("*").alias("size")).join(F.broadcast(wrong), F.lit(True))  # one row each
+        one = index.compared(table, fresh[name]).select(F.lit(name).alias("part"), "size", "wrong")
         counts = one if counts is None else counts.union(one)
     return counts
 

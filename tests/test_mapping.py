@@ -310,3 +310,21 @@ def test_asof_window_holds_keys_not_rows(spark):
     finally:
         type(left).filter = plain
     assert seen == [keys]
+
+
+def test_compared_counts_both_sides(spark):
+    """Rows more or fewer on either side count, copies and nulls too."""
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "k long, v string")
+    b = spark.createDataFrame([("x", 1), (None, 2), ("z", 4)], "v string, k long")
+    assert tuple(index.compared(a, b).first()) == (4, 3)
+    assert tuple(index.compared(a, a).first()) == (4, 0)
+    assert tuple(index.compared(a.limit(0), b).first()) == (0, 3)
+
+
+def test_coordinates_cut_contigs_once(spark, tmp_path):
+    """Contigs are read once for all coordinates."""
+    spark.createDataFrame(GENOME, "ordinal long, name string, seq string").write.parquet(str(tmp_path / "c"))
+    segs = genome.segments(genome.contigs_of(spark.read.parquet(str(tmp_path / "c"))))
+    made = genome.n_positions(segs)
+    assert not any(str(tmp_path) in f for f in made.inputFiles())
+    assert sorted(map(tuple, made.collect())) == [(0, 2), (16, 5), (31, 0), (58, 0), (84, 0)]
